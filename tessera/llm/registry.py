@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op7_langid
 from .mixing import op3_mixing
 from .topk import OP9_SQL, op9_topk
 from .warc import OP4_SQL, op4_warc
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mixing": op3_mixing,
         "op4_warc": op4_warc,
+        "op7_langid": op7_langid,
         "op9_topk": op9_topk,
     }
 
