@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op7_langid
 from .mixing import op3_mixing
+from .neardup import op2_neardup
 from .topk import OP9_SQL, op9_topk
 from .warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_neardup": op2_neardup,
         "op3_mixing": op3_mixing,
         "op4_warc": op4_warc,
         "op7_langid": op7_langid,
