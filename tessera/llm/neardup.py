@@ -6,9 +6,8 @@ tuples serve TUPLES**2 tables: a pair of documents meets if any tuple of either
 in 2,700 (1 - 0.8**3 to the 12th power, twice), and fewer above.
 
 Equal sets are folded into one first, so copies cost nothing further. Of each table's bucket, members are compared with the
-bucket's head (the smallest id, then another one by hash); then all pairs of members that still lie in different components are
-compared, whatever the bucket's size: no pair in a bucket goes untested unless its ends are already connected. Sets are
-computed again from the text for documents in such pairs only: a bit map of a fixed size tells which, and an exact join
+bucket's head, its smallest id. Members of buckets that then still span several components go through an exact prefix filter
+among themselves, so no link in a bucket is lost unless its ends are connected already. Sets are computed again from the text for documents in such pairs only: a bit map of a fixed size tells which, and an exact join
 drops the few others. Components come from label passing with pointer jumps over the confirmed links, all on the executors.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; shorter texts are one shingle of all their words; null or
@@ -107,21 +106,33 @@ def buckets(sets: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("key").count().filter("count > 1").select("key"), "key")
 
 
-def star(members: DataFrame, seed: int) -> DataFrame:
-    """(a, b): each bucket's head with its members of other components whose sizes allow a link."""
-    order = F.xxhash64("id", F.lit(seed)) if seed else F.col("id")
-    heads = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "comp")).alias("head"))
-    heads = heads.select("key", F.col("head.id").alias("h"), F.col("head.n").alias("hn"), F.col("head.comp").alias("hc"))
-    both = members.join(heads, "key").filter((F.col("comp") != F.col("hc")) & _fits("n", "hn"))
-    return both.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+def star(members: DataFrame) -> DataFrame:
+    """(a, b): each bucket's head, its smallest id, with its members whose sizes allow a link."""
+    heads = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head")).select("key", F.col("head.id").alias("a"), F.col("head.n").alias("hn"))
+    return members.join(heads, "key").filter((F.col("id") != F.col("a")) & _fits("n", "hn")).select("a", F.col("id").alias("b")).distinct()
 
 
-def rest(members: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a bucket's members of different components whose sizes allow a link."""
+def rest(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(a, b): the other pairs that can be linked, of members of buckets whose members are not yet of one component.
+
+    Instead of a bucket's pairs, a prefix filter: with its shingles in order of their count, rare ones first, a set can
+    reach the least similarity only with sets that share one of its first n - ceil(LEAST * n) + 1 shingles, the first of these
+    so early that the rest suffices. Documents that vary a
+    common text hold many rare shingles, so theirs are few pairs; those with few lie near the common text and are of its component. It
+    is exact, whatever the size of a bucket.
+    """
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    open_ = members.join(mixed, "key")
-    x, y = open_.alias("x"), open_.select(F.col("key").alias("k2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2")).alias("y")
-    pairs = x.join(y, (F.col("key") == F.col("k2")) & (F.col("comp") < F.col("comp2")) & _fits("n", "n2"))
+    ids = stored(members.join(mixed, "key").select("id", "n", "comp").distinct(), "mixed")
+    shingles = stored(wanted_sets(docs, ids, words).join(ids, "id").dropDuplicates(["id"]), "mixedsets").select("id", "n", "comp", F.explode("set").alias("shingle"))
+    counted = shingles.join(shingles.groupBy("shingle").count(), "shingle")
+    first = F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1]) + 1 - F.col("alone")
+    some = counted.groupBy("id", "n", "comp").agg(F.count_if(F.col("count") == 1).alias("alone"), F.collect_list(F.when(F.col("count") > 1, F.struct("count", "shingle"))).alias("shared"))
+    some = some.filter((first > 0) & (F.size("shared") > 0)).select("id", "n", "comp", "alone", F.posexplode(F.slice(F.array_sort("shared"), F.lit(1), first.cast("int"))).alias("at", "s"))
+    x = some.select("id", "n", "comp", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("s.shingle").alias("shingle"))
+    y = x.toDF("id2", "n2", "comp2", "left2", "shingle")
+    # at a pair's first common shingle, what is left of either set, itself included, bounds the intersection
+    enough = F.least("left", "left2") * (LEAST[0] + LEAST[1]) >= LEAST[0] * (F.col("n") + F.col("n2"))
+    pairs = x.join(y, "shingle").filter((F.col("comp") < F.col("comp2")) & _fits("n", "n2") & enough)
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
@@ -130,7 +141,7 @@ def _bit(x):
 
 
 def wanted_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, set): sets, as bytes, of the documents of ids and few others; a document may come more than once."""
+    """(id, set): sets of the documents of ids and few others; a document may come more than once."""
     cells = ids.select(_bit("id").alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("cell")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("bits"))
     bitmap = np.zeros(1 << (MAP_BITS - 6), np.int64)  # its size doesn't depend on the rows
     for cell, bits in cells.toLocalIterator():
@@ -148,10 +159,10 @@ def wanted_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def compute(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in batches_by_bytes(iter([batch]), "text", 2 << 20):
             sets = shingle_sets(*text_buffers(part.column("text")), words)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id IS NOT NULL").withColumn("bit", _bit("id"))
-    return rows.mapInArrow(pick, "id long, set binary")
+    return rows.mapInArrow(pick, "id long, set array<long>")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -166,8 +177,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
         for batch in it:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-                both_ = np.concatenate([x, y])
+                both_ = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
                 both_.sort()
                 common = int((both_[1:] == both_[:-1]).sum())
                 keep.append(common > 0 and LEAST[1] * common >= LEAST[0] * (len(both_) - common))
@@ -197,14 +207,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     some = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = stored(some.groupBy(*print_).agg(F.min("doc_id").alias("id"), F.any_value("keys").alias("keys")), "distinct")
     tabled = stored(buckets(sets.select("id", F.col("n_shingles").alias("n"), "keys")), "buckets")
-    links, labels = None, None
-    for step in range(3):
-        members = tabled.withColumn("comp", F.col("id")) if labels is None else tabled.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        found = confirmed(docs, star(members, step) if step < 2 else rest(members), words)
-        links = found if links is None else links.unionByName(found)
-        if step and found.isEmpty():
-            continue
-        labels = components(links)
+    links = confirmed(docs, star(tabled), words)
+    members = tabled.join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    links = links.unionByName(confirmed(docs, rest(docs, members, words), words))
+    labels = components(links)
     of_set = sets.select(*print_, "id").join(labels, "id", "left").select(*print_, F.coalesce("comp", "id").alias("component_id"))
     out = sig.select("doc_id", *print_).join(of_set, print_, "left")
     # texts of one id are one document: their components are the same
