@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import op7_langid
 from .mixing import op3_mixing
 from .neardup import op2_neardup
+from .pieces import op5_pieces
 from .topk import OP9_SQL, op9_topk
 from .warc import OP4_SQL, op4_warc
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_neardup": op2_neardup,
         "op3_mixing": op3_mixing,
         "op4_warc": op4_warc,
+        "op5_pieces": op5_pieces,
         "op7_langid": op7_langid,
         "op9_topk": op9_topk,
     }
