@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .langid import op7_langid
 from .mixing import op3_mixing
 from .neardup import op2_neardup
 from .pieces import op5_pieces
+from .secrets import op10_secrets
 from .topk import OP9_SQL, op9_topk
 from .warc import OP4_SQL, op4_warc
 
@@ -22,6 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pieces": op5_pieces,
         "op7_langid": op7_langid,
         "op9_topk": op9_topk,
+        "op10_secrets": op10_secrets,
+        "pipeline": corpus_pipeline.run,
     }
 
 
