@@ -13,6 +13,7 @@ from .mixing import op3_mixing
 from .neardup import op2_neardup
 from .pieces import op5_pieces
 from .secrets import op10_secrets
+from .tokencount import op6_tokencount
 from .topk import OP9_SQL, op9_topk
 from .warc import OP4_SQL, op4_warc
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_warc": op4_warc,
         "op5_pieces": op5_pieces,
+        "op6_tokencount": op6_tokencount,
         "op7_langid": op7_langid,
         "op9_topk": op9_topk,
         "op10_secrets": op10_secrets,

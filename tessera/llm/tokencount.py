@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -113,8 +114,8 @@ class Counter:
             first = np.empty(len(keys), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             at, size = starts[first[new]].tolist(), lengths[first[new]].tolist()
-            ids = self.encoding.encode_ordinary_batch([whole[a : a + n] for a, n in zip(at, size, strict=True)], num_threads=1)
-            counts[new] = [len(x) for x in ids]
+            encode = self.encoding.encode_ordinary
+            counts[new] = [len(encode(whole[a : a + n])) for a, n in zip(at, size, strict=True)]
             self.known.update(zip(keys[new].tolist(), counts[new].tolist(), strict=True))
         return lengths, counts[codes], np.searchsorted(bounds, np.concatenate([[0], ends]))
 
@@ -175,12 +176,11 @@ class Tree:
         b, at = self.find(max(0, start - CONTEXT))
         lengths, counts = self.bucket(b)
         # keep the bucket's pre-tokens before the one that holds the context's first character
-        edges = np.concatenate([[0], np.cumsum(lengths)]) + at if lengths else np.array([at])
-        keep = max(0, bisect_right(edges.tolist(), max(0, start - CONTEXT)) - 1)
-        head, begin = (lengths[:keep], counts[:keep]), int(edges[min(keep, len(edges) - 1)])
-        # old boundaries from the edit's end on, bucket by bucket
-        last, old, x = b, [], at
-        held = [(lengths, counts, at)]
+        tail = list(accumulate(lengths, initial=at))
+        keep = max(0, bisect_right(tail, max(0, start - CONTEXT)) - 1)
+        keep = min(keep, len(lengths))
+        head, begin = (lengths[:keep], counts[:keep]), tail[keep]
+        last = b
         made, pos, room = [], begin, 64
         limit = start + len(new)
         while True:
@@ -192,14 +192,13 @@ class Tree:
                 pos = m.end()
                 if pos >= limit and pos < len(self.text):
                     place = pos - shift  # where it would be in the old text
-                    while held[-1][2] + sum(held[-1][0]) < place:
+                    while tail[-1] < place:
                         last += 1
-                        x = held[-1][2] + sum(held[-1][0])
-                        held.append((*self.bucket(last), x))
-                    tail = np.concatenate([[0], np.cumsum(held[-1][0])]) + held[-1][2]
-                    k = int(np.searchsorted(tail, place))
+                        lengths, counts = self.bucket(last)
+                        tail = list(accumulate(lengths, initial=tail[-1]))
+                    k = bisect_left(tail, place)
                     if k < len(tail) and tail[k] == place:
-                        return self._put(b, last, head, made, (held[-1][0][k:], held[-1][1][k:]))
+                        return self._put(b, last, head, made, (lengths[k:], counts[k:]))
             if pos >= len(self.text):
                 return self._put(b, self.leaves - 1, head, made, ([], []))
             room *= 4
@@ -214,10 +213,8 @@ class Tree:
                     new = (new[0] + tail[0], new[1] + tail[1])
                 self._changed[k] = new
                 node = self.leaves + k
-                change = np.array([sum(new[0]), len(new[0]), sum(new[1])]) - self.sums[node]
-                while node:
-                    self.sums[node] += change
-                    node //= 2
+                path = [node >> up for up in range(node.bit_length())]
+                self.sums[path] += np.array([sum(new[0]), len(new[0]), sum(new[1])]) - self.sums[node]
         if any(len(self._changed[k][0]) > FULL for k in (b, last) if k in self._changed):
             self._rebuild()
         return len(made)
