@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from .langid import op7_langid
+from .lmscore import op8_lmscore
 from .mixing import op3_mixing
 from .neardup import op2_neardup
 from .pieces import op5_pieces
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pieces": op5_pieces,
         "op6_tokencount": op6_tokencount,
         "op7_langid": op7_langid,
+        "op8_lmscore": op8_lmscore,
         "op9_topk": op9_topk,
         "op10_secrets": op10_secrets,
         "pipeline": corpus_pipeline.run,
