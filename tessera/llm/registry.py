@@ -10,6 +10,7 @@ import corpus_pipeline
 
 from .langid import op7_langid
 from .lmscore import op8_lmscore
+from .media import op1_media
 from .mixing import op3_mixing
 from .neardup import op2_neardup
 from .pieces import op5_pieces
@@ -21,6 +22,7 @@ from .warc import OP4_SQL, op4_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media": op1_media,
         "op2_neardup": op2_neardup,
         "op3_mixing": op3_mixing,
         "op4_warc": op4_warc,
