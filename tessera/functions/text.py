@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The stop words.
 STOP_WORDS = (
@@ -17,7 +18,7 @@ STOP_WORDS = (
 FIELD_WEIGHTS = {"title": 3, "description": 1, "category": 2, "subcategory": 2, "brand": 2}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark has no function for; plain ASCII goes through untouched."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
@@ -42,10 +43,14 @@ def item_text(weights: dict[str, int] | None = None) -> Column:
 def word_ngrams(text: Column, lo: int = 1, hi: int = 2, pattern: str = r"(?U)\b\w\w+\b") -> Column:
     """Word n-grams of lo to hi words, joined by spaces."""
     words = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
-    grams = [
-        F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i, n=n: i <= F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        for n in range(lo, hi + 1)
-    ]
+    grams = []
+    for n in range(lo, hi + 1):
+        # shifted copies of the list, joined place by place: each is cut once a row
+        size = F.greatest(F.size(words) - n + 1, F.lit(0))
+        gram = F.slice(words, F.lit(1), size)
+        for k in range(1, n):
+            gram = F.zip_with(gram, F.slice(words, F.lit(k + 1), size), lambda a, b: F.concat(a, F.lit(" "), b))
+        grams.append(gram)
     return F.flatten(F.array(*grams))
 
 
