@@ -82,7 +82,7 @@ class SemanticIndex:
         v = np.zeros((len(features), left.shape[1]))
         for a in range(0, len(w), 1 << 20):  # transposed features times left vectors
             np.add.at(v, feature[a : a + (1 << 20)], w[a : a + (1 << 20), None] * left[item[a : a + (1 << 20)]])
-        return pd.DataFrame({"feature": features, "vector": list(v)})
+        return pd.DataFrame({"feature": features, "vector": v.tolist()})
 
     def project(self, docs: DataFrame) -> DataFrame:
         """(item_id, vector) of length 1; texts without known features, or nearly zero, have none."""
