@@ -15,7 +15,7 @@ def check_ks(ks: list[int]) -> list[int]:
 
 
 def _ks(df: DataFrame, ks: list[int]) -> DataFrame:
-    return df.withColumn("k", F.explode(F.array(*map(F.lit, ks))).cast("long"))
+    return df.withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in ks))))
 
 
 def ideal_dcg(grades: DataFrame, ks: list[int], by: str = "query_id", grade: str = "grade") -> DataFrame:
