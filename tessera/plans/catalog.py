@@ -411,7 +411,8 @@ def behavior_metrics(spark, d):
     return metrics.behaviour_metrics(*_behaviour(spark, d), KS, 6)
 
 
-@query(f"""WITH g AS ({_GRADES.replace('FROM ev', 'FROM ev2')}), ev2 AS (SELECT user_id, CASE WHEN event_type = 'view' THEN 'impression' WHEN event_type = 'click' THEN 'click' WHEN event_type = 'signup' THEN 'favorite' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'add_to_cart' ELSE event_type END AS event_type, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS item_id FROM events),
+@query(f"""WITH ev2 AS (SELECT user_id, CASE WHEN event_type = 'view' THEN 'impression' WHEN event_type = 'click' THEN 'click' WHEN event_type = 'signup' THEN 'favorite' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'add_to_cart' ELSE event_type END AS event_type, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS item_id FROM events),
+g AS ({_GRADES.replace('FROM ev', 'FROM ev2')}),
 asked AS (SELECT e.request_id, s.request_id IS NOT NULL AS known, e.request_id % 7 AS query_id, CASE WHEN e.request_id % 10 = 0 THEN 'cold_start' ELSE 'warm' END AS status FROM (SELECT DISTINCT user_id AS request_id FROM events UNION ALL SELECT -1) e LEFT JOIN (SELECT DISTINCT user_id AS request_id FROM events) s USING (request_id)),
 per AS (SELECT a.request_id, known, status, count(w.item_id) AS wanted, count(w.item_id) FILTER (w.item_id % 7 = a.query_id) AS covered FROM asked a LEFT JOIN (SELECT * FROM g WHERE grade > 0) w USING (request_id) GROUP BY ALL)
 SELECT count(*) AS eligible_positive_request_count, count(*) FILTER (known AND covered > 0) AS covered_positive_request_count, count(*) FILTER (known AND covered = 0) AS uncovered_positive_request_count, round(count(*) FILTER (known AND covered > 0) / count(*), 6) AS request_level_candidate_positive_coverage, coalesce(sum(wanted) FILTER (known), 0)::BIGINT AS total_positive_item_count, coalesce(sum(covered) FILTER (known), 0)::BIGINT AS covered_positive_item_count, coalesce(sum(wanted - covered) FILTER (known), 0)::BIGINT AS uncovered_positive_item_count, round(coalesce(sum(covered) FILTER (known) / nullif(sum(wanted) FILTER (known), 0), 0), 6) AS item_level_candidate_positive_recall, round(coalesce(count(*) FILTER (known AND covered > 0 AND status = 'warm') / nullif(count(*) FILTER (known AND status = 'warm'), 0), 0), 6) AS warm_request_coverage, round(coalesce(count(*) FILTER (known AND covered > 0 AND status <> 'warm') / nullif(count(*) FILTER (known AND status <> 'warm'), 0), 0), 6) AS fallback_request_coverage FROM per""")
