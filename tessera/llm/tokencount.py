@@ -248,7 +248,8 @@ def count_with_edits(docs: DataFrame, edits: DataFrame | None = None, ranks: str
     """
     raw = docs.sparkSession.sparkContext.broadcast(open(ranks, "rb").read())  # the vocabulary file, a fixed size
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if edits is not None:
+    own = edits is not None
+    if own:
         rows = rows.join(edits.select(F.col("doc_id").cast("long").alias("doc_id"), "edits"), "doc_id", "left")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +257,7 @@ def count_with_edits(docs: DataFrame, edits: DataFrame | None = None, ranks: str
         for batch in batches_by_bytes(it, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             lengths, counts, offsets = counter.count(texts)
-            given = batch.column("edits").to_pylist() if edits is not None else None
+            given = batch.column("edits").to_pylist() if own else None
             out = []
             for i, (text, a, b) in enumerate(zip(texts, offsets[:-1], offsets[1:], strict=True)):
                 tree = Tree(text or "", lengths[a:b], counts[a:b], counter)
