@@ -7,7 +7,7 @@ lists of FAN shards are merged at a time until one list is left.
 
 Defined results: vectors that are null or empty, or hold null, NaN or infinite components, take no part; vectors meet only
 vectors of their own length; rows that share the query's id are the query's own; repeated rows of another id count
-each; ties go to the smaller id; no rows give no rows. Other columns are ignored.
+each; products beyond 64 bits are held at their ends; ties go to the smaller id; no rows give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     top = [max(abs(int(x.max())), abs(int(x.min()))) for x in (q, v)]
     if top[0] * top[1] * q.shape[1] < 1 << 53:
         return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
-    out = q.astype(object) @ v.T.astype(object)
-    return out.astype(np.int64)
+    most = np.iinfo(np.int64).max
+    return np.clip(q.astype(object) @ v.T.astype(object), -most, most).astype(np.int64)
 
 
 def _tile(k: int):
