@@ -100,9 +100,9 @@ def event_dedup_idempotent(spark, d):
 # ---- lookups
 
 
-@query("SELECT item_id, title, category, brand, price FROM items ORDER BY item_id LIMIT 100 OFFSET 20", "items")
+@query("SELECT item_id, title, category, brand, CAST(price AS DOUBLE) AS price FROM items ORDER BY item_id LIMIT 100 OFFSET 20", "items")
 def items_page(spark, d):
-    return lookups.page(V.items(spark, d), "item_id", 20, 100).select("item_id", "title", "category", "brand", "price")
+    return lookups.page(V.items(spark, d), "item_id", 20, 100).select("item_id", "title", "category", "brand", F.col("price").cast("double").alias("price"))
 
 
 @query("SELECT item_id, title FROM items WHERE category = 'ECONOMY' ORDER BY item_id LIMIT 100", "items")
@@ -115,9 +115,9 @@ def items_by_ids(spark, d):
     return lookups.by_ids(V.items(spark, d), "item_id", [3, 1, 77, 3, 99999999]).select("item_id", "title")
 
 
-@query("SELECT item_id, title, price FROM items WHERE item_id = 5", "items")
+@query("SELECT item_id, title, CAST(price AS DOUBLE) AS price FROM items WHERE item_id = 5", "items")
 def items_point_lookup(spark, d):
-    return lookups.by_id(V.items(spark, d), "item_id", 5).select("item_id", "title", "price")
+    return lookups.by_id(V.items(spark, d), "item_id", 5).select("item_id", "title", F.col("price").cast("double").alias("price"))
 
 
 @query("SELECT user_id, is_cold_start FROM us WHERE is_cold_start ORDER BY user_id LIMIT 100", "us")

@@ -14,7 +14,7 @@ def rows(frame: pd.DataFrame) -> list[str]:
     def value(x):
         if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
             return None
-        return round(float(x), 5) if isinstance(x, float) else int(x) if hasattr(x, "__index__") else str(x)
+        return round(float(x), 5) if isinstance(x, float) or hasattr(x, "__index__") else str(x)  # whole numbers beside nulls may come as floats
 
     return sorted(repr([value(x) for x in r]) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
