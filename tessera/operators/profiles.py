@@ -121,3 +121,12 @@ def refresh(users: DataFrame, wanted: DataFrame, events: DataFrame, items: DataF
 def status_counts(summary: DataFrame) -> DataFrame:
     warm = (F.col("profile_status") == "warm") & (F.col("positive_event_count") > 0)
     return summary.agg(F.count("*").alias("total_users"), F.count_if(warm).alias("behavior_profiles"), F.count_if(~warm).alias("fallback_profiles"))
+
+
+def refresh_counts(summary: DataFrame, wanted: DataFrame, events: DataFrame) -> DataFrame:
+    """One row of a refresh: users requested, refreshed by behaviour, unchanged, failed (unknown users), and their events."""
+    asked = wanted.select("user_id").distinct().join(summary.select("user_id", "source"), "user_id", "left")
+    mine = events.join(wanted.select("user_id").distinct(), "user_id", "left_semi").agg(F.count("*").alias("total_events"))
+    fresh = F.col("source").isin("combined", "behavior")
+    row = asked.agg(F.count("*").alias("requested"), F.count_if(fresh).alias("refreshed"), F.count_if(~fresh).alias("unchanged"), F.count_if(F.col("source").isNull()).alias("failed"))
+    return row.crossJoin(F.broadcast(mine))  # one row each

@@ -318,6 +318,15 @@ def profile_refresh_sources(spark, d):
     return summary.groupBy("source").agg(F.count("*").alias("users"))
 
 
+@query("SELECT (SELECT count(*) FROM us) + 1 AS requested, count(*) FILTER (profile_status = 'warm') AS refreshed, count(*) FILTER (profile_status <> 'warm') AS unchanged, CAST(1 AS BIGINT) AS failed, (SELECT count(*) FROM ev) AS total_events FROM sum", "sum", "us", "ev")
+def profile_refresh_counts(spark, d):
+    """All users and one who does not exist."""
+    users, log = V.users(spark, d), V.events(spark, d)
+    _, summary = profiles.refresh(users, users, log, V.items(spark, d), _profiles(spark, d), limit=None)
+    wanted = users.select("user_id").unionByName(spark.range(-99, -98).withColumnRenamed("id", "user_id"))
+    return profiles.refresh_counts(summary, wanted, log)
+
+
 # ---- re-ranking
 
 
