@@ -58,12 +58,15 @@ def char_ngrams(text: Column, lo: int = 3, hi: int = 5) -> Column:
     """Character n-grams within words, each padded by a space on either side; a word no longer than n gives one and no longer ones."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
+    def cut(padded: Column, n: int):
+        return lambda i: F.substr(padded, i, F.lit(n))  # one argument: a second would be the index
+
     def of_word(w: Column) -> Column:
         padded = F.concat(F.lit(" "), w, F.lit(" "))
         size = F.length(padded)
         parts = []
         for n in range(lo, hi + 1):
-            full = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n)))
+            full = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), cut(padded, n))
             fits = (size > n - 1) if n > lo else F.lit(True)
             parts.append(F.when(fits, full).otherwise(F.array().cast("array<string>")))
         return F.flatten(F.array(*parts))

