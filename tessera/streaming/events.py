@@ -1,4 +1,4 @@
-"""Event streams: idempotent capture and profiles that follow (an extension: the batch operators are the reference)."""
+"""Event streams: idempotent capture and profiles that follow, beyond the batch operators."""
 
 from __future__ import annotations
 
