@@ -84,7 +84,7 @@ def schedule(spark: SparkSession, by_source: DataFrame, slots: int) -> DataFrame
 
 def streams(sizes: DataFrame, by_source: DataFrame, n: int, seed: int) -> DataFrame:
     """sizes with place, source_size, target, and row (bucket and number in it) and start, its first word in its source's shuffled stream."""
-    buckets = max(1, -(-n // 10000))
+    buckets = max(1, -(-n // 2000))
     d = sizes.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("key", F.lit(buckets)))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
