@@ -488,6 +488,25 @@ def test_lm_scores(docs, monkeypatch):
         assert r["score"] < 0 and np.isfinite(r["score"])
 
 
+def test_lm_learns_from_all_training_documents(docs, monkeypatch):
+    monkeypatch.setattr("tessera.llm.attention.STEPS", 5)
+    monkeypatch.setattr(lmscore, "SAMPLE", 3)  # few documents to begin with
+    marked = docs.select("doc_id", "text").withColumn("held_out", langid.held_out(F.col("doc_id"), 7))
+    training = marked.filter("NOT held_out AND doc_id IS NOT NULL").select("doc_id", "text")
+    model = lmscore.fit(training)
+    more = training.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select((F.col("doc_id") + 1000 * F.col("k")).alias("doc_id"), "text")
+    assert 0 < 2 * model.followed < lmscore.fit(more).followed
+    model.mix = 1 - 1e-15  # the shares alone: those of all training words
+    c = Counter()
+    for r in training.collect():
+        c.update([*words(r["text"]), "end"])
+    texts = {x[0]: x[1] for x in corpus()}
+    for r in lmscore.score(marked, model).collect():
+        t = [*words(texts[r["doc_id"]]), "end"]
+        if all(c[x] for x in t):
+            assert abs(r["score"] - sum(np.log10(c[x] / sum(c.values())) for x in t)) < 1e-6 * len(t)
+
+
 def test_attention_sums_to_one_and_is_causal():
     from tessera.llm.attention import Attention
 
