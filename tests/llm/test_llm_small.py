@@ -507,6 +507,17 @@ def test_lm_learns_from_all_training_documents(docs, monkeypatch):
             assert abs(r["score"] - sum(np.log10(c[x] / sum(c.values())) for x in t)) < 1e-6 * len(t)
 
 
+def test_attention_sees_tens_of_subwords():
+    from tessera.llm.attention import Attention
+
+    m, r = Attention(50), np.random.default_rng(1)
+    ids = r.integers(0, 50, 200)
+    other = ids.copy()
+    other[120] = (other[120] + 1) % 50
+    one, two = (m.score(x, np.array([200]), m.prepared()) for x in (ids, other))
+    assert (one[:120] == two[:120]).all() and np.flatnonzero(one != two).max() >= 120 + 32
+
+
 def test_attention_sums_to_one_and_is_causal():
     from tessera.llm.attention import Attention
 
