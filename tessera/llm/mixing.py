@@ -2,9 +2,9 @@
 
 Slot i of the schedule is the point frac(i * 0.618...) mapped through the sources' cumulative target shares; the slot's rank among
 its source's slots names the block it takes. A source's documents stand in a shuffled order (by a hash of id and seed) as one
-stream of words, cut into blocks of equal size; rank r takes block r, and after its last word the stream begins anew (epochs, 3 at
-most). A document's words taken are those of its blocks that joined a slot, so a source's words differ from
-its target by the discrepancy of the points alone, a few blocks out of SLOTS.
+stream of words that begins anew after its last word (epochs, 3 at most). The source's quota, its target in whole words, is cut into
+as many blocks as it has slots, whose sizes differ by a word at most; rank r takes block r. A source too small for a slot gets one after the others.
+A document's words taken are those of its blocks that joined a slot, so a source's words are its quota, however many words a slot stands for.
 
 Streams are summed over buckets of the hash first, so no task holds a whole source, and slots are ranked by runs in the same
 way. What is driven by sources alone (totals, targets) is a table of a row per source.
@@ -83,18 +83,18 @@ def schedule(spark: SparkSession, by_source: DataFrame, slots: int) -> DataFrame
 
 
 def streams(sizes: DataFrame, by_source: DataFrame, n: int, seed: int) -> DataFrame:
-    """sizes with place, source_size, target, and row (bucket and number in it) and start, its first word in its source's shuffled stream."""
+    """sizes with place, source_size, target, quota, slots, and row (bucket and number in it) and start, its first word in its source's shuffled stream."""
     buckets = max(1, -(-n // 2000))
     d = sizes.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("key", F.lit(buckets)))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
     b, s = by_source.alias("b"), sums.alias("s")
-    sums = s.join(b, F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.source", "bucket", "before", "place", "source_size", "target")
+    sums = s.join(b, F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.source", "bucket", "before", "place", "source_size", "target", "quota", "slots")
     inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
     d = d.withColumn("nth", F.row_number().over(inner)).withColumn("start", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     d, s = d.alias("d"), sums.alias("s")
     d = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
-    return d.select("d.doc_id", "d.source", "d.size", "place", "source_size", "target", "d.bucket", "nth", (F.col("start") + F.col("before")).alias("start"))
+    return d.select("d.doc_id", "d.source", "d.size", "place", "source_size", "target", "quota", "slots", "d.bucket", "nth", (F.col("start") + F.col("before")).alias("start"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
@@ -104,16 +104,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     by_source = stored(targets(sizes, weights, epochs), "sources")
     total, n = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     block = max(1, -(-total // slots))
-    slotted = schedule(spark, by_source, -(-total // block)).select("place", F.col("rank").alias("block"), F.lit(1).alias("hit"))
-    d = streams(sizes, by_source, n, seed)
+    slotted = stored(schedule(spark, by_source, -(-total // block)).select("place", F.col("rank").alias("block"), F.lit(1).alias("hit")), "slots")
+    by_source = by_source.join(slotted.groupBy("place").agg(F.count("*").alias("slots")), "place", "left")
+    slotted = slotted.unionByName(by_source.filter("slots IS NULL AND quota > 0").select("place", F.lit(0).cast("long").alias("block"), F.lit(1).alias("hit")))
+    d = streams(sizes, by_source.withColumn("slots", F.coalesce("slots", F.lit(1))), n, seed)
     row = ["doc_id", "source", "size", "source_size", "target", "bucket", "nth"]
     begin = F.col("epoch") * F.col("source_size") + F.col("start")
-    d = d.withColumn("epoch", F.explode(F.array(*(F.lit(e).cast("long") for e in range(epochs))))).withColumn("begin", begin).withColumn("end", F.col("begin") + F.col("size"))
-    # blocks past every slot of the source can't join: the points' discrepancy is far below the margin here
-    most = F.floor(F.col("target") * 1.01 / block) + 64
-    first, last = F.floor(F.col("begin") / block), F.least(F.floor((F.col("end") - 1) / block), most)
-    d = d.withColumn("block", F.explode_outer(F.when((F.col("size") > 0) & (first <= last), F.sequence(first, last))))
-    words = F.least(F.col("end"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
+    d = d.withColumn("epoch", F.explode(F.array(*(F.lit(e).cast("long") for e in range(epochs))))).withColumn("begin", begin)
+    d = d.withColumn("end", F.least(F.col("begin") + F.col("size"), "quota"))
+    # block b is the words from floor(b * quota / slots) on
+    holds = lambda word: F.expr(f"(({word} + 1) * slots - 1) div quota")
+    edge = lambda at: F.expr(f"(quota div slots) * ({at}) + (quota % slots) * ({at}) div slots")
+    d = d.withColumn("block", F.explode_outer(F.when(F.col("begin") < F.col("end"), F.sequence(holds("begin"), holds("(end - 1)")))))
+    words = F.least("end", edge("block + 1")) - F.greatest("begin", edge("block"))
     d = d.withColumn("words", words).join(slotted, ["place", "block"], "left")
     taken = F.coalesce(F.sum(F.when(F.col("hit").isNotNull(), F.col("words"))), F.lit(0)).cast("long")
     return d.groupBy(*row).agg(taken.alias("taken")).drop("bucket", "nth")

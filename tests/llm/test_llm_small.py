@@ -339,6 +339,17 @@ def test_mixing(docs):
     assert abs(sum(mixed.values()) + unidentified - sum(taken.values())) <= 4
 
 
+def test_mixing_of_sources_below_a_block(docs):
+    want, taken = {}, Counter()
+    for r in mixing.mix(docs, slots=7).collect():  # hundreds of words a slot
+        want[r["source"]] = r["target"]
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert len(want) == 5
+    for s in want:
+        assert abs(taken[s] - want[s]) <= 0.5
+
+
 def test_schedule_is_low_discrepancy(spark):
     by = spark.createDataFrame([(0, 1, 0.0, 0.5), (1, 1, 0.5, 0.9), (2, 1, 0.9, 1.0)], "place int, quota long, low double, high double")
     rows = mixing.schedule(spark, by, 10000).orderBy("slot").collect()
