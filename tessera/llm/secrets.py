@@ -1,7 +1,7 @@
 """Secret scans: candidates by rules, false positives removed by a random forest.
 
-Words that could take part in a secret (an assignment, a long word with a digit, a key block) are found by array operations over
-the bytes; the rules' expressions run over these words and their neighbours only. Each candidate becomes a row of numbers: length,
+Words that could take part in a secret (an assignment, a long word, the begin of a key block) are found by array operations over
+the bytes, every word that a rule could match among them; the rules' expressions run over these words and their neighbours only. Each candidate becomes a row of numbers: length,
 shares and changes of character classes, likelihood of its letter pairs in words, coverage by a dictionary, what its path
 and its neighbouring words say. A forest of trees, grown in numpy from labelled findings, gives the probability that it is a secret.
 
@@ -45,6 +45,9 @@ RULES = (
     ("random", rb"(?<![A-Za-z0-9+/_-])(?P<v>(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2})"),
 )
 _RULES = [(n, re.compile(p, re.S)) for n, p in RULES]
+#: Bytes of the shortest value of the rules 'prefixed', 'aws_id', 'jwt' and 'random'.
+LONG = 19
+_BEGIN = re.compile(rb"-----BEGIN")
 _DIGIT, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _DIGIT[48:58] = True
 _MARK[[58, 61]] = True
@@ -58,9 +61,10 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
         part = data[at:to]
         digits = np.concatenate([[0], np.cumsum(_DIGIT[part], dtype=np.int32)])
         marks = np.concatenate([[0], np.cumsum(_MARK[part], dtype=np.int32)])
-        hot = ((e - s >= 12) & (digits[e] > digits[s])) | (marks[e] > marks[s])
-        five = np.flatnonzero((part[s] == 45) & (e - s >= 5))
-        hot[five[(part[s[five] + 4] == 45) & (part[s[five] + 1] == 45)]] = True
+        # no rule without ':' or '=' matches fewer than LONG bytes, but for blocks
+        hot = ((e - s >= 12) & (digits[e] > digits[s])) | (e - s >= LONG) | (marks[e] > marks[s])
+        begins = [m.start() for m in _BEGIN.finditer(part.tobytes())]
+        hot[np.searchsorted(s, begins, "right") - 1] = True
         ss.append(s + at)
         es.append(e + at)
         on.append(hot)
