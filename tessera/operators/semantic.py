@@ -1,11 +1,13 @@
 """Latent semantic search: word and character TF-IDF, truncated SVD, cosine.
 
-The decomposition is fitted on FIT items at most (all, up to there; beyond, those of the smallest hashes) through their Gram matrix on
-the driver: a bound that is a parameter. Every item is projected, by a join of its features with the table of components.
+The decomposition is fitted on all items: up to FIT of them through their Gram matrix on the driver, beyond by subspace iteration, whose products
+are joins of the features with tables of vectors; the driver sees square matrices of a row a component only. Every item is projected, by a join of
+its features with the table of components.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +20,8 @@ from ..functions.scoring import finite, ranked
 from ..functions.text import char_ngrams, word_ngrams
 from .tfidf import counts, vocabulary, weigh
 
-FIT = 1000
+#: Items whose Gram matrix is made at most; beyond, rounds of the subspace iteration and vectors besides the components.
+FIT, ROUNDS, SPARE = 1000, 6, 16
 
 
 @dataclass
@@ -44,10 +47,9 @@ class SemanticIndex:
         if not n:
             raise ValueError("no items")
         vocabularies = {k: vocabulary(counts(docs, grams), n, config.min_df, config.max_df).cache() for k, (grams, _) in cls._kinds(config).items()}
-        x = cls._features(docs, vocabularies, config)
-        fit = docs.select("item_id").orderBy(F.xxhash64("item_id"), "item_id").limit(FIT)
-        rows = x.join(F.broadcast(fit), "item_id").select("item_id", "feature", "weight").toPandas()  # FIT items
-        components = docs.sparkSession.createDataFrame(cls._decompose(rows, config), "feature string, vector array<double>").cache()
+        x = cls._features(docs, vocabularies, config).cache()
+        components = docs.sparkSession.createDataFrame(cls._decompose(x.toPandas(), config), "feature string, vector array<double>") if n <= FIT else cls._iterate(x, config)
+        components = components.cache()
         index = cls(components, vocabularies, docs.select("item_id"), config)
         index.vectors = index.project(docs).cache()
         return index
@@ -84,6 +86,49 @@ class SemanticIndex:
             np.add.at(v, feature[a : a + (1 << 20)], w[a : a + (1 << 20), None] * left[item[a : a + (1 << 20)]])
         return pd.DataFrame({"feature": features, "vector": v.tolist()})
 
+    @staticmethod
+    def _iterate(x: DataFrame, config: SemanticConfig) -> DataFrame:
+        """(feature, vector): right singular vectors of all items, by subspace iteration from vectors given by the features' hashes."""
+        items, features = x.agg(F.count_distinct("item_id"), F.count_distinct("feature")).first()
+        k = max(min(config.svd_components, features - 1, items - 1), 2)
+        n = min(k + SPARE, items, features)
+
+        def times(vectors: DataFrame, by: str, to: str) -> DataFrame:
+            return x.join(vectors, by).groupBy(to).agg(F.array(*(F.sum(F.col("weight") * F.col("vector")[j]) for j in range(n))).alias("vector")).localCheckpoint()  # plans of rounds must not nest
+
+        def gram(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for rows in it:
+                    m = np.stack(rows["vector"].to_numpy()) if len(rows) else np.zeros((0, n))
+                    yield pd.DataFrame({"g": [(m.T @ m).tobytes()]})
+
+            total = np.zeros((n, n))
+            for row in vectors.select("vector").mapInPandas(part, "g binary").toLocalIterator():
+                total += np.frombuffer(row["g"]).reshape(n, n)
+            values, q = np.linalg.eigh(total)
+            return values[::-1], q[:, ::-1]
+
+        def turned(vectors: DataFrame, by: np.ndarray) -> DataFrame:
+            def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for rows in it:
+                    if len(rows):
+                        yield pd.DataFrame({"feature": rows["feature"], "vector": (np.stack(rows["vector"].to_numpy()) @ by).tolist()})
+
+            return vectors.mapInPandas(run, "feature string, vector array<double>").localCheckpoint()
+
+        def scaled(values: np.ndarray, q: np.ndarray) -> np.ndarray:
+            real = values > max(values[0], 0) * 1e-14
+            return q / np.sqrt(np.where(real, values, 1.0)) * real
+
+        seed = lambda j: F.pmod(F.xxhash64("feature", F.lit(config.random_state), F.lit(j)), F.lit(1 << 20)) / float(1 << 19) - 1.0
+        right = x.select("feature").distinct().select("feature", F.array(*(seed(j) for j in range(n))).alias("vector")).localCheckpoint()
+        for _ in range(ROUNDS):
+            left = times(right, "feature", "item_id")
+            turn = scaled(*gram(left))  # makes the left vectors orthonormal; applied to the product, which is the same
+            right = turned(times(left, "item_id", "feature"), turn)
+        values, q = gram(right)
+        return turned(right, scaled(values, q)[:, :k])
+
     def project(self, docs: DataFrame) -> DataFrame:
         """(item_id, vector) of length 1; texts without known features, or nearly zero, have none."""
         x = self._features(docs, self.vocabularies, self.config).join(self.components, "feature")

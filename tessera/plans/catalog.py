@@ -232,8 +232,7 @@ def embedding_cosine_topk(spark, d):
 @query()
 def lsa_search_topk(spark, d):
     """Rows only: the decomposition is no SQL."""
-    titles = _shop(spark, d).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    return semantic.SemanticIndex.build(titles).search(V.shop_queries(spark, d), 10)
+    return semantic.SemanticIndex.build(_shop(spark, d).select("item_id", "text")).search(V.shop_queries(spark, d), 10)
 
 
 # ---- fusion
