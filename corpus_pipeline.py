@@ -19,10 +19,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; documents with a null id all stay."""
+    """One document, that of the smallest id, of each group of near duplicates, with all its different texts; documents with a null id all stay."""
     kept = neardup.near_duplicates(docs, WORDS).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     some = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id")).select(*docs.columns)
-    return some.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    some = some.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return some.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

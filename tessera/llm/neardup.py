@@ -123,10 +123,11 @@ def rest(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     ids = stored(members.join(mixed, "key").select("id", "n", "comp").distinct(), "mixed")
-    shingles = stored(wanted_sets(docs, ids, words).join(ids, "id").dropDuplicates(["id"]), "mixedsets").select("id", "n", "comp", F.explode("set").alias("shingle"))
+    sets = wanted_sets(docs, ids, words).withColumn("n", F.size("set").cast("long")).join(ids, ["id", "n"]).withColumn("own", F.xxhash64("set"))  # an id may have several
+    shingles = stored(sets.dropDuplicates(["id", "own"]), "mixedsets").select("id", "n", "comp", "own", F.explode("set").alias("shingle"))
     counted = shingles.join(shingles.groupBy("shingle").count(), "shingle")
     first = F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1]) + 1 - F.col("alone")
-    some = counted.groupBy("id", "n", "comp").agg(F.count_if(F.col("count") == 1).alias("alone"), F.collect_list(F.when(F.col("count") > 1, F.struct("count", "shingle"))).alias("shared"))
+    some = counted.groupBy("id", "n", "comp", "own").agg(F.count_if(F.col("count") == 1).alias("alone"), F.collect_list(F.when(F.col("count") > 1, F.struct("count", "shingle"))).alias("shared"))
     some = some.filter((first > 0) & (F.size("shared") > 0)).select("id", "n", "comp", "alone", F.posexplode(F.slice(F.array_sort("shared"), F.lit(1), first.cast("int"))).alias("at", "s"))
     x = some.select("id", "n", "comp", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("s.shingle").alias("shingle"))
     y = x.toDF("id2", "n2", "comp2", "left2", "shingle")

@@ -98,6 +98,18 @@ def test_near_duplicates_of_a_large_family(spark):
     assert got == want
 
 
+def test_different_texts_of_one_id(spark):
+    import corpus_pipeline as p
+
+    make = lambda c: [f"{c}{k}" for k in range(60)]
+    rows = [(6, make("r")), (6, make("s")), (10, [*make("r")[:-1], "x"]), (11, [*make("s")[:-1], "y"])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    members = spark.createDataFrame([(1, i, 57, i) for i in (6, 10, 11)], "key long, id long, n long, comp long")
+    assert {tuple(r) for r in neardup.rest(docs, members, 4).collect()} == {(6, 10), (6, 11)}
+    twice = docs.filter("doc_id = 6").unionByName(docs.filter("doc_id = 6"))
+    assert sorted(r["text"] for r in p.near_duplicate_stage(spark, twice, "").collect()) == sorted(" ".join(t) for _, t in rows[:2])
+
+
 def test_empty_tables(spark, none):
     assert neardup.near_duplicates(none).isEmpty()
     assert mixing.mix(none).isEmpty()
