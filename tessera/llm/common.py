@@ -1,18 +1,26 @@
-"""Shared pieces: the folder all executors see, Arrow text access, vectorised words and hashes."""
+"""Shared pieces: the folder all executors see, bounded Arrow batches, text access, vectorised words and hashes."""
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Bytes of text handled at once by the vectorised kernels; longer documents are cut between words.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes and rows of an Arrow batch between the JVM and Python (one row at least).
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+#: Bytes of a row group that a writer of intermediate tables holds.
+ROW_GROUP = 16 << 20
 #: Word separators of the contracts: space and bytes 9 to 13.
 SEP = np.zeros(256, bool)
 SEP[[0x20, *range(9, 14)]] = True
@@ -21,24 +29,75 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII lower-casing.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Units of a hashed stretch from which its hash is cryptographic: long inputs that collide in polynomials modulo 2**64 are known.
+STRONG = 512
 _P = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder named by spark.checkpoint.dir; a folder of our own where that is unset (tests)."""
+    """A fresh path in the folder named by spark.checkpoint.dir, deleted when the application ends.
+
+    Where that is unset, a folder of our own serves in local mode (tests); on a cluster, executors would not see it, so it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by stored(); nothing that is still to be computed may need them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy() -> None:
+    """Gives memory that Arrow and the C library hold unused back to the system, for the next stage's sake."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches of bounded bytes (from here on in the session); workers hold no spare memory after a task."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(it)
+        finally:
+            tidy()
+
+    return df.mapInArrow(run, schema)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, lengthened until it is none of columns (names are compared without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +143,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["p"], _tables["q"]
 
 
+def strong(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """hashes of the stretches units[starts:ends], those of the long ones (rare, as a rule) by BLAKE2."""
+    for i in np.flatnonzero(ends - starts >= STRONG).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(units[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Byte ranges of about size bytes that begin and end at separators or ends of documents."""
     at, end = 0, len(data)
@@ -138,7 +204,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
         c[0] = 0
         np.multiply((LOWER[part] if fold else part), p[: to - at], out=c[1:], dtype=U64, casting="unsafe")
         np.cumsum(c, out=c)
-        hs.append(mix((c[e] - c[s]) * q[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)))
+        h = mix((c[e] - c[s]) * q[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+        hs.append(strong(h, s, e, LOWER[part] if fold else part) if len(s) and (e - s).max() >= STRONG else h)
         ss.append(s + at)
         es.append(e + at)
     if not hs:

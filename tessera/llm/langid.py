@@ -8,8 +8,8 @@ the bits' margins, weighted by how well each classifier separates its sides, and
 closer than AMBIGUOUS are flagged.
 
 Defined results: texts that are null or have no letter are 'und' with score 0, not ambiguous; without any labelled
-training text all are 'und'; with one language all others are that language with score 1; ties go to the language first in order; rows with a null
-doc_id are not held out; repeated rows are rows of their own; other columns are ignored.
+training text all are 'und'; with one language all others are that language with score 1; ties go to the language first in order; more than LANGS values of lang
+are an error; rows with a null doc_id are not held out; repeated rows are rows of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from .common import U64, batches_by_bytes, table, text_buffers
+from .common import U64, batches_by_bytes, mapped, table, text_buffers
 
 #: Buckets of hashed n-grams (bucket 0 stands for none), smoothing, scale of the margins, least gap of losses, bits a log2 of many languages.
 BUCKETS, SMOOTH, SCALE, AMBIGUOUS, RATE = 1 << 15, 0.5, 4.0, 0.05, 10
+#: Values of lang at most (a table of BUCKETS counts each, in a task and on the driver); more are an error.
+LANGS = 1000
 _STEP, _FIX = 1 << 19, 1 << 14
 #: A-Z lower-cased; other ASCII than letters counts as a space.
 _FOLD = np.array([b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
@@ -81,6 +83,8 @@ def training_counts(docs: DataFrame) -> DataFrame:
                 part = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in mine])
                 offs = np.concatenate([[0], np.cumsum(offsets[mine + 1] - offsets[mine])])
                 sums = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                if len(total) > LANGS:
+                    raise ValueError(f"more than {LANGS} different languages")
                 for _, ids in grams(part, offs):
                     sums += np.bincount(ids.ravel(), minlength=BUCKETS)
         for lang, sums in total.items():
@@ -89,7 +93,7 @@ def training_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(sums[at], pa.int64())})
 
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    return rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return mapped(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -142,6 +146,8 @@ def fit(docs: DataFrame) -> Model:
     counts: dict[str, np.ndarray] = {}
     for lang, bucket, n in training_counts(docs).toLocalIterator():
         counts.setdefault(lang, np.zeros(BUCKETS))[bucket] = n
+        if len(counts) > LANGS:
+            raise ValueError(f"more than {LANGS} different languages")
     return Model(counts)
 
 
@@ -164,7 +170,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names), pa.array(np.where(letter, value, 0.0)), pa.array(close & letter)], [*(c for c in batch.schema.names if c != "_letter"), "lang_pred", "score", "ambiguous"])
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("ambiguous", BooleanType())
-    return kept.mapInArrow(score, schema)
+    return mapped(kept, score, schema)
 
 
 def held_out(doc_id: Column, mod: int) -> Column:
