@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, pieces, spans, table, text_buffers
+from .common import batches_by_bytes, mapped, pieces, spans, table, text_buffers
 
 #: Trees, their depth, rows in a leaf at least, probability from which a finding is a secret, labelled rows used at most.
 TREES, DEPTH, LEAF, THRESHOLD, MOST, SEED = 40, 9, 3, 0.5, 4000, 11
@@ -48,14 +49,30 @@ _RULES = [(n, re.compile(p, re.S)) for n, p in RULES]
 #: Bytes of the shortest value of the rules 'prefixed', 'aws_id', 'jwt' and 'random'.
 LONG = 19
 _BEGIN = re.compile(rb"-----BEGIN")
+_BLOCK_BEGIN, _BLOCK_END = re.compile(rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"), re.compile(rb"-----END [A-Z ]{0,20}PRIVATE KEY-----")
 _DIGIT, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _DIGIT[48:58] = True
 _MARK[[58, 61]] = True
 
 
+def blocks(raw: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the key blocks in a text, what the rule 'private_key' finds; unclosed begins cost nothing further."""
+    ends, out, at = [m.end() for m in _BLOCK_END.finditer(raw)], [], 0
+    for m in _BLOCK_BEGIN.finditer(raw):
+        k = bisect_right(ends, m.end())
+        while k < len(ends) and raw.rfind(b"-----END", m.end(), ends[k]) < 0:  # the begin's dashes are not the end's
+            k += 1
+        if k == len(ends):
+            break
+        if m.start() >= at:
+            at = ends[k]
+            out.append((m.start(), at))
+    return out
+
+
 def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, str, bytes]]:
     """(document, start, end, rule, key) of all candidates, byte positions in data, in order and without overlaps."""
-    ss, es, on = [], [], []
+    ss, es, on, marked = [], [], [], set()
     for at, to in pieces(data, offsets):
         s, e = spans(data, offsets, at, to)
         part = data[at:to]
@@ -63,38 +80,35 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
         marks = np.concatenate([[0], np.cumsum(_MARK[part], dtype=np.int32)])
         # no rule without ':' or '=' matches fewer than LONG bytes, but for blocks
         hot = ((e - s >= 12) & (digits[e] > digits[s])) | (e - s >= LONG) | (marks[e] > marks[s])
-        begins = [m.start() for m in _BEGIN.finditer(part.tobytes())]
-        hot[np.searchsorted(s, begins, "right") - 1] = True
+        marked.update((np.searchsorted(offsets, [at + m.start() for m in _BEGIN.finditer(part.tobytes())], "right") - 1).tolist())
         ss.append(s + at)
         es.append(e + at)
         on.append(hot)
     if not ss:
         return []
     s, e, on = map(np.concatenate, (ss, es, on))
+    held = {d: [(a + int(offsets[d]), z + int(offsets[d])) for a, z in blocks(data[offsets[d] : offsets[d + 1]].tobytes())] for d in marked}
+    out = [(d, a, z, "private_key", b"") for d, found in held.items() for a, z in found]
     hot = np.flatnonzero(on)
-    if not len(hot):
-        return []
-    doc = np.searchsorted(offsets, s[hot], "right") - 1
-    begin = np.maximum(s[np.maximum(hot - 3, 0)], offsets[doc])
-    end = np.minimum(e[np.minimum(hot + 3, len(s) - 1)], offsets[doc + 1])
-    new = np.flatnonzero(np.concatenate([[True], (begin[1:] > np.maximum.accumulate(end)[:-1]) | (doc[1:] != doc[:-1])]))
-    out = []
-    for d, a, z in zip(doc[new], begin[new], np.maximum.reduceat(end, new), strict=True):
-        window = data[a:z].tobytes()
-        if b"-----BEGIN" in window:  # a block is looked for up to its end
-            window = data[a : offsets[d + 1]].tobytes()
-        found: list[tuple[int, int, int, str, bytes]] = []
-        for name, rule in _RULES:
-            for m in rule.finditer(window):
-                x, y = m.span("v")
-                if not any(x + a < f[2] and f[1] < y + a for f in found):
-                    found.append((int(d), int(x + a), int(y + a), name, m["k"] if "k" in rule.groupindex else b""))
-        out += sorted(found)
-    done: list[tuple[int, int, int, str, bytes]] = []
-    for f in out:
-        if not done or f[1] >= done[-1][2]:
-            done.append(f)
-    return done
+    if len(hot):
+        doc = np.searchsorted(offsets, s[hot], "right") - 1
+        begin = np.maximum(s[np.maximum(hot - 3, 0)], offsets[doc])
+        end = np.minimum(e[np.minimum(hot + 3, len(s) - 1)], offsets[doc + 1])
+        new = np.flatnonzero(np.concatenate([[True], (begin[1:] > np.maximum.accumulate(end)[:-1]) | (doc[1:] != doc[:-1])]))
+        for d, a, z in zip(doc[new].tolist(), begin[new].tolist(), np.maximum.reduceat(end, new).tolist(), strict=True):
+            window, own = data[a:z].tobytes(), held.get(d, [])
+            taken = bytearray(z - a)  # a candidate of an earlier rule is not one of a later rule
+            for x, y in own[bisect_right(own, a, key=lambda b: b[1]) :]:
+                if x >= z:
+                    break
+                taken[max(x, a) - a : min(y, z) - a] = b"\1" * (min(y, z) - max(x, a))
+            for name, rule in _RULES[1:]:
+                for m in rule.finditer(window):
+                    x, y = m.span("v")
+                    if taken.find(1, x, y) < 0:
+                        taken[x:y] = b"\1" * (y - x)
+                        out.append((d, x + a, y + a, name, m["k"] if "k" in rule.groupindex else b""))
+    return sorted(out)
 
 
 @lru_cache(1)
@@ -237,8 +251,9 @@ class Forest:
 
 
 def train(findings: list[dict]) -> Forest:
-    """A forest from labelled findings, the first MOST of them."""
-    findings = findings[:MOST]
+    """A forest from labelled findings, a seeded sample of MOST of them if there are more."""
+    if len(findings) > MOST:
+        findings = [findings[i] for i in np.sort(np.random.default_rng(SEED).permutation(len(findings))[:MOST])]
     x = np.array([numbers(f["value"], f["key"], f["before"], f["after"], f["path"], rule_of(f["value"], f["key"])) for f in findings])
     return Forest(x, np.array([f["secret"] for f in findings], float))
 
@@ -276,7 +291,7 @@ def scan(docs: DataFrame, forest: Forest, path: str = "source") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "rule", "value_sha256", "score", "is_secret"])
 
     rows = _with_path(docs, path).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(path).alias("source"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, rule string, value_sha256 string, score double, is_secret boolean")
+    return mapped(rows, run, "doc_id long, start long, length long, rule string, value_sha256 string, score double, is_secret boolean")
 
 
 def redact(docs: DataFrame, forest: Forest, path: str = "source") -> DataFrame:
@@ -308,7 +323,7 @@ def redact(docs: DataFrame, forest: Forest, path: str = "source") -> DataFrame:
             yield kept
 
     rows = _with_path(docs, path)
-    return (rows if path == "source" else rows.withColumn("source", F.col(path))).mapInArrow(run, schema)
+    return mapped(rows if path == "source" else rows.withColumn("source", F.col(path)), run, schema)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
