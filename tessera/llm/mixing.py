@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, fresh, stored, table
 
 #: Weights of the sources in order, repeating; a document is taken this many times at most; slots of the schedule; seed.
 WEIGHTS, EPOCHS, SLOTS, SEED = (5, 2, 1), 3, 1 << 20, 17
@@ -33,9 +33,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))), F.lit(0)).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size)."""
-    return docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size) and more columns of docs."""
+    return docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), *more)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -82,33 +82,33 @@ def schedule(spark: SparkSession, by_source: DataFrame, slots: int) -> DataFrame
     return at.join(runs.drop("count"), ["place", "run"]).select("slot", "place", (F.col("nth") + F.col("before") - 1).cast("long").alias("rank"))
 
 
-def streams(sizes: DataFrame, by_source: DataFrame, n: int, seed: int) -> DataFrame:
-    """sizes with place, source_size, target, quota, slots, and row (bucket and number in it) and start, its first word in its source's shuffled stream."""
+def streams(sizes: DataFrame, by_source: DataFrame, n: int, seed: int, *more: str) -> DataFrame:
+    """sizes (and more of its columns) with place, source_size, target, quota, slots, and row (bucket and number in it) and start, its first word in its source's shuffled stream."""
     buckets = max(1, -(-n // 2000))
     d = sizes.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("key", F.lit(buckets)))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
     b, s = by_source.alias("b"), sums.alias("s")
     sums = s.join(b, F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.source", "bucket", "before", "place", "source_size", "target", "quota", "slots")
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
+    inner = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *more)
     d = d.withColumn("nth", F.row_number().over(inner)).withColumn("start", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     d, s = d.alias("d"), sums.alias("s")
     d = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
-    return d.select("d.doc_id", "d.source", "d.size", "place", "source_size", "target", "quota", "slots", "d.bucket", "nth", (F.col("start") + F.col("before")).alias("start"))
+    return d.select("d.doc_id", "d.source", "d.size", "place", "source_size", "target", "quota", "slots", "d.bucket", "nth", (F.col("start") + F.col("before")).alias("start"), *(f"d.{c}" for c in more))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), a row for each of docs."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, slots: int = SLOTS, seed: int = SEED, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) and more columns of docs, a row for each of docs."""
     spark = docs.sparkSession
-    sizes = stored(sized(docs), "sizes")
+    sizes = stored(sized(docs, *more), "sizes")
     by_source = stored(targets(sizes, weights, epochs), "sources")
     total, n = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     block = max(1, -(-total // slots))
     slotted = stored(schedule(spark, by_source, -(-total // block)).select("place", F.col("rank").alias("block"), F.lit(1).alias("hit")), "slots")
     by_source = by_source.join(slotted.groupBy("place").agg(F.count("*").alias("slots")), "place", "left")
     slotted = slotted.unionByName(by_source.filter("slots IS NULL AND quota > 0").select("place", F.lit(0).cast("long").alias("block"), F.lit(1).alias("hit")))
-    d = streams(sizes, by_source.withColumn("slots", F.coalesce("slots", F.lit(1))), n, seed)
-    row = ["doc_id", "source", "size", "source_size", "target", "bucket", "nth"]
+    d = streams(sizes, by_source.withColumn("slots", F.coalesce("slots", F.lit(1))), n, seed, *more)
+    row = ["doc_id", "source", "size", "source_size", "target", *more, "bucket", "nth"]
     begin = F.col("epoch") * F.col("source_size") + F.col("start")
     d = d.withColumn("epoch", F.explode(F.array(*(F.lit(e).cast("long") for e in range(epochs))))).withColumn("begin", begin)
     d = d.withColumn("end", F.least(F.col("begin") + F.col("size"), "quota"))
@@ -128,20 +128,23 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: a row for each whole copy, and the first words of a document that is taken in part.
+    """docs as the mix takes them: a row for each whole copy, and the first words, with the white space before them, of a document that is taken in part.
 
+    All blocks of a quota are taken, so only the document that stands at a quota's end is taken in part, and from its begin on.
     Null texts, texts without words and null ids are taken 0 times. Columns and their order stay; n_chars, if there, counts the new text.
     """
-    rows = mix(docs, **options)
-    rows = rows.filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    m, r = docs.withColumn("_size", n_words(F.col("text"))).alias("m"), rows.alias("r")
-    same = (F.col("m.doc_id") == F.col("r.doc_id")) & F.col("m.source").eqNullSafe(F.col("r.source")) & (F.col("m._size") == F.col("r.size"))
-    both = m.join(r, same).select("m.*", (F.col("r.taken") / F.col("r.rows")).cast("long").alias("_taken"))
-    full, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
+    print_, taken, words = (fresh(docs.columns, c) for c in ("_print", "_taken", "_words"))
+    named = docs.withColumn(print_, F.xxhash64("text"))
+    rows = mix(named, more=(print_,), **options).filter("taken > 0")
+    rows = rows.groupBy("doc_id", "source", print_).agg(F.any_value("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    m, r = named.alias("m"), rows.alias("r")
+    same = (F.col("m.doc_id") == F.col("r.doc_id")) & F.col("m.source").eqNullSafe(F.col("r.source")) & (F.col(f"m.{print_}") == F.col(f"r.{print_}"))
+    mine = (F.col("r.taken") / F.col("r.rows")).cast("long")
+    full, rest = F.floor(mine / F.col("r.size")), mine % F.col("r.size")
     times = F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    both = both.withColumn("_words", F.explode(times))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_words").cast("int")), " ")
-    both = both.withColumn("text", F.when(F.col("_words") == 0, F.col("text")).otherwise(head))
+    both = m.join(r, same).select("m.*", times.alias(taken)).withColumn(words, F.explode(taken))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)), F.lit(1), F.col(words).cast("int")), "")
+    both = both.withColumn("text", F.when(F.col(words) == 0, F.col("text")).otherwise(head))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return both.select(*docs.columns)
