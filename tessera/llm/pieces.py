@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, batches_by_bytes, powers, table
+from .common import U64, batches_by_bytes, powers, strong, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters from which a stretch is streamed; remembered stretches and ids at most.
@@ -349,6 +349,7 @@ class Coder:
         c = np.zeros(len(cls) + 1, U64)
         np.cumsum((chars + np.uint32(1)).astype(U64) * p[: len(cls)], out=c[1:])
         key = ((c[bounds[1:]] - c[bounds[:-1]]) * q[starts]) ^ (lengths.astype(U64) << U64(1))
+        key = strong(key, starts, bounds[1:], chars)
         codes, keys = pd.factorize(key.view(np.int64))
         first = np.empty(len(keys), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]

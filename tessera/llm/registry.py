@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from .langid import op7_langid
 from .lmscore import op8_lmscore
 from .media import op1_media
@@ -32,7 +30,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lmscore": op8_lmscore,
         "op9_topk": op9_topk,
         "op10_secrets": op10_secrets,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, batches_by_bytes, powers, table
+from .common import U64, batches_by_bytes, powers, strong, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens in a leaf when a tree is built and at most; characters read again before an edit; remembered pre-tokens at most.
@@ -105,6 +105,7 @@ class Counter:
         c = np.zeros(len(chars) + 1, U64)
         np.cumsum((chars + np.uint32(1)).astype(U64) * p[: len(chars)], out=c[1:])
         key = ((c[bounds[1:]] - c[bounds[:-1]]) * q[starts]) ^ (lengths.astype(U64) << U64(1))
+        key = strong(key, starts, bounds[1:], chars)
         codes, keys = pd.factorize(key.view(np.int64))
         if len(self.known) > SLOTS:
             self.known.clear()
