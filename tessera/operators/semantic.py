@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from ..config import SemanticConfig
 from ..functions.scoring import finite, ranked
 from ..functions.text import char_ngrams, word_ngrams
+from ..storage import stored
 from .tfidf import counts, vocabulary, weigh
 
-#: Items whose Gram matrix is made at most; beyond, rounds of the subspace iteration and vectors besides the components.
-FIT, ROUNDS, SPARE = 1000, 6, 16
+#: Items whose Gram matrix is made at most, and their features; beyond, rounds of the subspace iteration and vectors besides the components.
+FIT, ROWS, ROUNDS, SPARE = 1000, 2_000_000, 6, 16
+#: Bytes of query vectors that are sent to the executors at once.
+TILE = 32 << 20
 
 
 @dataclass
@@ -48,7 +51,8 @@ class SemanticIndex:
             raise ValueError("no items")
         vocabularies = {k: vocabulary(counts(docs, grams), n, config.min_df, config.max_df).cache() for k, (grams, _) in cls._kinds(config).items()}
         x = cls._features(docs, vocabularies, config).cache()
-        components = docs.sparkSession.createDataFrame(cls._decompose(x.toPandas(), config), "feature string, vector array<double>") if n <= FIT else cls._iterate(x, config)
+        small = n <= FIT and x.count() <= ROWS
+        components = docs.sparkSession.createDataFrame(cls._decompose(x.toPandas(), config), "feature string, vector array<double>") if small else cls._iterate(x, config)
         components = components.cache()
         index = cls(components, vocabularies, docs.select("item_id"), config)
         index.vectors = index.project(docs).cache()
@@ -94,7 +98,7 @@ class SemanticIndex:
         n = min(k + SPARE, items, features)
 
         def times(vectors: DataFrame, by: str, to: str) -> DataFrame:
-            return x.join(vectors, by).groupBy(to).agg(F.array(*(F.sum(F.col("weight") * F.col("vector")[j]) for j in range(n))).alias("vector")).localCheckpoint()  # plans of rounds must not nest
+            return stored(x.join(vectors, by).groupBy(to).agg(F.array(*(F.sum(F.col("weight") * F.col("vector")[j]) for j in range(n))).alias("vector")), "lsa")  # plans of rounds must not nest
 
         def gram(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,14 +118,14 @@ class SemanticIndex:
                     if len(rows):
                         yield pd.DataFrame({"feature": rows["feature"], "vector": (np.stack(rows["vector"].to_numpy()) @ by).tolist()})
 
-            return vectors.mapInPandas(run, "feature string, vector array<double>").localCheckpoint()
+            return stored(vectors.mapInPandas(run, "feature string, vector array<double>"), "lsa")
 
         def scaled(values: np.ndarray, q: np.ndarray) -> np.ndarray:
             real = values > max(values[0], 0) * 1e-14
             return q / np.sqrt(np.where(real, values, 1.0)) * real
 
         seed = lambda j: F.pmod(F.xxhash64("feature", F.lit(config.random_state), F.lit(j)), F.lit(1 << 20)) / float(1 << 19) - 1.0
-        right = x.select("feature").distinct().select("feature", F.array(*(seed(j) for j in range(n))).alias("vector")).localCheckpoint()
+        right = stored(x.select("feature").distinct().select("feature", F.array(*(seed(j) for j in range(n))).alias("vector")), "lsa")
         for _ in range(ROUNDS):
             left = times(right, "feature", "item_id")
             turn = scaled(*gram(left))  # makes the left vectors orthonormal; applied to the product, which is the same
@@ -146,14 +150,56 @@ class SemanticIndex:
         return vector_search(q, self.vectors, top_k)
 
 
+def _best(score: np.ndarray, item: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each of asked, by score and then by the smaller item."""
+    order = np.lexsort((item, -score, asked))
+    score, item, asked = score[order], item[order], asked[order]
+    first = np.searchsorted(asked, asked)  # where each one's rows begin
+    keep = np.arange(len(asked)) - first < k
+    return score[keep], item[keep], asked[keep]
+
+
 def vector_search(queries: DataFrame, items: DataFrame, top_k: int, digits: int | None = None) -> DataFrame:
     """(query_id, item_id, score, rank): dot products of (query_id, q) with (item_id, vector), best top_k; non-finite ones are left out.
 
-    Items are dealt to shards, and queries copied to each: the least that comparing all with all can move.
+    Query vectors go to the executors in tiles of TILE bytes at most, each against all items by matrix products; a task
+    selects from every product and keeps its best, so what is shuffled is top_k rows a query and task. Vectors of another length than the
+    queries' longest take no part.
     """
-    shards = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int"))
-    copied = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dot = F.aggregate(F.zip_with("q", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    scored = spread.join(copied, "shard").select("query_id", "item_id", (F.round(dot, digits) if digits else dot).alias("score")).filter(finite(F.col("score")))
-    return ranked(scored, ["query_id"], [F.desc("score"), F.asc("item_id")], top_k)
+    spark = items.sparkSession
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    tiles = max(1, -(-n * max(width, 1) * 8 // TILE))
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *items.schema.fields]}
+    schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double"
+    fits = items.filter(F.size("vector") == width).select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+    if tiles > 1:
+        queries = stored(queries.withColumn("_tile", F.pmod(F.xxhash64("query_id"), F.lit(tiles))), "queries")
+
+    def one(rows: list) -> DataFrame:
+        rows = [r for r in rows if r["q"] is not None and len(r["q"]) == width]
+        given = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows], float).reshape(len(rows), width)))
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q = given.value
+            best: tuple[np.ndarray, ...] | None = None
+            for batch in it:
+                for a in range(0, len(batch) if len(names) else 0, 2048):
+                    part = batch.iloc[a : a + 2048]
+                    score, item = q @ np.stack(part["vector"].to_numpy()).T, part["item_id"].to_numpy()
+                    item = item.astype(str) if item.dtype == object else item
+                    score = np.round(score, digits) if digits else score
+                    score[~np.isfinite(score)] = -np.inf
+                    least = np.partition(score, -top_k, axis=1)[:, -top_k] if score.shape[1] > top_k else np.full(len(score), -np.inf)
+                    asked, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                    new = (score[asked, at], item[at], asked)
+                    best = _best(*(new if best is None else map(np.concatenate, zip(best, new, strict=True))), top_k)
+            if best is not None:
+                yield pd.DataFrame({"query_id": names[best[2]], "item_id": best[1], "score": best[0]})
+
+        return fits.mapInPandas(run, schema)
+
+    parts = [one((queries.filter(F.col("_tile") == t) if tiles > 1 else queries).select("query_id", "q").collect()) for t in range(tiles)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return ranked(found.filter(finite(F.col("score"))), ["query_id"], [F.desc("score"), F.asc("item_id")], top_k)
