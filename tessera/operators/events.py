@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EVENT_TYPES
@@ -61,11 +63,44 @@ def recent(events: DataFrame, limit: int = 50) -> DataFrame:
     return events.orderBy(F.desc("timestamp"), "event_id").limit(min(limit, 100))
 
 
-def capture(log: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+def time_range(start: str | None, end: str | None) -> tuple[datetime | None, datetime | None]:
+    """Times of ISO-8601 texts; ValueError 'invalid_time_format' or, if start lies after end, 'invalid_time_range'. Empty texts set no bound."""
+    try:
+        a, b = (datetime.fromisoformat(t) if t else None for t in (start, end))
+    except ValueError as e:
+        raise ValueError("invalid_time_format") from e
+    if a and b and a > b:
+        raise ValueError("invalid_time_range")
+    return a, b
+
+
+def request_name(given: Column) -> Column:
+    """A request's id: the given one if it is made of letters, digits, - and _ (128 at most), else 16 random hexadecimal digits."""
+    return F.when(given.rlike(r"\A[a-zA-Z0-9\-_]{1,128}\z"), given).otherwise(F.substr(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(1), F.lit(16)))
+
+
+def refusal(columns: list[str]) -> Column:
+    """The first rule that a request for an event breaks, null if none; columns that a table lacks are not looked at.
+
+    A known type, an event id of 1 to 64 characters, other ids of 64 at most, a query text of 512 at most, a position from 1, amounts from 0.
+    """
+    long_ = lambda c, n: F.length(F.col(c).cast("string")) > n
+    rules = {"event_type": ~F.coalesce(F.col("event_type"), F.lit("")).isin(*EVENT_TYPES)} if "event_type" in columns else {}
+    if "event_id" in columns:
+        rules["event_id"] = F.coalesce(F.length(F.col("event_id").cast("string")), F.lit(0)).between(1, 64) == F.lit(False)
+    rules |= {c: long_(c, 64) for c in ("client_event_id", "request_id", "session_id", "user_id", "query_id", "item_id") if c in columns}
+    rules |= {"query_text": long_("query_text", 512)} if "query_text" in columns else {}
+    rules |= {"position": F.col("position") < 1} if "position" in columns else {}
+    rules |= {c: (F.col(c) < 0) | F.isnan(F.col(c).cast("double")) for c in ("click_duration_ms", "add_to_cart_quantity", "purchase_amount") if c in columns}
+    return F.coalesce(*(F.when(bad, F.lit(name)) for name, bad in rules.items())) if rules else F.lit(None).cast("string")
+
+
+def capture(log: DataFrame, new: DataFrame, checked: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events to append, event to answer for each new one): a client_event_id that is in the log, or earlier in new, names the event already there.
 
-    Blank query ids and texts become null; events without client_event_id are always appended.
+    Blank query ids and texts become null; events without client_event_id are always appended. checked leaves out what refusal() names.
     """
+    new = new.filter(refusal(new.columns).isNull()) if checked else new
     blank = lambda c: F.when(F.trim(c) == "", None).otherwise(F.col(c)).alias(c)
     new = new.select(*(blank(c) if c in ("query_id", "query_text") else F.col(c) for c in new.columns))
     keyed, free = new.filter("client_event_id IS NOT NULL"), new.filter("client_event_id IS NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import PersonalizationConfig
 from ..functions.scoring import gain
 
 
@@ -107,3 +108,20 @@ def overlap(base: DataFrame, personal: DataFrame, k: int) -> DataFrame:
     """(query_id, overlap, changed_positions): shared items over k, rounded to 4 places, and how many of the base moved."""
     shifts = rank_shifts(base, personal)
     return shifts.groupBy("query_id").agg(F.round(F.count_if(F.col("personal_rank") != 999) / F.lit(float(k)), 4).alias("overlap"), F.count_if(F.col("delta") != 0).alias("changed_positions"))
+
+
+def behaviour_grades(events: DataFrame, relevance: dict[str, int] | None = None) -> DataFrame:
+    """(request_id, item_id, grade): a request's strongest event with an item, by the settings' grades; other events are 0."""
+    relevance = PersonalizationConfig().behavior_relevance if relevance is None else relevance
+    grade = F.lit(0)
+    for kind, value in relevance.items():
+        grade = F.when(F.col("event_type") == kind, value).otherwise(grade)
+    return events.groupBy("request_id", "item_id").agg(F.max(grade).cast("long").alias("grade"))
+
+
+def diagnose(candidates: DataFrame, qrels: DataFrame, grades: DataFrame) -> DataFrame:
+    """candidates (query_id, request_id, item_id, …) with qrel_grade and behaviour_grade, 0 where nothing is known."""
+    q = qrels.select("query_id", "item_id", F.col("grade").alias("qrel_grade"))
+    g = grades.select("request_id", "item_id", F.col("grade").alias("behaviour_grade"))
+    out = candidates.join(q, ["query_id", "item_id"], "left").join(g, ["request_id", "item_id"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("qrel_grade", "behaviour_grade")})

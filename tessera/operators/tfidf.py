@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import ranked
+from ..functions.text import word_ngrams
 
 
 def counts(docs: DataFrame, grams: Column) -> DataFrame:
-    """(item_id, feature, tf) of an array column of features."""
-    return docs.select("item_id", F.explode(grams).alias("feature")).groupBy("item_id", "feature").agg(F.count("*").alias("tf"))
+    """(item_id, feature, tf) of an array column of features.
+
+    Texts are dealt out by item before they are cut, so the features, many times their size, are counted where they are.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.repartition(parts, "item_id")
+    return dealt.select("item_id", F.explode(grams).alias("feature")).groupBy("item_id", "feature").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(tf: DataFrame, n: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
@@ -37,3 +45,32 @@ def cosine_search(queries: DataFrame, items: DataFrame, top_k: int, digits: int
     score = F.sum(F.col("qw") * F.col("weight"))
     scored = q.join(items, "feature").groupBy("query_id", "item_id").agg((F.round(score, digits) if digits else score).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), F.asc("item_id")], top_k)
+
+
+@dataclass
+class TfidfIndex:
+    """weights (item_id, feature, weight), vocabulary (feature, idf), lengths (item_id, length) of word TF-IDF."""
+
+    weights: DataFrame
+    vocabulary: DataFrame
+    lengths: DataFrame
+    pattern: str
+
+    @classmethod
+    def build(cls, docs: DataFrame, pattern: str) -> TfidfIndex:
+        """From (item_id, text): n-grams of 1 and 2 words."""
+        tf = counts(docs, word_ngrams(F.col("text"), 1, 2, pattern))
+        vocabulary_ = vocabulary(tf, docs.count())
+        weights = weigh(tf, vocabulary_)
+        lengths = weights.groupBy("item_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")).filter("length > 1e-8")
+        return cls(weights, vocabulary_, lengths, pattern)
+
+    def search(self, queries: DataFrame, top_k: int, digits: int | None = None) -> DataFrame:
+        """(query_id, item_id, score, rank) of (query_id, query_text) by cosine. Queries meet the features first, items' lengths only what was found."""
+        asked = queries.select(F.col("query_id").alias("item_id"), F.col("query_text").alias("text"))
+        q = normalise(weigh(counts(asked, word_ngrams(F.col("text"), 1, 2, self.pattern)), self.vocabulary))
+        q = q.select(F.col("item_id").alias("query_id"), "feature", F.col("weight").alias("qw"))
+        found = q.join(self.weights, "feature").groupBy("query_id", "item_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("dot"))
+        score = F.col("dot") / F.col("length")
+        scored = found.join(self.lengths, "item_id").select("query_id", "item_id", (F.round(score, digits) if digits else score).alias("score"))
+        return ranked(scored, ["query_id"], [F.desc("score"), F.asc("item_id")], top_k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,6 +17,7 @@ from ..operators.bm25 import BM25Index
 from ..sources import validate
 from . import search as S
 from . import views as V
+from .indices import IndexStore
 from .views import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,14 +145,23 @@ def item_weighted_text(spark, d):
     return V.items(spark, d).select("item_id", item_text().alias("text"))
 
 
+def _name(d: str, table: str) -> str:
+    """An index's name: its table, and the folder that it is read from."""
+    return f"{table}-{zlib.crc32(d.encode()):08x}"
+
+
 def _index(spark, d) -> BM25Index:
-    return BM25Index.build(V.docs(spark, d), normalise=False)
+    return IndexStore(spark).bm25(_name(d, "docs"), V.docs(spark, d), normalise=False)
 
 
 def _shop(spark, d) -> DataFrame:
     return V.items(spark, d).select("item_id", item_text().alias("text"))
 
 
+def _shop_index(spark, d) -> BM25Index:
+    return IndexStore(spark).bm25(_name(d, "items"), _shop(spark, d), normalise=False)
+
+
 @query("SELECT item_id, term, tf FROM p", "p")
 def bm25_term_freq(spark, d):
     return _index(spark, d).postings.select("item_id", "term", "tf")
@@ -177,7 +188,7 @@ def bm25_search_topk(spark, d):
 
 @query("SELECT query_id, item_id, score, rank FROM shbm WHERE rank <= 20", "shbm")
 def bm25_search_items(spark, d):
-    return BM25Index.build(_shop(spark, d), normalise=False).search(V.shop_queries(spark, d), 20, 6)
+    return _shop_index(spark, d).search(V.shop_queries(spark, d), 20, 6)
 
 
 def _word_weights(docs: DataFrame) -> DataFrame:
@@ -206,40 +217,35 @@ def tfidf_pruned_vocabulary(spark, d):
     return tfidf.vocabulary(tfidf.counts(docs, word_ngrams(F.col("text"), 1, 2, WORDS)), docs.count(), 3, 0.5).withColumn("idf", F.round("idf", 6))
 
 
-def _tfidf_search(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    grams = word_ngrams(F.col("text"), 1, 2, WORDS)
-    tf = tfidf.counts(docs, grams)
-    vocabulary = tfidf.vocabulary(tf, docs.count())
-    q = tfidf.weigh(tfidf.counts(asked.select(F.col("query_id").alias("item_id"), F.col("query_text").alias("text")), grams), vocabulary)
-    unit = tfidf.normalise(q).withColumnRenamed("item_id", "query_id")
-    return tfidf.cosine_search(unit, tfidf.normalise(tfidf.weigh(tf, vocabulary)), k, 6)
+def _tfidf(spark, d, table: str = "docs") -> tfidf.TfidfIndex:
+    return IndexStore(spark).tfidf(_name(d, table), V.docs(spark, d) if table == "docs" else _shop(spark, d), WORDS)
 
 
 @query("SELECT query_id, item_id, score, rank FROM cr WHERE rank <= 10", "cr")
 def tfidf_cosine_topk(spark, d):
-    return _tfidf_search(V.docs(spark, d), V.passages(spark, d), 10)
+    return _tfidf(spark, d).search(V.passages(spark, d), 10, 6)
 
 
-@query("SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS item_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) QUALIFY rank <= 10")
+@query("SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS item_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) QUALIFY rank <= 10")
 def embedding_cosine_topk(spark, d):
     v = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vector"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     v = v.withColumn("n", length).filter("n > 1e-8").select("item_id", F.transform("vector", lambda x: x / F.col("n")).alias("vector"))
-    q = v.filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("vector").alias("q"))
+    q = v.filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("vector").alias("q"))
     return semantic.vector_search(q, v, 10, 6)
 
 
 @query()
 def lsa_search_topk(spark, d):
     """Rows only: the decomposition is no SQL."""
-    return semantic.SemanticIndex.build(_shop(spark, d).select("item_id", "text")).search(V.shop_queries(spark, d), 10)
+    return IndexStore(spark).semantic(_name(d, "items"), _shop(spark, d)).search(V.shop_queries(spark, d), 10)
 
 
 # ---- fusion
 
 
 def _both(spark, d) -> DataFrame:
-    return fusion.candidates(_index(spark, d).search(V.passages(spark, d), 100, 6), _tfidf_search(V.docs(spark, d), V.passages(spark, d), 100))
+    return fusion.candidates(_index(spark, d).search(V.passages(spark, d), 100, 6), _tfidf(spark, d).search(V.passages(spark, d), 100, 6))
 
 
 @query("SELECT query_id, item_id, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(semantic_rank, 0) AS semantic_rank, CASE WHEN c.semantic_rank IS NULL THEN 'bm25' WHEN c.bm25_rank IS NULL THEN 'semantic' ELSE 'bm25,semantic' END AS sources FROM c", "c")
@@ -330,8 +336,8 @@ def profile_refresh_counts(spark, d):
 
 
 def _shop_hits(spark, d) -> DataFrame:
-    asked, docs = V.shop_queries(spark, d), _shop(spark, d)
-    both = fusion.candidates(BM25Index.build(docs, normalise=False).search(asked, 50, 6), _tfidf_search(docs, asked, 50))
+    asked = V.shop_queries(spark, d)
+    both = fusion.candidates(_shop_index(spark, d).search(asked, 50, 6), _tfidf(spark, d, "items").search(asked, 50, 6))
     return fusion.fuse_linear(both, 0.5, 0.5, 20, 6).select("query_id", "item_id", "rank", "fusion_score").join(asked.select("query_id", "user_id"), "query_id")
 
 
@@ -358,18 +364,30 @@ def personalized_linear_search(spark, d):
 @query()
 def personalized_search_lsa(spark, d):
     """The whole search plan, with the latent semantic channel; rows only."""
-    snapshot = S.Snapshot.build(V.items(spark, d))
+    snapshot = S.Snapshot.build(V.items(spark, d), store=IndexStore(spark), name=_name(d, "items"))
     return S.search(snapshot, V.shop_queries(spark, d), "linear", 10, _profiles(spark, d), True).select("query_id", "user_id", "item_id", "personalized_score", "rank")
 
 
 # ---- metrics
 
-_JUDGED = "SELECT r.query_id, r.item_id, r.rank, coalesce(q.grade, 0) AS grade FROM (SELECT * FROM bm WHERE rank <= 20) r LEFT JOIN qr q USING (query_id, item_id)"
-_METRICS = f"""SELECT a.query_id, a.k, round(coalesce(hits, 0) / a.k, 6) AS precision, round(coalesce(hits / nullif(relevant, 0), 0), 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(dcg / nullif(idcg, 0), 0), 6) AS ndcg
-FROM (SELECT query_id, unnest([5, 10, 20])::BIGINT AS k FROM passages) a
-LEFT JOIN (SELECT query_id, k, count(*) FILTER (rank <= k AND grade >= 1) AS hits, min(rank) FILTER (rank <= k AND grade >= 1) AS first, sum((2.0 ** grade - 1) / log2(rank + 1.0)) FILTER (rank <= k) AS dcg FROM ({_JUDGED}), (SELECT unnest([5, 10, 20]) AS k) GROUP BY query_id, k) m USING (query_id, k)
-LEFT JOIN (SELECT query_id, count(*) FILTER (grade >= 1) AS relevant FROM qr GROUP BY query_id) n USING (query_id)
-LEFT JOIN (SELECT query_id, k, sum((2.0 ** grade - 1) / log2(place + 1.0)) FILTER (place <= k) AS idcg FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS place FROM qr), (SELECT unnest([5, 10, 20]) AS k) GROUP BY query_id, k) i USING (query_id, k)"""
+def _judged(hits: str, judged: str, top: int) -> str:
+    return f"SELECT r.query_id, r.item_id, r.rank, coalesce(q.grade, 0) AS grade FROM (SELECT * FROM {hits} WHERE rank <= {top}) r LEFT JOIN {judged} q USING (query_id, item_id)"
+
+
+def _metrics_sql(hits: str, judged: str, asked: str, top: int) -> str:
+    rows, ks = _judged(hits, judged, top), "(SELECT unnest([5, 10, 20]) AS k)"
+    best = f"SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS place FROM {judged}"
+    return f"""SELECT a.query_id, a.k, round(coalesce(hits, 0) / a.k, 6) AS precision, round(coalesce(hits / nullif(relevant, 0), 0), 6) AS recall,
+  round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(dcg / nullif(idcg, 0), 0), 6) AS ndcg
+FROM (SELECT query_id, unnest([5, 10, 20])::BIGINT AS k FROM {asked}) a
+LEFT JOIN (SELECT query_id, k, count(*) FILTER (rank <= k AND grade >= 1) AS hits, min(rank) FILTER (rank <= k AND grade >= 1) AS first,
+  sum((2.0 ** grade - 1) / log2(rank + 1.0)) FILTER (rank <= k) AS dcg FROM ({rows}), {ks} GROUP BY query_id, k) m USING (query_id, k)
+LEFT JOIN (SELECT query_id, count(*) FILTER (grade >= 1) AS relevant FROM {judged} GROUP BY query_id) n USING (query_id)
+LEFT JOIN (SELECT query_id, k, sum((2.0 ** grade - 1) / log2(place + 1.0)) FILTER (place <= k) AS idcg FROM ({best}), {ks} GROUP BY query_id, k) i USING (query_id, k)"""
+
+
+_JUDGED = _judged("bm", "qr", 20)
+_METRICS = _metrics_sql("bm", "qr", "passages", 20)
 
 
 def _metrics(spark, d, digits: int | None = 6) -> DataFrame:
@@ -486,3 +504,6 @@ def validate_items_violations(spark, d):
     p = V.table(spark, d, "part")
     text = p.select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("title"), F.lit("").alias("description"), F.col("p_type").alias("category"), F.col("p_size").cast("string").alias("subcategory"), F.col("p_brand").alias("brand"), (F.col("p_retailprice") - 950).cast("decimal(12,2)").cast("string").alias("price"), (F.col("p_size") / 40.0).cast("string").alias("quality_score"), F.lit("0.5").alias("popularity_score"), F.lit(" Yes").alias("is_cold_start"), F.lit("2026-01-01T00:00:00").alias("created_at"))
     return validate.violations("items", text).groupBy("rule").agg(F.count("*").alias("violations"))
+
+
+from . import catalog_services as _services  # noqa: E402, F401  adds its queries

@@ -14,6 +14,7 @@ from ..operators.fusion import candidates, fuse_linear, fuse_rrf
 from ..operators.metrics import evaluate, macro_average, overlap, rank_shifts
 from ..operators.rerank import rerank
 from ..operators.semantic import SemanticIndex
+from .indices import IndexStore
 
 MODES = ("bm25", "semantic", "rrf", "linear")
 
@@ -34,13 +35,21 @@ class Snapshot:
     generation: int = 1
 
     @classmethod
-    def build(cls, items: DataFrame, bm25: BM25Config | None = None, semantic: SemanticConfig | None = None) -> Snapshot:
+    def build(cls, items: DataFrame, bm25: BM25Config | None = None, semantic: SemanticConfig | None = None, store: IndexStore | None = None, name: str = "items") -> Snapshot:
+        """Indices of items (item_id and the text fields), in a store if one is given; there they are built only if the items' files changed."""
         bm25 = (bm25 or BM25Config()).validate()
-        docs = items.select("item_id", item_text(bm25.field_weights).alias("text")).cache()
-        n = docs.count()
+        docs = items.select("item_id", item_text(bm25.field_weights).alias("text"))
+        if store:
+            n = docs.count()
+            words, meaning = store.bm25(name, docs, bm25.k1, bm25.b), store.semantic(name, docs, semantic)
+        else:
+            docs = docs.cache()
+            n = docs.count()
         if not n:
             raise ValueError("no items")
-        return cls(items, BM25Index.build(docs, bm25.k1, bm25.b), SemanticIndex.build(docs, semantic), n)
+        if not store:
+            words, meaning = BM25Index.build(docs, bm25.k1, bm25.b), SemanticIndex.build(docs, semantic)
+        return cls(items, words, meaning, n)
 
     def rebuilt(self, items: DataFrame, **configs) -> Snapshot:
         """The next generation; if building fails this one is untouched."""
@@ -56,20 +65,20 @@ def check_request(top_k: int, mode: str, personalize: bool, columns: list[str])
         raise ValueError("personalised search needs user_id")
 
 
-def fused(snapshot: Snapshot, queries: DataFrame, mode: str, pool: int, top_k: int, config: FusionConfig | None = None) -> DataFrame:
-    """(query_id, item_id, rank, fusion_score and what the mode knows)."""
+def fused(snapshot: Snapshot, queries: DataFrame, mode: str, pool: int, top_k: int, config: FusionConfig | None = None, digits: int | None = None) -> DataFrame:
+    """(query_id, item_id, rank, fusion_score and what the mode knows). digits rounds BM25 scores before they rank."""
     config = (config or FusionConfig()).validate()
     if mode == "bm25":
-        return snapshot.bm25.search(queries, pool).withColumnRenamed("score", "fusion_score")
+        return snapshot.bm25.search(queries, pool, digits).withColumnRenamed("score", "fusion_score")
     if mode == "semantic":
         return snapshot.semantic.search(queries, pool).withColumnRenamed("score", "fusion_score")
-    both = candidates(snapshot.bm25.search(queries, pool), snapshot.semantic.search(queries, pool))
+    both = candidates(snapshot.bm25.search(queries, pool, digits), snapshot.semantic.search(queries, pool))
     if mode == "rrf":
         return fuse_rrf(both, config.rrf_k, top_k)
     return fuse_linear(both, config.bm25_weight, config.semantic_weight, top_k)
 
 
-def search(snapshot: Snapshot, queries: DataFrame, mode: str = "linear", top_k: int = 10, profiles: tuple[DataFrame, DataFrame] | None = None, personalize: bool = False, config: PersonalizationConfig | None = None, rerank_pool: bool = False) -> DataFrame:
+def search(snapshot: Snapshot, queries: DataFrame, mode: str = "linear", top_k: int = 10, profiles: tuple[DataFrame, DataFrame] | None = None, personalize: bool = False, config: PersonalizationConfig | None = None, rerank_pool: bool = False, digits: int | None = None) -> DataFrame:
     """Hits of (query_id, query_text, user_id?): items with their columns, rank and scores. Blank queries give none.
 
     Personalised fused modes re-order their top_k, single channels their whole pool; rerank_pool re-orders the pool in every mode.
@@ -77,7 +86,7 @@ def search(snapshot: Snapshot, queries: DataFrame, mode: str = "linear", top_k:
     check_request(top_k, mode, personalize, queries.columns)
     asked = queries.withColumn("query_text", F.trim("query_text")).filter("query_text <> ''")
     pool = pool_size(top_k, snapshot.n_items)
-    hits = fused(snapshot, asked, mode, pool, pool if personalize and rerank_pool else top_k)
+    hits = fused(snapshot, asked, mode, pool, pool if personalize and rerank_pool else top_k, digits=digits)
     if personalize:
         if profiles is None:
             return hits.filter(F.col("rank") <= top_k).withColumn("applied", F.lit(False)).withColumn("fallback_reason", F.lit("profiles_not_ready")).withColumn("pool_size", F.lit(pool))
@@ -88,11 +97,11 @@ def search(snapshot: Snapshot, queries: DataFrame, mode: str = "linear", top_k:
     return hits.withColumn("original_rank", original).join(snapshot.items, "item_id", "left")
 
 
-def evaluate_queries(snapshot: Snapshot, query_ids: DataFrame, queries: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (5, 10, 20), pool: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(metrics by query and k, macro averages) of linear search; an unknown query's text is its id."""
+def evaluate_queries(snapshot: Snapshot, query_ids: DataFrame, queries: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (5, 10, 20), pool: int = 100, mode: str = "linear", digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(metrics by query and k, macro averages) of a mode's search; an unknown query's text is its id."""
     asked = query_ids.select("query_id").distinct().join(queries.select("query_id", "query_text"), "query_id", "left")
     asked = asked.withColumn("query_text", F.coalesce("query_text", F.col("query_id").cast("string")))
-    results = fused(snapshot, asked, "linear", pool, pool)
+    results = fused(snapshot, asked, mode, pool, pool, digits=digits)
     metrics = evaluate(results, qrels.withColumnRenamed("relevance_grade", "grade"), asked, list(ks))
     return metrics, macro_average(metrics)
 

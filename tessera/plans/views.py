@@ -49,6 +49,12 @@ def shop_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).groupBy(F.col("title").alias("query_text")).agg(F.min("item_id").alias("query_id")).select("query_id", "query_text", (F.col("query_id") % 150).alias("user_id"))
 
 
+def shop_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements: every item for the query of its title."""
+    i, q = items(spark, sf_dir), shop_queries(spark, sf_dir)
+    return i.join(q, F.col("title") == F.col("query_text")).select("query_id", "item_id", (1 + F.col("item_id") % 3).cast("long").alias("grade"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -112,6 +118,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "us": ((), "SELECT user_id, user_id % 10 = 0 AS is_cold_start FROM (SELECT DISTINCT user_id FROM events UNION ALL SELECT unnest([-3, -2, -1]))"),
     "qr": (("passages",), "SELECT query_id, doc_id AS item_id, CAST(1 + quality + (1 - toxic) AS BIGINT) AS grade FROM labels JOIN passages ON doc_id % 40 = query_id % 40"),
     **_bm25("", "docs", "passages"), **_tfidf("", "docs", "passages"), **_fused("", 100),
+    "qrs": (("items", "shop"), "SELECT s.query_id, i.item_id, CAST(1 + i.item_id % 3 AS BIGINT) AS grade FROM items i JOIN shop s ON s.query_text = i.title"),
+    "shopx": (("shop",), "SELECT query_id, query_text FROM shop UNION ALL SELECT -1, '-1'"),
+    **_bm25("sx", "itemtext", "shopx"),
     **_bm25("sh", "itemtext", "shop"), **_tfidf("sh", "itemtext", "shop"), **_fused("sh", 50),
     # profiles: half-life H is put in as text
     **{
@@ -145,4 +154,6 @@ def sql(select: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + f"\n{select}"
+    # counts of terms are used several times, and made once
+    once = lambda n: " MATERIALIZED" if n.endswith(("ftf", "fi", "fx", "p")) else ""
+    return "WITH " + ",\n".join(f"{n} AS{once(n)} ({CTES[n][1]})" for n in order) + f"\n{select}"

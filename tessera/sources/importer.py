@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TABLES
+from ..storage import hadoop, read_text, write_text
 from .readers import read_raw, read_table, typed
 from .validate import require_valid
 
@@ -50,7 +50,7 @@ def file_hashes(spark: SparkSession, folder: str) -> dict[str, str]:
 def fingerprint(folder: str) -> str:
     """SHA-256 over the sorted files' names and bytes."""
     total = hashlib.sha256()
-    for path in sorted(Path(folder) / f"{t}.csv" for t in TABLES):
+    for path in sorted(Path(folder.removeprefix("file://")) / f"{t}.csv" for t in TABLES):
         total.update(path.name.encode())
         with open(path, "rb") as f:
             while part := f.read(1 << 20):
@@ -62,13 +62,11 @@ class Store:
     """A folder of published data sets."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
 
     @property
     def current(self) -> str | None:
-        path = Path(self.root, "CURRENT")
-        return path.read_text().strip() if path.exists() else None
+        return (read_text(self.spark, f"{self.root}/CURRENT") or "").strip() or None
 
     def table(self, name: str) -> DataFrame:
         """A table of the set in use; readers keep the set they began with."""
@@ -80,14 +78,13 @@ class Store:
         return self.current is not None and any(not self.table(t).isEmpty() for t in TABLES)
 
     def publish(self, name: str) -> None:
-        step = Path(self.root, f".CURRENT-{uuid.uuid4().hex}")
-        step.write_text(name)
-        os.replace(step, Path(self.root, "CURRENT"))
+        write_text(self.spark, f"{self.root}/CURRENT", name)
 
     def audit(self) -> DataFrame:
         """Records of imports, latest first."""
         path = f"{self.root}/audit"
-        found = self.spark.read.schema(AUDIT).json(path) if os.path.isdir(path) else self.spark.createDataFrame([], AUDIT)
+        fs, held = hadoop(self.spark, path)
+        found = self.spark.read.schema(AUDIT).json(path) if fs.exists(held) else self.spark.createDataFrame([], AUDIT)
         return found.orderBy(F.desc("started_at"))
 
     def runs(self, limit: int = 20) -> DataFrame:
@@ -100,10 +97,7 @@ class Store:
         return not self.audit().filter((F.col("status") == "completed") & (F.col("dataset_fingerprint") == fingerprint_)).isEmpty()
 
     def record(self, **values) -> None:
-        os.makedirs(f"{self.root}/audit", exist_ok=True)
-        step = Path(self.root, f".audit-{uuid.uuid4().hex}")
-        step.write_text(json.dumps(values) + "\n")
-        os.replace(step, Path(self.root, "audit", f"{uuid.uuid4().hex}.json"))
+        write_text(self.spark, f"{self.root}/audit/{uuid.uuid4().hex}.json", json.dumps(values) + "\n")
 
 
 def import_dataset(store: Store, folder: str, replace: bool = False, dry_run: bool = False, name: str = "dataset") -> ImportResult:
@@ -134,5 +128,6 @@ def import_dataset(store: Store, folder: str, replace: bool = False, dry_run: bo
     return ImportResult("completed", mark, counts)
 
 
-def write_report(result: ImportResult, path: str) -> None:
-    Path(path).write_text(json.dumps(asdict(result), indent=2))
+def write_report(result: ImportResult, path: str, spark: SparkSession | None = None) -> None:
+    """The result as a JSON file."""
+    write_text(spark or SparkSession.active(), path, json.dumps(asdict(result), indent=2))

@@ -9,9 +9,12 @@ from pyspark.sql import types as T
 from ..schema import TABLES, raw
 
 
-def read_raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """folder/name.csv as text columns; the header must hold exactly the table's columns in order (checked as the file is read)."""
-    options = {"header": True, "enforceSchema": False, "escape": '"', "multiLine": True, "encoding": "UTF-8", "mode": "FAILFAST"}
+def read_raw(spark: SparkSession, folder: str, name: str, breaks: bool = True) -> DataFrame:
+    """folder/name.csv as text columns; the header must hold exactly the table's columns in order (checked as the file is read).
+
+    breaks: quoted values may hold line breaks, so a file is read by one task; without, large files are split.
+    """
+    options = {"header": True, "enforceSchema": False, "escape": '"', "multiLine": breaks, "encoding": "UTF-8", "mode": "FAILFAST"}
     return spark.read.schema(raw(name)).options(**options).csv(f"{folder}/{name}.csv")
 
 
@@ -56,3 +59,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A table of a database whose driver is on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
+    """df into a table of a database, by one connection a task."""
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=name, **options).save()

@@ -13,7 +13,7 @@ class ValidationError(ValueError):
     """A table with violations; some of them are in errors."""
 
     def __init__(self, table: str, errors: list[str]):
-        super().__init__(f"{table}: {len(errors)} violations, first: {'; '.join(errors[:5])}")
+        super().__init__(f"{table}: at least {len(errors)} violations, first: {'; '.join(errors[:5])}")
         self.errors = errors
 
 

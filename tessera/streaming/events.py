@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import PersonalizationConfig
+from ..operators.events import refusal
 from ..operators.profiles import refresh
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events of which each client_event_id passes once within the watermark; events without one all pass."""
-    keyed = stream.withColumn("_id", F.coalesce("client_event_id", F.concat(F.lit("\0"), F.col("event_id"))))
+    """Events of which each client_event_id passes once within the watermark; events without one all pass, those that refusal() names never."""
+    keyed = stream.filter(refusal(stream.columns).isNull()).withColumn("_id", F.coalesce("client_event_id", F.concat(F.lit("\0"), F.col("event_id"))))
     return keyed.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["_id"]).drop("_id")
 
 
