@@ -1,11 +1,9 @@
-"""Shared pieces: the folder all executors see, bounded Arrow batches, text access, vectorised words and hashes."""
+"""Shared pieces: bounded Arrow batches, text access, vectorised words and hashes; tables in the folder all executors see come from tessera.storage."""
 
 from __future__ import annotations
 
 import ctypes
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
@@ -14,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..storage import discard, shared_dir, stored
+
+__all__ = ["discard", "shared_dir", "stored"]
+
 U64 = np.uint64
 #: Bytes of text handled at once by the vectorised kernels; longer documents are cut between words.
 CHUNK = 1 << 18
 #: Bytes and rows of an Arrow batch between the JVM and Python (one row at least).
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
-#: Bytes of a row group that a writer of intermediate tables holds.
-ROW_GROUP = 16 << 20
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
 #: Word separators of the contracts: space and bytes 9 to 13.
 SEP = np.zeros(256, bool)
 SEP[[0x20, *range(9, 14)]] = True
@@ -35,39 +35,6 @@ _P = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder named by spark.checkpoint.dir, deleted when the application ends.
-
-    Where that is unset, a folder of our own serves in local mode (tests); on a cluster, executors would not see it, so it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(base)
-    own = f"{base.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(own)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back.stored_at = path
-    return back
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables made by stored(); nothing that is still to be computed may need them."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def tidy() -> None:
     """Gives memory that Arrow and the C library hold unused back to the system, for the next stage's sake."""
     pa.default_memory_pool().release_unused()
@@ -215,7 +182,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
     return h, np.diff(np.searchsorted(s, offsets)), s, e
 
 
-def batches_by_bytes(it: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches_by_bytes(it: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about most bytes of column (one row at least)."""
     for b in it:
         if not b.num_rows:

@@ -28,7 +28,7 @@ from .common import U64, batches_by_bytes, mapped, table, text_buffers
 BUCKETS, SMOOTH, SCALE, AMBIGUOUS, RATE = 1 << 15, 0.5, 4.0, 0.05, 10
 #: Values of lang at most (a table of BUCKETS counts each, in a task and on the driver); more are an error.
 LANGS = 1000
-_STEP, _FIX = 1 << 19, 1 << 14
+_STEP, _FIX = 1 << 17, 1 << 14
 #: A-Z lower-cased; other ASCII than letters counts as a space.
 _FOLD = np.array([b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
 

@@ -16,6 +16,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def schedule(spark: SparkSession, by_source: DataFrame, slots: int) -> DataFrame
 
 def streams(sizes: DataFrame, by_source: DataFrame, n: int, seed: int, *more: str) -> DataFrame:
     """sizes (and more of its columns) with place, source_size, target, quota, slots, and row (bucket and number in it) and start, its first word in its source's shuffled stream."""
-    buckets = max(1, -(-n // 2000))
+    buckets = max(1, math.isqrt(n))  # as many as rows in one, so neither a bucket nor a source's list of them is long
     d = sizes.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("key", F.lit(buckets)))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))

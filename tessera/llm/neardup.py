@@ -174,7 +174,8 @@ def possible(sets: DataFrame) -> DataFrame:
     rows = rows.filter(F.col("most") >= F.ceil(F.col("n") * LEAST[0] / LEAST[1]))
     rows = stored(rows, "prefixes")
     of = rows.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("large"), F.count("*").alias("comps")).filter("comps > 1").select("shingle", "large")
-    rows = rows.join(of, "shingle")
+    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # rows of a hot shingle meet it in parts
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(of, ["shingle", "salt"]).drop("salt")
     low, high = F.ceil(F.col("n") * LEAST[0] / LEAST[1]), F.least("most", F.floor(F.col("n") * LEAST[1] / LEAST[0]))
     asking = rows.filter(F.col("comp") != F.col("large")).select("shingle", "id", "n", "comp", "most", F.explode(F.sequence(_band(low), _band(high))).alias("band"))
     asked = rows.select("shingle", _band(F.col("n")).alias("band"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("most").alias("most2"))
