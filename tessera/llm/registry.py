@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP13_SQL, op13_chat
 from .langid import op7_langid
 from .lmscore import op8_lmscore
 from .media import op1_media
+from .merkle import OP12_SQL, op12_merkle
 from .mixing import op3_mixing
 from .neardup import op2_neardup
+from .phrases import OP11_SQL, op11_phrases
 from .pieces import op5_pieces
 from .secrets import op10_secrets
 from .tokencount import op6_tokencount
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lmscore": op8_lmscore,
         "op9_topk": op9_topk,
         "op10_secrets": op10_secrets,
+        "op11_phrases": op11_phrases,
+        "op12_merkle": op12_merkle,
+        "op13_chat": op13_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op9_topk": OP9_SQL}
+    return {"op4_warc": OP4_SQL, "op9_topk": OP9_SQL, "op11_phrases": OP11_SQL, "op12_merkle": OP12_SQL, "op13_chat": OP13_SQL}
