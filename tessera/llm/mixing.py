@@ -20,6 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from .common import WORD, fresh, stored, table
 
@@ -114,8 +115,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     begin = F.col("epoch") * F.col("source_size") + F.col("start")
     d = d.withColumn("epoch", F.explode(F.array(*(F.lit(e).cast("long") for e in range(epochs))))).withColumn("begin", begin)
     d = d.withColumn("end", F.least(F.col("begin") + F.col("size"), "quota"))
-    # block b is the words from floor(b * quota / slots) on
-    holds = lambda word: F.expr(f"(({word} + 1) * slots - 1) div quota")
+    # block b is the words from floor(b * quota / slots) on; words times slots may leave 64 bits
+    holds = lambda word: F.expr(f"(cast({word} + 1 as decimal(20, 0)) * cast(slots as decimal(18, 0)) - 1) div cast(quota as decimal(20, 0))")
     edge = lambda at: F.expr(f"(quota div slots) * ({at}) + (quota % slots) * ({at}) div slots")
     d = d.withColumn("block", F.explode_outer(F.when(F.col("begin") < F.col("end"), F.sequence(holds("begin"), holds("(end - 1)")))))
     words = F.least("end", edge("block + 1")) - F.greatest("begin", edge("block"))
@@ -132,17 +133,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row for each whole copy, and the first words, with the white space before them, of a document that is taken in part.
 
-    All blocks of a quota are taken, so only the document that stands at a quota's end is taken in part, and from its begin on.
-    Null texts, texts without words and null ids are taken 0 times. Columns and their order stay; n_chars, if there, counts the new text.
+    All blocks of a quota are taken, so only the document that stands at a quota's end is taken in part, and from its begin on. Rows of equal id, source and
+    text are numbered, and so are what the mix takes of them, so none of its words are lost. Null texts and texts without words are taken 0 times; rows with a null id are rows like
+    others. Columns and their order stay; n_chars, if there, counts the new text.
     """
-    print_, taken, words = (fresh(docs.columns, c) for c in ("_print", "_taken", "_words"))
+    print_, number, taken, words = (fresh(docs.columns, c) for c in ("_print", "_number", "_taken", "_words"))
+    key = ["doc_id", "source", print_]
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+    nth = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     named = docs.withColumn(print_, F.xxhash64("text"))
-    rows = mix(named, more=(print_,), **options).filter("taken > 0")
-    rows = rows.groupBy("doc_id", "source", print_).agg(F.any_value("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    m, r = named.alias("m"), rows.alias("r")
-    same = (F.col("m.doc_id") == F.col("r.doc_id")) & F.col("m.source").eqNullSafe(F.col("r.source")) & (F.col(f"m.{print_}") == F.col(f"r.{print_}"))
-    mine = (F.col("r.taken") / F.col("r.rows")).cast("long")
-    full, rest = F.floor(mine / F.col("r.size")), mine % F.col("r.size")
+    rows = mix(named, more=(print_,), **options).filter("taken > 0").withColumn(number, nth([F.desc("taken")]))
+    m, r = named.withColumn(number, nth([F.xxhash64(*plain)])).alias("m"), rows.alias("r")
+    same = F.col(f"m.{number}") == F.col(f"r.{number}")
+    for c in key:
+        same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
+    full, rest = F.floor(F.col("r.taken") / F.col("r.size")), F.col("r.taken") % F.col("r.size")
     times = F.concat(F.array_repeat(F.lit(0).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     both = m.join(r, same).select("m.*", times.alias(taken)).withColumn(words, F.explode(taken))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)), F.lit(1), F.col(words).cast("int")), "")

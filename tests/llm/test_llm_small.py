@@ -348,8 +348,30 @@ def test_mixing(docs):
     mixed = Counter()
     for r in copies.collect():
         mixed[r["source"]] += len(words(r["text"]))
-    unidentified = sum(r["taken"] for r in got if r["doc_id"] is None)
-    assert abs(sum(mixed.values()) + unidentified - sum(taken.values())) <= 4
+    assert {s: n for s, n in mixed.items() if n} == {s: n for s, n in taken.items() if n}
+
+
+def test_mixing_of_repeated_rows_loses_no_word(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(10)), "a")] * 3 + [(None, "one two three", "a"), (2, " ".join(f"v{k}" for k in range(40)), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for slots in (5, 64):
+        taken, mixed = Counter(), Counter()
+        for r in mixing.mix(docs, slots=slots).collect():
+            taken[r["source"]] += r["taken"]
+        for r in mixing.mixed_documents(docs, slots=slots).collect():
+            mixed[r["source"]] += len(words(r["text"]))
+        assert mixed == taken
+
+
+def test_mixing_of_sources_of_100_tb(spark, monkeypatch):
+    sizes = spark.createDataFrame([(1, "a", 10**14), (2, "b", 3 * 10**13), (3, "c", 7)], "doc_id long, source string, size long")
+    monkeypatch.setattr(mixing, "sized", lambda docs, *more: docs)
+    want, taken = {}, Counter()
+    for r in mixing.mix(sizes).collect():
+        want[r["source"]] = r["target"]
+        taken[r["source"]] += r["taken"]
+    for s in want:
+        assert abs(taken[s] - want[s]) <= 1 + 1e-12 * want[s]
 
 
 def test_mixing_of_sources_below_a_block(docs):
