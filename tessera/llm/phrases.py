@@ -6,9 +6,9 @@ the counts of its first k words and of the rest for every cut k, is scored in De
 (one word is enough: what lies between a phrase and a much longer one that holds it occurs at least as often as the longer), and is
 ranked within its language, first within parts of the language's phrases and then over the parts' best.
 
-All n-grams of a corpus are many times its size, nearly all of them rare. A phrase occurs at most as often as its words and pairs of neighbours, so
-n-grams are made in three rounds: words, then pairs of frequent words, then the longer ones whose pairs are all frequent. What is frequent is
-known by a bitmap of a fixed size (BITS), which can say yes too often and never no too often, so counts are exact at any fill; a full bitmap costs rows alone.
+All n-grams of a corpus are many times its size, nearly all of them rare. A phrase occurs at most as often as its words and its pairs of neighbours, so
+words are counted first, then the hashes of pairs of frequent words, and then the phrases all of whose pairs are frequent. What is frequent is known by bitmaps of a
+fixed size (BITS), which like the hashes say yes too often and never no too often, so counts are exact at any fill; a full bitmap costs rows alone.
 
 Defined results: a null text is empty and adds nothing; a null language is UND, together with rows that say so; repeated rows count each; scores tie by occurrences and then
 by the phrase's bytes; languages without candidates and empty tables give no rows; other columns are ignored. A piece has to fit in a worker; texts are
@@ -97,16 +97,26 @@ def _in(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     return ((bitmap[a >> 3] >> (a & 7)) & (bitmap[b >> 3] >> (b & 7)) & 1).astype(bool)
 
 
-def frequent_map(phrases: DataFrame, words: int) -> np.ndarray:
-    """A bitmap of (lang, phrase) of so many words each; as large for any number of rows."""
+def word_keys(words: DataFrame) -> DataFrame:
+    """(key): the keys of (lang, phrase) of one word each."""
 
-    def set_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(BITS >> 3, np.uint8)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             langs = b.column("lang").dictionary_encode()
             seeds = np.array([_seed(x) for x in langs.dictionary.to_pylist()], U64)[langs.indices.to_numpy()]
-            hashes = word_hashes(*text_buffers(b.column("phrase")), fold=False)[0].reshape(-1, words)
-            for bits in _bits(_key(list(hashes.T), seeds)):
+            key = _key([word_hashes(*text_buffers(b.column("phrase")), fold=False)[0]], seeds)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+    return mapped(words.select("lang", "phrase"), run, "key long")
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap of (key); as large for any number of rows."""
+
+    def set_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(BITS >> 3, np.uint8)
+        for b in it:
+            for bits in _bits(b.column("key").to_numpy().view(U64)):
                 np.bitwise_or.at(bitmap, bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
         cells = bitmap.view(np.int64)
         at = np.flatnonzero(cells)
@@ -114,70 +124,97 @@ def frequent_map(phrases: DataFrame, words: int) -> np.ndarray:
             part = at[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], ["cell", "bits"])
 
-    cells = mapped(phrases.select("lang", "phrase"), set_, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    cells = mapped(keys, set_, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BITS >> 6, np.int64)
     out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def ngram_counts(docs: DataFrame, sizes: tuple[int, ...], words: Broadcast | None = None, pairs: Broadcast | None = None) -> DataFrame:
-    """(lang, phrase, f): occurrences of the n-grams of these sizes of (lang, text).
-
-    With the map words, only n-grams whose words are all in it are made; with pairs, only those whose neighbours are. Maps may hold more than they should.
-    """
-
-    def grams(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray, seeds: np.ndarray) -> Iterator[pa.Table]:
-        flat, starts, piece, text = words_of(data, offsets)
-        n = len(piece)
-        if not n:
-            return
-        code = codes[text]
-        with_next = piece[1:] == piece[:-1]
-        if words is not None or pairs is not None:
-            hashes, seed = word_hashes(flat, np.array([0, len(flat)]), fold=False)[0], seeds[code]
-            if words is not None:
-                known = _in(words.value, _key([hashes], seed))
-                with_next = with_next & known[1:] & known[:-1]
-            if pairs is not None:
-                at = np.flatnonzero(with_next)
-                with_next[at] = _in(pairs.value, _key([hashes[at], hashes[at + 1]], seed[at]))
-        buffer, ends = pa.py_buffer(np.ascontiguousarray(flat)), starts.astype(np.int32)
-        for size in sizes:
-            if n < size:
-                continue
-            ok = np.ones(n, bool)
-            for k in range(size - 1):  # words k and k + 1 after the first belong together
-                ok[: n - 1 - k] &= with_next[k:]
-                ok[n - 1 - k :] = False
-            if size == 1 and words is not None:
-                ok = known
-            phrases, langs = [], []
-            for phase in range(size):  # n-grams that begin at every size-th word lie end to end in the buffer
-                edges = np.ascontiguousarray(ends[phase::size])
-                m = len(edges) - 1
-                if m > 0:
-                    on = ok[phase::size][:m]
-                    whole = pa.StringArray.from_buffers(m, pa.py_buffer(edges), buffer)
-                    phrases.append(whole.filter(pa.array(on)))
-                    langs.append(pa.array(code[phase::size][:m][on]))
-            found = pa.table({"lang": pa.chunked_array(langs, pa.int32()), "phrase": pa.chunked_array(phrases, pa.string())}) if phrases else None
-            if found is not None and found.num_rows:
-                yield found.group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
+class _Texts:
+    """The words of a batch's texts, with what tells n-grams from each other."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, codes: np.ndarray, seeds: np.ndarray):
+        self.flat, self.starts, piece, text = words_of(data, offsets)
+        self.n, self.code = len(piece), codes[text]
+        self.seed = seeds[self.code]
+        self.with_next = piece[1:] == piece[:-1]
+
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.flat, np.array([0, len(self.flat)]), fold=False)[0]
+
+    def pair_keys(self, words: np.ndarray) -> np.ndarray:
+        """Keys of all pairs of neighbours in one piece whose words are in the map."""
+        h = self.hashes()
+        known = _in(words, _key([h], self.seed))
+        at = np.flatnonzero(self.with_next & known[1:] & known[:-1])
+        return _key([h[at], h[at + 1]], self.seed[at])
+
+    def join_pairs(self, pairs: np.ndarray) -> None:
+        """From here on only neighbours in the map go together."""
+        h, at = self.hashes(), np.flatnonzero(self.with_next)
+        self.with_next[at] = _in(pairs, _key([h[at], h[at + 1]], self.seed[at]))
+
+    def grams(self, size: int) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
+        """(codes of languages, phrases with a space after them) of the n-grams of a size."""
+        ok = np.ones(self.n, bool)
+        for k in range(size - 1):  # words k and k + 1 after the first go together
+            ok[: max(self.n - 1 - k, 0)] &= self.with_next[k:]
+            ok[max(self.n - 1 - k, 0) :] = False
+        buffer, ends = pa.py_buffer(np.ascontiguousarray(self.flat)), self.starts.astype(np.int32)
+        phrases, codes = [], []
+        for phase in range(min(size, self.n)):  # n-grams that begin at every size-th word lie end to end in the buffer
+            edges = np.ascontiguousarray(ends[phase::size])
+            m = len(edges) - 1
+            if m > 0:
+                on = ok[phase::size][:m]
+                phrases.append(pa.StringArray.from_buffers(m, pa.py_buffer(edges), buffer).filter(pa.array(on)))
+                codes.append(pa.array(self.code[phase::size][:m][on]))
+        return pa.chunked_array(codes, pa.int32()), pa.chunked_array(phrases, pa.string())
+
+
+def _parsed(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, _Texts]]:
+    """(languages by code, texts) of batches of (lang, text), cut to bounded bytes."""
+    for b in batches_by_bytes(it, "text", STEP):
+        langs = b.column("lang").dictionary_encode()
+        names, codes = langs.dictionary, langs.indices.to_numpy().astype(np.int32)
+        seeds = np.array([_seed(x) for x in names.to_pylist()], U64)
+        for data, offsets, first in _cut(*text_buffers(b.column("text"))):
+            yield names, _Texts(data, offsets, codes[first:], seeds)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def ngram_counts(docs: DataFrame, sizes: tuple[int, ...], pairs: Broadcast | None = None) -> DataFrame:
+    """(lang, phrase, f): occurrences of the n-grams of these sizes of (lang, text); with the map pairs, of those alone whose neighbours are in it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_by_bytes(it, "text", STEP):
-            langs = b.column("lang").dictionary_encode()
-            names, codes = langs.dictionary, langs.indices.to_numpy().astype(np.int32)
-            seeds = np.array([_seed(x) for x in names.to_pylist()], U64)
-            for data, offsets, first in _cut(*text_buffers(b.column("text"))):
-                for t in grams(data, offsets, codes[first:], seeds):
-                    t = t.combine_chunks()
-                    phrase = pc.utf8_slice_codeunits(t.column("phrase"), 0, -1)  # without the last space
-                    whole = pa.table({"lang": names.take(t.column("lang").combine_chunks()), "phrase": phrase, "f": t.column("count_all")})
+        for names, t in _parsed(it):
+            if pairs is not None and t.n > 1:
+                t.join_pairs(pairs.value)
+            for size in sizes:
+                if t.n < size:
+                    continue
+                codes, phrases = t.grams(size)
+                found = pa.table({"lang": codes, "phrase": phrases}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                if found.num_rows:
+                    phrase = pc.utf8_slice_codeunits(found.column("phrase"), 0, -1)  # without the last space
+                    whole = pa.table({"lang": names.take(found.column("lang").combine_chunks()), "phrase": phrase, "f": found.column("count_all")})
                     yield from whole.to_batches(max_chunksize=1 << 15)
 
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return mapped(rows, run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return mapped(_rows(docs), run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def frequent_pairs(docs: DataFrame, words: Broadcast, least: int) -> DataFrame:
+    """(key) of the pairs of neighbours, their words in the map, whose keys occur least times: all frequent pairs, and such whose keys are the same."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _parsed(it):
+            key, n = np.unique(t.pair_keys(words.value), return_counts=True) if t.n > 1 else (np.zeros(0, U64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return mapped(_rows(docs), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
 
 
 def frequent(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -189,13 +226,11 @@ def frequent(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tuple[D
     parts = [stored(enough(every, F.lit(1)), "frequent")]
     discard(every)
     if max_n >= 2:
-        words = spark.sparkContext.broadcast(frequent_map(parts[0], 1))
-        parts.append(stored(enough(ngram_counts(docs, (2,), words), F.lit(2)), "frequent"))
-        words.unpersist()
-    if max_n >= 3:
-        pairs = spark.sparkContext.broadcast(frequent_map(parts[1], 2))
+        words = spark.sparkContext.broadcast(bitmap_of(word_keys(parts[0])))
+        pairs = spark.sparkContext.broadcast(bitmap_of(frequent_pairs(docs, words, least)))
         size = F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1
-        parts.append(stored(enough(ngram_counts(docs, tuple(range(3, max_n + 1)), None, pairs), size), "frequent"))
+        parts.append(stored(enough(ngram_counts(docs, tuple(range(2, max_n + 1)), pairs), size), "frequent"))
+        words.unpersist()
         pairs.unpersist()
     out = parts[0]
     for p in parts[1:]:
