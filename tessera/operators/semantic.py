@@ -1,35 +1,103 @@
 """Latent semantic search: word and character TF-IDF, truncated SVD, cosine.
 
-The decomposition is fitted on all items: up to FIT of them through their Gram matrix on the driver, beyond by subspace iteration, whose products
-are joins of the features with tables of vectors; the driver sees square matrices of a row a component only. Every item is projected, by a join of
-its features with the table of components.
+The decomposition is a randomised range finder over all items, one way for all sizes. Items are sparse rows in blocks. The first product takes its test matrix from hashes of the features
+where the features are, so it needs no join. Each further round sends a feature's vector once to each block that holds it, multiplies there by the block
+and by its transpose, and sums what comes back by feature; the driver makes the small matrix that orthonormalises the sums. Features are
+known by 64-bit hashes from there on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SemanticConfig
-from ..functions.scoring import finite, ranked
 from ..functions.text import char_ngrams, word_ngrams
-from ..storage import stored
-from .tfidf import counts, vocabulary, weigh
+from ..storage import discard, stored
+from .tfidf import counts, vocabulary
+from .vectors import vector_search
 
-#: Items whose Gram matrix is made at most, and their features; beyond, rounds of the subspace iteration and vectors besides the components.
-FIT, ROWS, ROUNDS, SPARE = 1000, 2_000_000, 6, 16
-#: Bytes of query vectors that are sent to the executors at once.
-TILE = 32 << 20
+#: Rounds after the first, vectors besides the components, non-zeros in a block (about).
+ROUNDS, SPARE, BLOCK = 5, 16, 250_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def test_rows(fid: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Rows of the test matrix, uniform on -1 to 1, by features' hashes."""
+    salt = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    return _mixed(_mixed(fid.view(np.uint64))[:, None] ^ salt).astype(np.float64) / float(1 << 63) - 1.0
+
+
+test_rows.__test__ = False  # not for pytest
+
+
+class _Block:
+    """Sparse rows: of non-zero j the item, the place among the block's features, and the weight."""
+
+    def __init__(self, items: pa.Table):
+        f = items.column("f").combine_chunks() if isinstance(items.column("f"), pa.ChunkedArray) else items.column("f")
+        self.ids, self.n = items.column("item_id"), len(f)
+        sizes = np.diff(f.offsets.to_numpy()) if self.n else np.zeros(0, int)
+        flat = f.flatten()
+        self.item = np.repeat(np.arange(self.n), sizes)
+        self.fid, self.place = np.unique(flat.field("fid").to_numpy(), return_inverse=True)
+        self.weight = flat.field("weight").to_numpy()
+
+    def times(self, z: np.ndarray) -> np.ndarray:
+        """The block times a matrix with a row a feature."""
+        return np.stack([np.bincount(self.item, self.weight * z[self.place, j], self.n) for j in range(z.shape[1])], 1)
+
+    def back(self, y: np.ndarray) -> np.ndarray:
+        """Its transpose times a matrix with a row an item."""
+        return np.stack([np.bincount(self.place, self.weight * y[self.item, j], len(self.fid)) for j in range(y.shape[1])], 1)
+
+    def rows(self, given: pa.Table) -> np.ndarray | None:
+        """The given vectors of the block's features in their order; zero for those not given."""
+        if not given.num_rows:
+            return None
+        fid, v = given.column("fid").to_numpy(), given.column("vector").combine_chunks()
+        v = v.flatten().to_numpy().reshape(len(fid), -1)
+        order = np.argsort(fid)
+        at = np.minimum(np.searchsorted(fid[order], self.fid), len(fid) - 1)
+        out = v[order][at]
+        out[fid[order][at] != self.fid] = 0.0
+        return out
+
+
+def _vectors(keys: pa.Array, name: str, v: np.ndarray) -> pa.Table:
+    ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1])
+    return pa.table({name: keys, "vector": pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(v).ravel()))})
+
+
+_NOTHING = pa.table({"fid": pa.array([], pa.int64()), "vector": pa.array([], pa.list_(pa.float64()))})
+
+
+def in_blocks(x: DataFrame, blocks: int) -> DataFrame:
+    """(item_id, f array<struct<fid, weight>>, block) of (item_id, feature, weight)."""
+    rows = x.groupBy("item_id").agg(F.collect_list(F.struct(F.xxhash64("feature").alias("fid"), "weight")).alias("f"))
+    return rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+
+
+def _sent(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(block, fid, vector): each feature's vector once for each block that has it."""
+    uses = rows.select("block", F.explode("f.fid").alias("fid")).distinct()
+    return uses.join(vectors, "fid").select(F.col("block").alias("block2"), "fid", "vector")
 
 
 @dataclass
 class SemanticIndex:
-    """components (feature, vector), vocabularies by kind, vectors (item_id, vector of length 1)."""
+    """components (fid, vector), vocabularies (feature, idf) by kind, vectors (item_id, vector of length 1)."""
 
     components: DataFrame
     vocabularies: dict[str, DataFrame]
@@ -45,161 +113,133 @@ class SemanticIndex:
     @classmethod
     def build(cls, docs: DataFrame, config: SemanticConfig | None = None) -> SemanticIndex:
         """From (item_id, text)."""
+        index = cls.fit(docs, config)
+        index.vectors = stored(index.project(docs), "lsa")
+        return index
+
+    @classmethod
+    def fit(cls, docs: DataFrame, config: SemanticConfig | None = None) -> SemanticIndex:
+        """Components and vocabularies of all of docs; no vectors yet."""
         config = (config or SemanticConfig()).validate()
         n = docs.count()
         if not n:
             raise ValueError("no items")
-        vocabularies = {k: vocabulary(counts(docs, grams), n, config.min_df, config.max_df).cache() for k, (grams, _) in cls._kinds(config).items()}
-        x = cls._features(docs, vocabularies, config).cache()
-        small = n <= FIT and x.count() <= ROWS
-        components = docs.sparkSession.createDataFrame(cls._decompose(x.toPandas(), config), "feature string, vector array<double>") if small else cls._iterate(x, config)
-        components = components.cache()
-        index = cls(components, vocabularies, docs.select("item_id"), config)
-        index.vectors = index.project(docs).cache()
-        return index
+        vocabularies = {k: stored(vocabulary(counts(docs, grams), n, config.min_df, config.max_df), "vocabulary") for k, (grams, _) in cls._kinds(config).items()}
+        components = range_finder(cls._features(docs, vocabularies, config), config.svd_components, config.random_state)
+        return cls(components, vocabularies, docs.select("item_id"), config)
 
     @classmethod
-    def _features(cls, docs: DataFrame, vocabularies: dict[str, DataFrame], config: SemanticConfig) -> DataFrame:
-        parts = []
+    def _features(cls, docs: DataFrame, vocabularies: dict[str, DataFrame], config: SemanticConfig, unknown: bool = False) -> DataFrame:
+        """(item_id, feature, weight); unknown adds features that the vocabularies lack, with the largest idf in them."""
+        out = None
         for kind, (grams, weight) in cls._kinds(config).items():
-            part = weigh(counts(docs, grams), vocabularies[kind], weight, config.sublinear_tf)
-            parts.append(part.withColumn("feature", F.concat(F.lit(f"{kind}:"), F.col("feature"))))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+            tf = counts(docs, grams).join(vocabularies[kind], "feature", "left" if unknown else "inner")
+            if unknown:
+                rare = vocabularies[kind].agg(F.coalesce(F.max("idf"), F.lit(1.0)).alias("rare"))
+                tf = tf.crossJoin(F.broadcast(rare)).withColumn("idf", F.coalesce("idf", "rare"))  # one row
+            value = 1 + F.log("tf") if config.sublinear_tf else F.col("tf").cast("double")
+            part = tf.select("item_id", F.concat(F.lit(f"{kind}:"), F.col("feature")).alias("feature"), (value * F.col("idf") * weight).alias("weight"))
+            out = part if out is None else out.unionByName(part)
         return out
 
-    @staticmethod
-    def _decompose(rows: pd.DataFrame, config: SemanticConfig) -> pd.DataFrame:
-        item, items = pd.factorize(rows["item_id"], sort=True)
-        feature, features = pd.factorize(rows["feature"], sort=True)
-        order = np.argsort(feature, kind="stable")
-        item, feature, w = item[order], feature[order], rows["weight"].to_numpy()[order]
-        gram, step = np.zeros((len(items), len(items))), 2048
-        for a in range(0, len(features), step):
-            at = slice(*np.searchsorted(feature, [a, a + step]))
-            block = np.zeros((len(items), min(step, len(features) - a)))
-            block[item[at], feature[at] - a] = w[at]
-            gram += block @ block.T
-        k = max(min(config.svd_components, len(features) - 1, len(items) - 1), 2)
-        values, u = np.linalg.eigh(gram)
-        sigma = np.sqrt(np.maximum(values[::-1][:k], 0))
-        left = u[:, ::-1][:, :k] / np.maximum(sigma, 1e-12) * (sigma > 1e-12)
-        v = np.zeros((len(features), left.shape[1]))
-        for a in range(0, len(w), 1 << 20):  # transposed features times left vectors
-            np.add.at(v, feature[a : a + (1 << 20)], w[a : a + (1 << 20), None] * left[item[a : a + (1 << 20)]])
-        return pd.DataFrame({"feature": features, "vector": v.tolist()})
-
-    @staticmethod
-    def _iterate(x: DataFrame, config: SemanticConfig) -> DataFrame:
-        """(feature, vector): right singular vectors of all items, by subspace iteration from vectors given by the features' hashes."""
-        items, features = x.agg(F.count_distinct("item_id"), F.count_distinct("feature")).first()
-        k = max(min(config.svd_components, features - 1, items - 1), 2)
-        n = min(k + SPARE, items, features)
-
-        def times(vectors: DataFrame, by: str, to: str) -> DataFrame:
-            return stored(x.join(vectors, by).groupBy(to).agg(F.array(*(F.sum(F.col("weight") * F.col("vector")[j]) for j in range(n))).alias("vector")), "lsa")  # plans of rounds must not nest
-
-        def gram(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for rows in it:
-                    m = np.stack(rows["vector"].to_numpy()) if len(rows) else np.zeros((0, n))
-                    yield pd.DataFrame({"g": [(m.T @ m).tobytes()]})
-
-            total = np.zeros((n, n))
-            for row in vectors.select("vector").mapInPandas(part, "g binary").toLocalIterator():
-                total += np.frombuffer(row["g"]).reshape(n, n)
-            values, q = np.linalg.eigh(total)
-            return values[::-1], q[:, ::-1]
-
-        def turned(vectors: DataFrame, by: np.ndarray) -> DataFrame:
-            def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for rows in it:
-                    if len(rows):
-                        yield pd.DataFrame({"feature": rows["feature"], "vector": (np.stack(rows["vector"].to_numpy()) @ by).tolist()})
-
-            return stored(vectors.mapInPandas(run, "feature string, vector array<double>"), "lsa")
-
-        def scaled(values: np.ndarray, q: np.ndarray) -> np.ndarray:
-            real = values > max(values[0], 0) * 1e-14
-            return q / np.sqrt(np.where(real, values, 1.0)) * real
-
-        seed = lambda j: F.pmod(F.xxhash64("feature", F.lit(config.random_state), F.lit(j)), F.lit(1 << 20)) / float(1 << 19) - 1.0
-        right = stored(x.select("feature").distinct().select("feature", F.array(*(seed(j) for j in range(n))).alias("vector")), "lsa")
-        for _ in range(ROUNDS):
-            left = times(right, "feature", "item_id")
-            turn = scaled(*gram(left))  # makes the left vectors orthonormal; applied to the product, which is the same
-            right = turned(times(left, "item_id", "feature"), turn)
-        values, q = gram(right)
-        return turned(right, scaled(values, q)[:, :k])
-
-    def project(self, docs: DataFrame) -> DataFrame:
-        """(item_id, vector) of length 1; texts without known features, or nearly zero, have none."""
-        x = self._features(docs, self.vocabularies, self.config).join(self.components, "feature")
-        k = len(self.components.first()["vector"])
-        sums = x.groupBy("item_id").agg(F.array(*(F.sum(F.col("weight") * F.col("vector")[j]) for j in range(k))).alias("vector"))
-        sums = sums.filter(F.exists("vector", lambda v: F.abs(v) > 1e-8))
-        length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v))
-        return sums.withColumn("length", length).select("item_id", F.transform("vector", lambda v: v / F.col("length")).alias("vector"))
+    def feature_energy(self, docs: DataFrame) -> float:
+        """The sum of squared weights of docs' features, those that the vocabularies lack among them."""
+        square = F.sum(F.col("weight") * F.col("weight"))
+        return self._features(docs, self.vocabularies, self.config, unknown=True).agg(F.coalesce(square, F.lit(0.0))).first()[0]
+
+    def project(self, docs: DataFrame, energy: bool = False) -> DataFrame:
+        """(item_id, vector) of length 1, and energy, its squared length before; texts without known features, or nearly zero, have none."""
+        blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = in_blocks(self._features(docs, self.vocabularies, self.config), blocks)
+        kind = docs.schema["item_id"].dataType.simpleString()
+
+        def run(items: pa.Table, given: pa.Table) -> pa.Table:
+            z = None
+            if items.num_rows:
+                block = _Block(items)
+                z = block.rows(given)
+            if z is None:
+                ids = items.column("item_id").slice(0, 0) if items.num_columns else pa.array([], pa.int64())
+                return _vectors(ids, "item_id", np.zeros((0, 1))).append_column("energy", pa.array([], pa.float64()))
+            y = block.times(z)
+            keep = np.flatnonzero((np.abs(y) > 1e-8).any(1))
+            squares = (y[keep] ** 2).sum(1)
+            return _vectors(block.ids.take(pa.array(keep)), "item_id", y[keep] / np.sqrt(squares)[:, None]).append_column("energy", pa.array(squares))
+
+        out = rows.groupBy("block").cogroup(_sent(rows, self.components).groupBy("block2")).applyInArrow(run, f"item_id {kind}, vector array<double>, energy double")
+        return out if energy else out.drop("energy")
 
     def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """(query_id, item_id, score, rank) of (query_id, query_text): the top_k of all items, negative cosines too."""
         if top_k <= 0:
             raise ValueError("top_k must be above 0")
         q = self.project(queries.select(F.col("query_id").alias("item_id"), F.col("query_text").alias("text"))).toDF("query_id", "q")
-        return vector_search(q, self.vectors, top_k)
-
-
-def _best(score: np.ndarray, item: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best of each of asked, by score and then by the smaller item."""
-    order = np.lexsort((item, -score, asked))
-    score, item, asked = score[order], item[order], asked[order]
-    first = np.searchsorted(asked, asked)  # where each one's rows begin
-    keep = np.arange(len(asked)) - first < k
-    return score[keep], item[keep], asked[keep]
-
-
-def vector_search(queries: DataFrame, items: DataFrame, top_k: int, digits: int | None = None) -> DataFrame:
-    """(query_id, item_id, score, rank): dot products of (query_id, q) with (item_id, vector), best top_k; non-finite ones are left out.
-
-    Query vectors go to the executors in tiles of TILE bytes at most, each against all items by matrix products; a task
-    selects from every product and keeps its best, so what is shuffled is top_k rows a query and task. Vectors of another length than the
-    queries' longest take no part.
-    """
-    spark = items.sparkSession
-    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
-    tiles = max(1, -(-n * max(width, 1) * 8 // TILE))
-    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *items.schema.fields]}
-    schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double"
-    fits = items.filter(F.size("vector") == width).select("item_id", F.col("vector").cast("array<double>").alias("vector"))
-    if tiles > 1:
-        queries = stored(queries.withColumn("_tile", F.pmod(F.xxhash64("query_id"), F.lit(tiles))), "queries")
-
-    def one(rows: list) -> DataFrame:
-        rows = [r for r in rows if r["q"] is not None and len(r["q"]) == width]
-        given = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows], float).reshape(len(rows), width)))
-
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, q = given.value
-            best: tuple[np.ndarray, ...] | None = None
-            for batch in it:
-                for a in range(0, len(batch) if len(names) else 0, 2048):
-                    part = batch.iloc[a : a + 2048]
-                    score, item = q @ np.stack(part["vector"].to_numpy()).T, part["item_id"].to_numpy()
-                    item = item.astype(str) if item.dtype == object else item
-                    score = np.round(score, digits) if digits else score
-                    score[~np.isfinite(score)] = -np.inf
-                    least = np.partition(score, -top_k, axis=1)[:, -top_k] if score.shape[1] > top_k else np.full(len(score), -np.inf)
-                    asked, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-                    new = (score[asked, at], item[at], asked)
-                    best = _best(*(new if best is None else map(np.concatenate, zip(best, new, strict=True))), top_k)
-            if best is not None:
-                yield pd.DataFrame({"query_id": names[best[2]], "item_id": best[1], "score": best[0]})
-
-        return fits.mapInPandas(run, schema)
-
-    parts = [one((queries.filter(F.col("_tile") == t) if tiles > 1 else queries).select("query_id", "q").collect()) for t in range(tiles)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return ranked(found.filter(finite(F.col("score"))), ["query_id"], [F.desc("score"), F.asc("item_id")], top_k)
+        return vector_search(stored(q, "queries"), self.vectors, top_k)
+
+
+def _gram(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, falling, and eigenvectors of the product of a table's transpose with itself: a matrix a task meets on the driver."""
+
+    def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for b in it:
+            m = b.column("vector").flatten().to_numpy().reshape(-1, n)
+            total += m.T @ m
+        yield pa.RecordBatch.from_pydict({"g": [total.tobytes()]})
+
+    total = np.zeros((n, n))
+    for row in vectors.select("vector").mapInArrow(part, "g binary").toLocalIterator():
+        total += np.frombuffer(row["g"]).reshape(n, n)
+    values, q = np.linalg.eigh(total)
+    return values[::-1], q[:, ::-1]
+
+
+def _scaled(values: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What makes a table's columns orthonormal; directions without weight become 0."""
+    real = values > max(values[0], 0) * 1e-14
+    return q / np.sqrt(np.where(real, values, 1.0)) * real
+
+
+def range_finder(x: DataFrame, components: int, seed: int, rounds: int | None = None) -> DataFrame:
+    """(fid, vector): right singular vectors of (item_id, feature, weight), by falling singular value. Stored."""
+    rounds = ROUNDS if rounds is None else rounds
+    sparse = stored(in_blocks(x, 1).drop("block"), "sparse")
+    cells, items = sparse.agg(F.coalesce(F.sum(F.size("f")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-cells // BLOCK))
+    rows = sparse.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    features = rows.select(F.explode("f.fid").alias("fid")).distinct().count()
+    k = max(min(components, features - 1, items - 1), 2)
+    n = max(k, min(k + SPARE, items, features))
+
+    def product(turn: np.ndarray | None) -> Callable[..., pa.Table]:
+        """X'X times the test matrix, or times the given vectors turned."""
+
+        def first(items: pa.Table) -> pa.Table:
+            block = _Block(items)
+            return _vectors(pa.array(block.fid), "fid", block.back(block.times(test_rows(block.fid, n, seed))))
+
+        def next_(items: pa.Table, given: pa.Table) -> pa.Table:
+            z = (block := _Block(items)).rows(given) if items.num_rows else None
+            return _NOTHING if z is None else _vectors(pa.array(block.fid), "fid", block.back(block.times(z @ turn)))
+
+        return first if turn is None else next_
+
+    summed = F.array(*(F.sum(F.col("vector")[j]) for j in range(n))).alias("vector")
+    schema = "fid long, vector array<double>"
+    held = stored(rows.groupBy("block").applyInArrow(product(None), schema).groupBy("fid").agg(summed), "lsa")
+    turn = _scaled(*_gram(held, n))
+    for _ in range(rounds):
+        out = rows.groupBy("block").cogroup(_sent(rows, held).groupBy("block2")).applyInArrow(product(turn), schema)
+        before, held = held, stored(out.groupBy("fid").agg(summed), "lsa")
+        discard(before)
+        turn = _scaled(*_gram(held, n))
+    last = turn[:, :k]
+
+    def turned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                yield from _vectors(b.column("fid"), "fid", b.column("vector").flatten().to_numpy().reshape(b.num_rows, n) @ last).to_batches()
+
+    out = stored(held.mapInArrow(turned, schema), "lsa")
+    discard(held, sparse)
+    return out

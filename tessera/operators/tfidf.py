@@ -47,11 +47,20 @@ def cosine_search(queries: DataFrame, items: DataFrame, top_k: int, digits: int
     return ranked(scored, ["query_id"], [F.desc("score"), F.asc("item_id")], top_k)
 
 
+def item_lengths(tf: DataFrame, vocabulary_: DataFrame) -> DataFrame:
+    """(item_id, length) of the weights of (item_id, feature, tf); items without weight have no row."""
+    square = F.sum(F.col("weight") * F.col("weight"))
+    return weigh(tf, vocabulary_).groupBy("item_id").agg(F.sqrt(square).alias("length")).filter("length > 1e-8")
+
+
 @dataclass
 class TfidfIndex:
-    """weights (item_id, feature, weight), vocabulary (feature, idf), lengths (item_id, length) of word TF-IDF."""
+    """features (item_id, feature, tf), vocabulary (feature, idf), lengths (item_id, length) of word TF-IDF.
+
+    Weights are made when they are met, from the idf that a query's feature brings along, so documents that come or go rewrite no features.
+    """
 
-    weights: DataFrame
+    features: DataFrame
     vocabulary: DataFrame
     lengths: DataFrame
     pattern: str
@@ -61,16 +70,15 @@ class TfidfIndex:
         """From (item_id, text): n-grams of 1 and 2 words."""
         tf = counts(docs, word_ngrams(F.col("text"), 1, 2, pattern))
         vocabulary_ = vocabulary(tf, docs.count())
-        weights = weigh(tf, vocabulary_)
-        lengths = weights.groupBy("item_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")).filter("length > 1e-8")
-        return cls(weights, vocabulary_, lengths, pattern)
+        return cls(tf, vocabulary_, item_lengths(tf, vocabulary_), pattern)
 
     def search(self, queries: DataFrame, top_k: int, digits: int | None = None) -> DataFrame:
         """(query_id, item_id, score, rank) of (query_id, query_text) by cosine. Queries meet the features first, items' lengths only what was found."""
-        asked = queries.select(F.col("query_id").alias("item_id"), F.col("query_text").alias("text"))
-        q = normalise(weigh(counts(asked, word_ngrams(F.col("text"), 1, 2, self.pattern)), self.vocabulary))
-        q = q.select(F.col("item_id").alias("query_id"), "feature", F.col("weight").alias("qw"))
-        found = q.join(self.weights, "feature").groupBy("query_id", "item_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("dot"))
-        score = F.col("dot") / F.col("length")
-        scored = found.join(self.lengths, "item_id").select("query_id", "item_id", (F.round(score, digits) if digits else score).alias("score"))
+        asked = queries.select("query_id", F.explode(word_ngrams(F.col("query_text"), 1, 2, self.pattern)).alias("feature")).groupBy("query_id", "feature").agg(F.count("*").alias("tf"))
+        q = asked.join(self.vocabulary, "feature").withColumn("weight", (1 + F.log("tf")) * F.col("idf"))
+        length = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("qlength")).filter("qlength > 1e-8")
+        q = q.select("query_id", "feature", (F.col("weight") * F.col("idf")).alias("qw"))
+        found = q.join(self.features, "feature").groupBy("query_id", "item_id").agg(F.sum(F.col("qw") * (1 + F.log("tf"))).alias("dot"))
+        score = F.col("dot") / (F.col("qlength") * F.col("length"))
+        scored = found.join(length, "query_id").join(self.lengths, "item_id").select("query_id", "item_id", (F.round(score, digits) if digits else score).alias("score"))
         return ranked(scored, ["query_id"], [F.desc("score"), F.asc("item_id")], top_k)

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.scoring import finite, gain, minmax, ranked
 from ..functions.text import char_ngrams, item_text, tokenize, word_ngrams
 from ..operators import events as E
-from ..operators import fusion, lookups, metrics, profiles, rerank, semantic, tfidf
+from ..operators import fusion, lookups, metrics, profiles, rerank, tfidf
+from ..operators.vectors import vector_search
 from ..operators.bm25 import BM25Index
 from ..sources import validate
 from . import search as S
 from . import views as V
-from .indices import IndexStore
+from .indices import Generation, IndexConfig, IndexStore
 from .views import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,16 +151,25 @@ def _name(d: str, table: str) -> str:
     return f"{table}-{zlib.crc32(d.encode()):08x}"
 
 
+def _docs(spark, d) -> Generation:
+    """Both channels of the documents, of one generation."""
+    return IndexStore(spark).open(_name(d, "docs"), V.docs(spark, d), IndexConfig(normalise=False, pattern=WORDS))
+
+
 def _index(spark, d) -> BM25Index:
-    return IndexStore(spark).bm25(_name(d, "docs"), V.docs(spark, d), normalise=False)
+    return _docs(spark, d).bm25()
 
 
 def _shop(spark, d) -> DataFrame:
     return V.items(spark, d).select("item_id", item_text().alias("text"))
 
 
+def _shop_docs(spark, d) -> Generation:
+    return IndexStore(spark).open(_name(d, "items"), _shop(spark, d), IndexConfig(normalise=False, pattern=WORDS))
+
+
 def _shop_index(spark, d) -> BM25Index:
-    return IndexStore(spark).bm25(_name(d, "items"), _shop(spark, d), normalise=False)
+    return _shop_docs(spark, d).bm25()
 
 
 @query("SELECT item_id, term, tf FROM p", "p")
@@ -218,7 +228,7 @@ def tfidf_pruned_vocabulary(spark, d):
 
 
 def _tfidf(spark, d, table: str = "docs") -> tfidf.TfidfIndex:
-    return IndexStore(spark).tfidf(_name(d, table), V.docs(spark, d) if table == "docs" else _shop(spark, d), WORDS)
+    return (_docs if table == "docs" else _shop_docs)(spark, d).tfidf()
 
 
 @query("SELECT query_id, item_id, score, rank FROM cr WHERE rank <= 10", "cr")
@@ -232,13 +242,13 @@ def embedding_cosine_topk(spark, d):
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     v = v.withColumn("n", length).filter("n > 1e-8").select("item_id", F.transform("vector", lambda x: x / F.col("n")).alias("vector"))
     q = v.filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("vector").alias("q"))
-    return semantic.vector_search(q, v, 10, 6)
+    return vector_search(q, v, 10, 6)
 
 
 @query()
 def lsa_search_topk(spark, d):
     """Rows only: the decomposition is no SQL."""
-    return IndexStore(spark).semantic(_name(d, "items"), _shop(spark, d)).search(V.shop_queries(spark, d), 10)
+    return S.Snapshot.build(V.items(spark, d), store=IndexStore(spark), name=_name(d, "items")).semantic.search(V.shop_queries(spark, d), 10)
 
 
 # ---- fusion

@@ -17,8 +17,8 @@ from ..sources import importer, readers, validate
 from ..storage import read_text, shared_dir, write_csv, write_text
 from . import search as S
 from . import views as V
-from .catalog import _GRADES, _POPULAR, _behaviour, _metrics_sql, _name, _profiles, _shop, _shop_hits, KS, query
-from .indices import IndexStore
+from .catalog import _GRADES, _POPULAR, _behaviour, _metrics_sql, _name, _profiles, _shop, _shop_hits, KS, WORDS, query
+from .indices import Generation, IndexConfig, IndexStore
 
 # ---- the canonical tables as CSV files, written from the test tables and read back
 
@@ -304,21 +304,50 @@ def candidate_diagnostics(spark, d):
 
 @query("SELECT * FROM (VALUES ('before', false, 0, NULL, NULL), ('build', true, 1, (SELECT count(*) FROM items), NULL), ('failed', true, 1, (SELECT count(*) FROM items), 'build failed'), ('empty', true, 1, (SELECT count(*) FROM items), 'build failed'), ('rebuild', true, 2, (SELECT count(*) FROM items) - 1, NULL)) t(step, ready, generation, rows, error)", "items")
 def index_lifecycle(spark, d):
-    """An index built, two rebuilds that fail and leave it in use, and one that doesn't."""
-    store, docs, rows = IndexStore(spark, shared_dir(spark, "indices")), _shop(spark, d), []
+    """An index built, two refreshes that fail and leave it in use, and one that doesn't."""
+    docs, rows = _shop(spark, d), []
+    index = IndexStore(spark, shared_dir(spark, "indices")).collection("items", docs, IndexConfig(normalise=False))
 
     def note(step: str) -> None:
-        s = store.status("docs")
-        n = store.tables("docs")["docs"].count() if s["ready"] else None
-        rows.append((step, s["ready"], s["generation"], n, s["error"] and s["error"].partition(":")[0]))
+        s = index.status()
+        n = index.generation().documents().count() if s["ready"] else None
+        rows.append((step, s["ready"], s["generation"], n, s["error"] and s["error"].partition(",")[0]))
 
     note("before")
-    for step, make in (("build", lambda: docs), ("failed", lambda: docs.select("no_such_column")), ("empty", lambda: docs.limit(0)), ("rebuild", lambda: docs.filter("item_id <> 1"))):
-        store.build("docs", lambda make=make: {"docs": make()}, counted="docs")
+    for step, source in (("build", docs), ("failed", docs.withColumn("text", F.raise_error(F.lit("broken")).cast("string"))), ("empty", docs.limit(0)), ("rebuild", docs.filter("item_id <> 1"))):
+        index.refresh(source)
         note(step)
     return spark.createDataFrame(rows, "step string, ready boolean, generation int, rows long, error string")
 
 
+def _grown(spark: SparkSession, d: str) -> Generation:
+    """The documents' indices after files were added, changed and removed: strangers and half of the texts altered at first, then the documents as they are, in two steps."""
+    docs, folder = V.docs(spark, d).select("item_id", "text"), shared_dir(spark, "source")
+    store, config = IndexStore(spark, shared_dir(spark, "indices")), IndexConfig(normalise=False, pattern=WORDS)
+    late, third = F.col("item_id") % 5 == 0, F.col("item_id") % 3 == 0
+    strangers = docs.filter("item_id % 10 = 1").select((-1 - F.col("item_id")).alias("item_id"), F.concat("text", F.lit(" stranger")).alias("text"))
+    altered = docs.filter(~late).withColumn("text", F.when(third, F.concat(F.lit("altered "), F.col("text"))).otherwise(F.col("text")))
+    generation = None
+    for step in (altered.unionByName(strangers), docs.filter(~late), docs):
+        step.write.mode("overwrite").parquet(folder)
+        generation = store.open("docs", spark.read.parquet(folder), config)
+    return generation
+
+
+@query("SELECT 'bm25' AS channel, query_id, item_id, score, rank FROM bm WHERE rank <= 10 UNION ALL SELECT 'tfidf', query_id, item_id, score, rank FROM cr WHERE rank <= 10", "bm", "cr")
+def index_segments_topk(spark, d):
+    """Both channels of one generation of a store that followed its files; the same as over indices built anew."""
+    g = _grown(spark, d)
+    found = [i.search(V.passages(spark, d), 10, 6).select(F.lit(c).alias("channel"), "query_id", "item_id", "score", "rank") for c, i in (("bm25", g.bm25()), ("tfidf", g.tfidf()))]
+    return found[0].unionByName(found[1])
+
+
+@query("SELECT term, df FROM t", "t")
+def index_segments_terms(spark, d):
+    """Document frequencies added up across segments, less what the dead had."""
+    return _grown(spark, d).bm25().terms.select("term", "df")
+
+
 @query("SELECT name, CAST(value AS DOUBLE) AS value FROM (VALUES ('k1', 1.2), ('b', 0.75), ('svd_components', 32.0), ('rrf_k', 10.0), ('half_life_days', 7.0), ('refused', 4.0)) t(name, value)")
 def config_sources(spark, d):
     """Settings from a JSON file each; unknown names are left out, values out of bounds refused."""

@@ -1,116 +1,422 @@
-"""Indices as tables: built once, named by what they were made from, read by every query, and kept while a rebuild fails."""
+"""Indices as tables that follow their data: segments with tombstones, one generation for all parts, and an old one that serves while a build fails.
+
+A collection is a folder, named by what is indexed: its name, the plan that makes its documents, and the settings. A refresh compares the source's
+rows with those indexed, by id and a digest of the text. Added and changed documents form a segment with postings, features and statistics of its own; what was
+there before is left out by tombstones (item_id, segment). Numbers of documents, lengths and document frequencies add up across segments, less
+what the newly dead had. Segments of like size are merged, and those half dead written anew.
+
+A generation is a manifest that names its tables, written once under the next free number; readers keep the one they began with. Writers
+claim a number by creating a file that must not exist, so two never write the same one. Each manifest is complete for the documents its
+writer saw, so of two writers' generations either is right for its source.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import math
+import uuid
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import SemanticConfig
 from ..operators.bm25 import BM25Index
 from ..operators.semantic import SemanticIndex
-from ..operators.tfidf import TfidfIndex
-from ..storage import hadoop, own_dir, read_text, write_text
+from ..operators.tfidf import TfidfIndex, counts, item_lengths
+from ..functions.text import tokenize, word_ngrams
+from ..storage import claim, hadoop, own_dir, read_text, write_text
+
+#: Segments of a size class that are merged; documents of one class differ by less than this factor.
+MERGE = 4
+#: Share of documents that differ beyond which everything is built anew; share of a segment's documents that are dead beyond which it is written anew.
+REBUILD, DEAD = 0.5, 0.5
+#: A fit is due if folded items keep less of their energy than this share of what fitted ones keep, or are more than this share of them.
+KEPT, FOLDED = 0.9, 1.0
 
 
 class IndexNotReady(LookupError):
-    """No index of that name has been built."""
+    """No generation has been built."""
+
 
+def _wide(spark: SparkSession, df: DataFrame) -> str:
+    key = "spark.sql.debug.maxToStringFields"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "100000")  # so that no field is left out of the plan's text
+    try:
+        return df._jdf.queryExecution().analyzed().canonicalized().toString()
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
-def source_mark(*sources: DataFrame) -> str | None:
-    """A digest of the files that tables are read from, with their sizes and times; None for tables that are no files."""
-    spark, total = sources[0].sparkSession, hashlib.sha256()
-    for df in sources:
-        files = sorted(df.inputFiles())
-        if not files:
+
+def plan_mark(df: DataFrame) -> str:
+    """A digest of the plan that makes df: filters, expressions and constants, without the files it reads."""
+    return hashlib.sha256(_wide(df.sparkSession, df).encode()).hexdigest()
+
+
+def source_mark(df: DataFrame) -> str | None:
+    """A digest of the files that df reads, with sizes and times as they were listed when df was made; None if it reads no files."""
+    leaves, total, n = df._jdf.queryExecution().analyzed().collectLeaves(), hashlib.sha256(), 0
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            relation = leaf.relation()
+            if relation.getClass().getSimpleName() != "HadoopFsRelation":
+                return None
+            location = relation.location()
+            if not hasattr(location, "allFiles"):
+                return None
+            total.update("\n".join(sorted(location.allFiles().mkString("\n").split("\n"))).encode())
+            n += 1
+        elif leaf.getClass().getSimpleName() not in ("OneRowRelation", "Range"):
             return None
-        fs, _ = hadoop(spark, files[0])
-        for f in files:
-            status = fs.getFileStatus(hadoop(spark, f)[1])
-            total.update(f"{f} {status.getLen()} {status.getModificationTime()}\n".encode())
-    return total.hexdigest()
+    return total.hexdigest() if n else None
 
 
-class IndexStore:
-    """A folder of indices. STATUS.json of an index names the generation in use; readers keep the one they began with."""
+@dataclass(frozen=True)
+class IndexConfig:
+    """The parts of a collection and their settings; k1 and b are applied by searches, so they need no index of their own."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root = spark, root or f"{own_dir(spark)}/indices"
+    bm25: bool = True
+    normalise: bool = True
+    pattern: str | None = None
+    semantic: SemanticConfig | None = None
+
+    def mark(self) -> str:
+        return repr(self)
+
+
+@dataclass
+class Generation:
+    """One consistent state of a collection: all parts hold the same documents."""
+
+    spark: SparkSession
+    config: IndexConfig
+    manifest: dict = field(repr=False)
+
+    @property
+    def number(self) -> int:
+        return self.manifest["generation"]
+
+    @property
+    def n_items(self) -> int:
+        return self.manifest["items"]
+
+    def table(self, entry: dict) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(json.loads(entry["schema"]))).parquet(entry["path"])
+
+    def dead(self) -> DataFrame | None:
+        return self.table(self.manifest["dead"]) if self.manifest["dead"] else None
+
+    def live(self, name: str) -> DataFrame:
+        """The rows of the segments' tables of a name whose documents are alive, with segment."""
+        parts = [self.table(s["tables"][name]).withColumn("segment", F.lit(s["name"])) for s in self.manifest["segments"] if name in s["tables"]]
+        rows = reduce(DataFrame.unionByName, parts)
+        dead = self.dead()
+        return rows if dead is None else rows.join(dead, ["item_id", "segment"], "left_anti")
+
+    def documents(self) -> DataFrame:
+        """(item_id, print, dl)."""
+        return self.live("documents").drop("segment")
+
+    def bm25(self, k1: float = 1.5, b: float = 0.75) -> BM25Index:
+        if k1 <= 0 or not 0 <= b <= 1:
+            raise ValueError("k1 must be above 0, and b in 0 to 1")
+        m = self.manifest
+        stats = self.spark.range(1).select(F.lit(m["items"]).cast("long").alias("n"), F.lit(m["tokens"] / m["items"]).cast("double").alias("avgdl"))
+        return BM25Index(self.live("postings").drop("segment"), self.table(m["terms"]), stats, k1, b, self.config.normalise)
+
+    def tfidf(self) -> TfidfIndex:
+        m = self.manifest
+        vocabulary = self.table(m["features"]).select("feature", (F.log((1.0 + m["items"]) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+        return TfidfIndex(self.live("features").drop("segment"), vocabulary, self.table(m["lengths"]), self.config.pattern)
+
+    def semantic(self) -> SemanticIndex:
+        s = self.manifest["semantic"]
+        vectors = reduce(DataFrame.unionByName, [self.table(v) for v in s["vectors"]])
+        if len(s["vectors"]) > 1 or self.manifest["dead"]:
+            vectors = vectors.join(self.documents().select("item_id", "print"), ["item_id", "print"], "left_semi")
+        vocabularies = {k: self.table(v) for k, v in s["vocabularies"].items()}
+        return SemanticIndex(self.table(s["components"]), vocabularies, vectors.drop("print"), self.config.semantic)
+
+    def energy(self) -> DataFrame:
+        """(generation, kind, items, total, kept): squared lengths of the features of fitted and of folded items, and what of them the components keep."""
+        rows = [(self.number, e["kind"], e["items"], e["total"], e["kept"]) for e in (self.manifest["semantic"] or {}).get("energy", [])]
+        return self.spark.createDataFrame(rows, "generation long, kind string, items long, total double, kept double")
+
+
+class Collection:
+    """Generations of the indices of one source with one set of parts."""
+
+    def __init__(self, spark: SparkSession, root: str, config: IndexConfig):
+        self.spark, self.root, self.config = spark, root, config
+
+    # ---- manifests
+
+    def _numbers(self) -> list[int]:
+        fs, path = hadoop(self.spark, self.root)
+        if not fs.exists(path):
+            return []
+        names = (f.getPath().getName() for f in fs.listStatus(path))
+        return sorted(int(n[1:-5]) for n in names if n.startswith("g") and n.endswith(".json"))
+
+    def generation(self, number: int | None = None) -> Generation:
+        """The newest generation, or one of a number."""
+        numbers = self._numbers()
+        if not numbers or (number and number not in numbers):
+            raise IndexNotReady(self.status()["error"] or "no generation has been built")
+        return Generation(self.spark, self.config, json.loads(read_text(self.spark, f"{self.root}/g{number or numbers[-1]:06d}.json")))
+
+    def status(self) -> dict:
+        """ready, generation, built_at, items, segments and error, the last build's, if it failed."""
+        error, numbers = read_text(self.spark, f"{self.root}/ERROR"), self._numbers()
+        if not numbers:
+            return {"ready": False, "generation": 0, "built_at": None, "items": 0, "segments": 0, "error": error or None}
+        m = self.generation(numbers[-1]).manifest
+        return {"ready": True, "generation": m["generation"], "built_at": m["built_at"], "items": m["items"], "segments": len(m["segments"]), "error": error or None}
+
+    def _publish(self, manifest: dict) -> Generation:
+        number = (self._numbers() or [0])[-1] + 1
+        while not claim(self.spark, f"{self.root}/c{number:06d}"):  # a writer that died leaves its number unused
+            number += 1
+        manifest |= {"generation": number, "built_at": datetime.now(UTC).isoformat()}
+        write_text(self.spark, f"{self.root}/g{number:06d}.json", json.dumps(manifest))
+        write_text(self.spark, f"{self.root}/ERROR", "")
+        return Generation(self.spark, self.config, manifest)
 
-    def status(self, name: str) -> dict:
-        """ready, generation, built_at, mark, tables (name to path and schema), rows, error."""
-        held = read_text(self.spark, f"{self.root}/{name}/STATUS.json")
-        return json.loads(held) if held else {"ready": False, "generation": 0, "built_at": None, "mark": None, "tables": {}, "rows": {}, "error": None}
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes the tables and manifests that only generations before the last keep name; how many tables went. No reader may still use these."""
+        numbers = self._numbers()
+        held = [self.generation(n).manifest for n in numbers]
+        paths = lambda ms: {p for m in ms for p in _paths(m)}
+        old = paths(held[:-keep]) - paths(held[-keep:])
+        for p in [*old, *(f"{self.root}/g{n:06d}.json" for n in numbers[:-keep])]:
+            fs, path = hadoop(self.spark, p)
+            fs.delete(path, True)
+        return len(old)
 
-    def _save(self, name: str, status: dict) -> None:
-        write_text(self.spark, f"{self.root}/{name}/STATUS.json", json.dumps(status))
+    # ---- building
 
-    def build(self, name: str, make: Callable[[], dict[str, DataFrame]], mark: str | None = None, counted: str | None = None) -> dict:
-        """The next generation; if it fails, or has no rows in the table counted, the one in use stays and the error is kept."""
-        status = self.status(name)
-        folder = f"{self.root}/{name}/{status['generation'] + 1:06d}-{datetime.now(UTC).strftime('%H%M%S%f')}"
+    def _write(self, df: DataFrame, name: str) -> dict:
+        path = f"{self.root}/tables/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        return {"path": path, "schema": df.schema.json()}
+
+    def _table(self, entry: dict) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(json.loads(entry["schema"]))).parquet(entry["path"])
+
+    def _segment(self, docs: DataFrame) -> dict:
+        """A segment of (item_id, text, print)."""
+        tables = {}
+        tokens = tokenize(F.col("text"), normalise=self.config.normalise)
+        if self.config.bm25:
+            cut = docs.select("item_id", "print", tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+            tables["documents"] = self._write(cut.select("item_id", "print", "dl"), "documents")
+            tables["postings"] = self._write(cut.select("item_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "item_id", "dl").agg(F.count("*").alias("tf")), "postings")
+        else:
+            tables["documents"] = self._write(docs.select("item_id", "print", F.lit(0).cast("long").alias("dl")), "documents")
+        if self.config.pattern:
+            tables["features"] = self._write(counts(docs, word_ngrams(F.col("text"), 1, 2, self.config.pattern)), "features")
+        return self._sized(tables)
+
+    def _sized(self, tables: dict) -> dict:
+        rows, tokens = self._table(tables["documents"]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return {"name": uuid.uuid4().hex[:12], "items": rows, "tokens": tokens, "tables": tables}
+
+    def _added(self, old: dict | None, new: DataFrame, gone: DataFrame | None, key: str) -> DataFrame:
+        """(key, df): document frequencies of a generation, from those before, a segment's rows and the rows of the newly dead."""
+        parts = [new.groupBy(key).agg(F.count("*").alias("df"))] + ([self._table(old)] if old else [])
+        if gone is not None:
+            parts.append(gone.groupBy(key).agg((-F.count("*")).alias("df")))
+        return reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.sum("df").alias("df")).filter("df > 0")
+
+    def build(self, docs: DataFrame) -> Generation:
+        """The next generation, all of it from (item_id, text); item_id is a key."""
+        return self._guarded(lambda: self._anew(_printed(docs), docs))
+
+    def refresh(self, docs: DataFrame) -> Generation:
+        """The next generation, from what differs between docs and the newest one; that one itself if nothing does. If it fails, the newest goes on serving and the status has the error."""
+        return self._guarded(lambda: self._next(docs))
+
+    def _guarded(self, make) -> Generation:
         try:
-            tables = {}
-            for t, df in make().items():
-                df.write.parquet(f"{folder}/{t}")
-                tables[t] = {"path": f"{folder}/{t}", "schema": df.schema.json()}
-            rows = self.spark.read.parquet(tables[counted]["path"]).count() if counted else None
-            if rows == 0:
-                raise ValueError("no items to index")
+            return make()
         except Exception as e:
-            status |= {"error": f"build failed: {str(e)[:500]}"}
-            self._save(name, status)
-            return status
-        old, kept = [t["path"] for t in status["tables"].values()], status["generation"] + 1
-        status = {"ready": True, "generation": kept, "built_at": datetime.now(UTC).isoformat(), "mark": mark, "tables": tables, "rows": {counted: rows} if counted else {}, "error": None, "before": old}
-        self._save(name, status)
-        return status
-
-    def tables(self, name: str) -> dict[str, DataFrame]:
-        """The tables in use."""
-        from pyspark.sql.types import StructType
-
-        status = self.status(name)
-        if not status["ready"]:
-            raise IndexNotReady(status["error"] or f"no index {name}")
-        return {t: self.spark.read.schema(StructType.fromJson(json.loads(v["schema"]))).parquet(v["path"]) for t, v in status["tables"].items()}
-
-    def ensured(self, name: str, sources: tuple[DataFrame, ...], make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-        """The tables in use, built first if there are none or the sources' files have changed since."""
-        mark = source_mark(*sources)
-        status = self.status(name)
-        if not status["ready"] or mark is None or status["mark"] != mark:
-            status = self.build(name, make, mark)
-            if status["error"]:
-                raise IndexNotReady(status["error"])
-        return self.tables(name)
-
-    # ---- the kinds
+            write_text(self.spark, f"{self.root}/ERROR", f"build failed, the last generation serves on: {str(e)[:500]}")
+            if self._numbers():
+                return self.generation()
+            raise IndexNotReady(f"build failed: {str(e)[:500]}") from e
 
-    def bm25(self, name: str, docs: DataFrame, k1: float = 1.5, b: float = 0.75, normalise: bool = True) -> BM25Index:
-        def make() -> dict[str, DataFrame]:
-            index = BM25Index.build(docs, k1, b, normalise)
-            return {"postings": index.postings, "terms": index.terms, "stats": index.stats}
+    def ensured(self, docs: DataFrame) -> Generation:
+        """The newest generation if the files that docs reads are those it was made from, else the next."""
+        mark = source_mark(docs)
+        if mark and self._numbers():
+            newest = self.generation()
+            if newest.manifest["mark"] == mark:
+                return newest
+        return self.refresh(docs)
 
-        return BM25Index(**self.ensured(f"{name}-bm25-{k1}-{b}-{int(normalise)}", (docs,), make), k1=k1, b=b, normalise=normalise)
+    def _anew(self, printed: DataFrame, docs: DataFrame) -> Generation:
+        segment = self._segment(printed)
+        if not segment["items"]:
+            raise ValueError("no items to index")
+        m = {"mark": source_mark(docs), "segments": [segment], "dead": None, "items": segment["items"], "tokens": segment["tokens"], "semantic": None}
+        return self._publish(self._finished(m, None, segment, None, docs))
 
-    def tfidf(self, name: str, docs: DataFrame, pattern: str) -> TfidfIndex:
-        def make() -> dict[str, DataFrame]:
-            index = TfidfIndex.build(docs, pattern)
-            return {"weights": index.weights, "vocabulary": index.vocabulary, "lengths": index.lengths}
+    def _next(self, docs: DataFrame) -> Generation:
+        printed = _printed(docs)
+        if not self._numbers():
+            return self._anew(printed, docs)
+        old = self.generation()
+        there = old.live("documents").select("item_id", F.col("print").alias("old"), "segment")
+        diff = printed.select("item_id", F.col("print").alias("new")).join(there, "item_id", "full_outer").filter("new IS NULL OR old IS NULL OR new <> old")
+        diff = self._table(self._write(diff.select("item_id", "segment", F.col("new").isNotNull().alias("comes")), "diff"))
+        come, go = diff.agg(F.coalesce(F.sum(F.col("comes").cast("long")), F.lit(0)), F.count("segment")).first()
+        if not come and not go:
+            if old.manifest["mark"] == source_mark(docs):
+                return old
+            return self._publish(old.manifest | {"mark": source_mark(docs)})  # other files, the same rows
+        if old.n_items + come - go <= 0:
+            raise ValueError("no items to index")
+        if max(come, go) > REBUILD * old.n_items:
+            return self._anew(printed, docs)
+        m = dict(old.manifest) | {"mark": source_mark(docs)}
+        segment = self._segment(printed.join(diff.filter("comes").select("item_id"), "item_id", "left_semi")) if come else None
+        gone = diff.filter("segment IS NOT NULL").select("item_id", "segment") if go else None
+        if go:
+            m["dead"] = self._write(gone if old.dead() is None else old.dead().unionByName(gone), "dead")
+        m["segments"] = m["segments"] + ([segment] if segment else [])
+        if not segment and not go:
+            return old
+        lost = old.live("documents").join(gone, ["item_id", "segment"], "left_semi").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first() if go else (0, 0)
+        m["items"] = old.n_items + (segment["items"] if segment else 0) - lost[0]
+        m["tokens"] = m["tokens"] + (segment["tokens"] if segment else 0) - lost[1]
+        return self._publish(self._merged(self._finished(m, old, segment, gone, docs)))
 
-        return TfidfIndex(**self.ensured(f"{name}-tfidf", (docs,), make), pattern=pattern)
+    def _finished(self, m: dict, old: Generation | None, segment: dict | None, gone: DataFrame | None, docs: DataFrame) -> dict:
+        """The manifest with document frequencies, lengths and the semantic part."""
+        for kind, rows, key in (("terms", "postings", "term"), ("features", "features", "feature")):
+            if not (self.config.bm25 if kind == "terms" else self.config.pattern):
+                continue
+            new = self._table(segment["tables"][rows]) if segment else self._table(m["segments"][0]["tables"][rows]).limit(0)
+            went = old.live(rows).join(gone, ["item_id", "segment"], "left_semi") if old and gone is not None else None
+            m[kind] = self._write(self._added(old.manifest[kind] if old else None, new, went, key), kind)
+        if self.config.pattern:
+            g = Generation(self.spark, self.config, m | {"lengths": None})
+            vocabulary = self._table(m["features"]).select("feature", (F.log((1.0 + m["items"]) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+            m["lengths"] = self._write(item_lengths(g.live("features"), vocabulary), "lengths")
+        if self.config.semantic:
+            m["semantic"] = self._semantic(m, old, segment, docs)
+        return m
 
-    def semantic(self, name: str, docs: DataFrame, config: SemanticConfig | None = None) -> SemanticIndex:
-        config = (config or SemanticConfig()).validate()
+    # ---- the semantic part
+
+    def _semantic(self, m: dict, old: Generation | None, segment: dict | None, docs: DataFrame) -> dict:
+        """New items are folded into the fit at hand; all is fitted anew where none is or where one is due."""
+        printed = _printed(docs)
+        if old and old.manifest["semantic"]:
+            s = json.loads(json.dumps(old.manifest["semantic"]))
+            if not segment:
+                return s
+            index = old.semantic()
+            new = printed.join(self._table(segment["tables"]["documents"]).select("item_id"), "item_id", "left_semi")
+            folded, total, kept = self._projected(index, new)
+            s["vectors"].append(folded)
+            before = next((e for e in s["energy"] if e["kind"] == "folded"), {"kind": "folded", "items": 0, "total": 0.0, "kept": 0.0})
+            after = {"kind": "folded", "items": before["items"] + segment["items"], "total": before["total"] + total, "kept": before["kept"] + kept}
+            fitted = next(e for e in s["energy"] if e["kind"] == "fitted")
+            s["energy"] = [fitted, after]
+            if not refit_due(fitted, after):
+                return s
+        index = SemanticIndex.fit(docs, self.config.semantic)
+        vocabularies = {k: self._write(v, f"vocabulary-{k}") for k, v in index.vocabularies.items()}
+        components = self._write(index.components, "components")
+        index = SemanticIndex(self._table(components), {k: self._table(v) for k, v in vocabularies.items()}, docs.select("item_id"), self.config.semantic)
+        vectors, total, kept = self._projected(index, printed)
+        return {"components": components, "vocabularies": vocabularies, "vectors": [vectors], "energy": [{"kind": "fitted", "items": m["items"], "total": total, "kept": kept}]}
+
+    def _projected(self, index: SemanticIndex, printed: DataFrame) -> tuple[dict, float, float]:
+        """(vectors with print, squared lengths of the features, what of them the components keep)."""
+        total = index.feature_energy(printed)
+        vectors = index.project(printed, energy=True).join(printed.select("item_id", "print"), "item_id")
+        held = self._table(self._write(vectors, "projected"))
+        kept = held.agg(F.coalesce(F.sum("energy"), F.lit(0.0))).first()[0]
+        return self._write(held.drop("energy"), "vectors"), total, kept
+
+    # ---- merging
+
+    def _merged(self, m: dict) -> dict:
+        """Segments of one size class, MERGE at least, as one; segments too much of which is dead written anew."""
+        g = Generation(self.spark, self.config, m)
+        dead = {r["segment"]: r["count"] for r in g.dead().groupBy("segment").count().collect()} if m["dead"] else {}  # a row a segment
+        classes: dict[int, list[dict]] = {}
+        for s in m["segments"]:
+            classes.setdefault(int(math.log(max(s["items"] - dead.get(s["name"], 0), 1), MERGE)), []).append(s)
+        chosen = next((c for c in classes.values() if len(c) >= MERGE), None) or [s for s in m["segments"] if dead.get(s["name"], 0) > DEAD * s["items"]]
+        if not chosen:
+            return m
+        part = Generation(self.spark, self.config, m | {"segments": chosen})
+        names = {s["name"] for s in chosen}
+        merged = self._sized({t: self._write(part.live(t).drop("segment"), t) for t in chosen[0]["tables"]})
+        left = [s for s in m["segments"] if s["name"] not in names]
+        m = m | {"segments": [*left, *([merged] if merged["items"] else [])]}
+        if m["dead"] and dead:
+            rest = g.dead().filter(~F.col("segment").isin(*names))
+            m["dead"] = self._write(rest, "dead") if set(dead) - names else None
+        return m
+
+
+def refit_due(fitted: dict, folded: dict) -> bool:
+    """Whether folded items are too many, or lose too much by the components of the fit."""
+    if folded["items"] > FOLDED * fitted["items"]:
+        return True
+    share = lambda e: e["kept"] / e["total"] if e["total"] else 1.0
+    return share(folded) < KEPT * share(fitted)
 
-        def make() -> dict[str, DataFrame]:
-            index = SemanticIndex.build(docs, config)
-            return {"components": index.components, "vectors": index.vectors, **{f"vocabulary_{k}": v for k, v in index.vocabularies.items()}}
 
-        mark = hashlib.sha256(repr(config).encode()).hexdigest()[:12]
-        t = self.ensured(f"{name}-lsa-{mark}", (docs,), make)
-        return SemanticIndex(t["components"], {k.partition("_")[2]: v for k, v in t.items() if k.startswith("vocabulary_")}, t["vectors"], config)
+def _paths(manifest: dict) -> set[str]:
+    """All tables of a manifest."""
+    found, todo = set(), [manifest]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            if "path" in x and "schema" in x:
+                found.add(x["path"])
+            else:
+                todo += x.values()
+        elif isinstance(x, list):
+            todo += x
+    return found
+
+
+def _printed(docs: DataFrame) -> DataFrame:
+    return docs.select("item_id", "text", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("\0"))).alias("print"))
+
+
+class IndexStore:
+    """A folder of collections. root lasts as long as its store does; without one it is a folder of the application's."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root or f"{own_dir(spark)}/indices"
+
+    def collection(self, name: str, docs: DataFrame, config: IndexConfig) -> Collection:
+        """The collection of what docs' plan gives under a name with these settings; other filters, texts or settings have others."""
+        key = hashlib.sha256(f"{plan_mark(docs)} {config.mark()}".encode()).hexdigest()[:16]
+        return Collection(self.spark, f"{self.root}/{name}-{key}", config)
+
+    def open(self, name: str, docs: DataFrame, config: IndexConfig) -> Generation:
+        """The generation to use for (item_id, text), made or refreshed first if the files have changed."""
+        return self.collection(name, docs, config).ensured(docs)
+
+    def bm25(self, name: str, docs: DataFrame, k1: float = 1.5, b: float = 0.75, normalise: bool = True) -> BM25Index:
+        return self.open(name, docs, IndexConfig(normalise=normalise)).bm25(k1, b)
+
+    def tfidf(self, name: str, docs: DataFrame, pattern: str) -> TfidfIndex:
+        return self.open(name, docs, IndexConfig(bm25=False, pattern=pattern)).tfidf()
+
+    def semantic(self, name: str, docs: DataFrame, config: SemanticConfig | None = None) -> SemanticIndex:
+        return self.open(name, docs, IndexConfig(bm25=False, semantic=(config or SemanticConfig()).validate())).semantic()

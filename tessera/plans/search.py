@@ -14,7 +14,7 @@ from ..operators.fusion import candidates, fuse_linear, fuse_rrf
 from ..operators.metrics import evaluate, macro_average, overlap, rank_shifts
 from ..operators.rerank import rerank
 from ..operators.semantic import SemanticIndex
-from .indices import IndexStore
+from .indices import IndexConfig, IndexStore
 
 MODES = ("bm25", "semantic", "rrf", "linear")
 
@@ -36,24 +36,22 @@ class Snapshot:
 
     @classmethod
     def build(cls, items: DataFrame, bm25: BM25Config | None = None, semantic: SemanticConfig | None = None, store: IndexStore | None = None, name: str = "items") -> Snapshot:
-        """Indices of items (item_id and the text fields), in a store if one is given; there they are built only if the items' files changed."""
-        bm25 = (bm25 or BM25Config()).validate()
+        """Indices of items (item_id and the text fields), in a store if one is given: there both are of one generation, made or refreshed only if the items' files changed."""
+        bm25, semantic = (bm25 or BM25Config()).validate(), (semantic or SemanticConfig()).validate()
         docs = items.select("item_id", item_text(bm25.field_weights).alias("text"))
         if store:
-            n = docs.count()
-            words, meaning = store.bm25(name, docs, bm25.k1, bm25.b), store.semantic(name, docs, semantic)
-        else:
-            docs = docs.cache()
-            n = docs.count()
+            g = store.open(name, docs, IndexConfig(semantic=semantic))
+            return cls(items, g.bm25(bm25.k1, bm25.b), g.semantic(), g.n_items, g.number)
+        docs = docs.cache()
+        n = docs.count()
         if not n:
             raise ValueError("no items")
-        if not store:
-            words, meaning = BM25Index.build(docs, bm25.k1, bm25.b), SemanticIndex.build(docs, semantic)
-        return cls(items, words, meaning, n)
+        return cls(items, BM25Index.build(docs, bm25.k1, bm25.b), SemanticIndex.build(docs, semantic), n)
 
     def rebuilt(self, items: DataFrame, **configs) -> Snapshot:
         """The next generation; if building fails this one is untouched."""
-        return replace(type(self).build(items, **configs), generation=self.generation + 1)
+        new = type(self).build(items, **configs)
+        return new if configs.get("store") else replace(new, generation=self.generation + 1)
 
 
 def check_request(top_k: int, mode: str, personalize: bool, columns: list[str]) -> None:

@@ -67,18 +67,33 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; False if there is one already. The store must refuse to create a file twice, as HDFS does."""
+    fs, p = hadoop(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        fs.create(p, False).close()
+    except Exception as e:
+        if "exist" not in str(e).lower():
+            raise
+        return False
+    return True
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, replaced by renaming a finished one."""
+    """A small file. It is written under another name first and renamed; where rename does not replace, it is written over in place, so that readers always find one."""
     fs, to = hadoop(spark, path)
     _, step = hadoop(spark, f"{path}.{uuid.uuid4().hex}")
-    stream = fs.create(step, True)
-    try:
-        stream.write(bytearray(text.encode()))
-    finally:
-        stream.close()
-    if not fs.rename(step, to):  # some stores don't rename over a file
-        fs.delete(to, False)
-        fs.rename(step, to)
+    for at in (step, to):
+        stream = fs.create(at, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if at is to:
+            fs.delete(step, False)
+        elif fs.rename(step, to):
+            return
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -1,12 +1,12 @@
-"""Indices as tables, tiled vector search, the decomposition, JDBC and request checks."""
+"""Vector search, the decomposition, JDBC and request checks."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import SemanticConfig
-from tessera.operators import events, semantic
-from tessera.plans.indices import IndexNotReady, IndexStore
+from tessera.operators import events, semantic, vectors
+from tessera.plans.indices import IndexStore
 from tessera.sources import readers
 from tessera.storage import discard, read_text, shared_dir, stored, write_text
 
@@ -17,26 +17,6 @@ def _docs(spark, n=60, seed=1):
     return [(k, " ".join(r.choice(words[k % 4 * 4 : k % 4 * 4 + 6], 7))) for k in range(n)]
 
 
-def test_indices_are_built_once_and_again_when_their_files_change(spark, tmp_path):
-    path, store = str(tmp_path / "docs"), IndexStore(spark, shared_dir(spark, "indices"))
-    spark.createDataFrame(_docs(spark), "item_id long, text string").write.parquet(path)
-    asked = spark.createDataFrame([(1, "kara lora"), (2, ""), (3, "zulu")], "query_id long, query_text string")
-    name = "docs-bm25-1.5-0.75-0"
-    hits = [tuple(r) for r in store.bm25("docs", spark.read.parquet(path), normalise=False).search(asked, 5, 6).collect()]
-    built = store.status(name)
-    assert hits and built["ready"] and built["generation"] == 1
-    assert [tuple(r) for r in store.bm25("docs", spark.read.parquet(path), normalise=False).search(asked, 5, 6).collect()] == hits
-    assert store.status(name) == built
-    spark.createDataFrame([(1000, "zulu kara")], "item_id long, text string").write.mode("append").parquet(path)
-    found = store.bm25("docs", spark.read.parquet(path), normalise=False).search(asked, 5, 6)
-    assert store.status(name)["generation"] == 2 and 1000 in {r["item_id"] for r in found.collect()}
-    with pytest.raises(IndexNotReady):
-        store.tables("none")
-    index = store.tfidf("docs", spark.read.parquet(path), "[a-z0-9][a-z0-9]+")
-    best = index.search(asked, 3).orderBy("rank").first()
-    assert best["item_id"] == 1000 or best["score"] > 0
-
-
 def test_lsa_from_the_store_is_that_of_memory(spark, tmp_path):
     path, config = str(tmp_path / "docs"), SemanticConfig(svd_components=6)
     rows = _docs(spark)
@@ -49,34 +29,73 @@ def test_lsa_from_the_store_is_that_of_memory(spark, tmp_path):
     assert keep(a) == keep(b)
 
 
-@pytest.mark.parametrize("fit", [1000, 10])
-def test_lsa_against_a_full_decomposition(spark, monkeypatch, fit):
-    monkeypatch.setattr(semantic, "FIT", fit)
-    config = SemanticConfig(svd_components=6, char_weight=0.0)
-    rows = _docs(spark)
-    docs = spark.createDataFrame(rows, "item_id long, text string")
+def _matrix(spark, docs, index, config):
+    x = semantic.SemanticIndex._features(docs, index.vocabularies, config).withColumn("fid", F.xxhash64("feature")).toPandas()
+    return x.pivot(index="item_id", columns="fid", values="weight").fillna(0).sort_index()
+
+
+def test_lsa_against_a_full_decomposition(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "BLOCK", 200)  # several blocks of items
+    config = SemanticConfig(svd_components=4, char_weight=0.0)  # as many as the words have groups: the gap after them is clear
+    docs = spark.createDataFrame(_docs(spark), "item_id long, text string")
     index = semantic.SemanticIndex.build(docs, config)
-    x = semantic.SemanticIndex._features(docs, index.vocabularies, config).toPandas().pivot(index="item_id", columns="feature", values="weight").fillna(0).sort_index()
-    u, s, _ = np.linalg.svd(x.to_numpy(), full_matrices=False)
-    want = u[:, :6] * s[:6]
+    x = _matrix(spark, docs, index, config)
+    u, s, v = np.linalg.svd(x.to_numpy(), full_matrices=False)
+    rows = {r["fid"]: r["vector"] for r in index.components.collect()}
+    mine = np.array([rows[f] for f in x.columns])
+    assert np.abs(mine.T @ mine - np.eye(4)).max() < 1e-9
+    cosines = np.linalg.svd(mine.T @ v[:4].T, compute_uv=False)
+    assert np.arccos(np.clip(cosines, -1, 1)).max() < 1e-3
+    want = u[:, :4] * s[:4]
     want /= np.linalg.norm(want, axis=1, keepdims=True)
     got = np.array([r["vector"] for r in index.vectors.orderBy("item_id").collect()])
-    assert np.abs(got @ got.T - want @ want.T).max() < (1e-6 if fit == 1000 else 0.05)  # whatever the vectors' signs and rotation
+    assert np.abs(got @ got.T - want @ want.T).max() < 1e-3  # whatever the vectors' signs and rotation
+
+
+def test_lsa_rows_come_from_the_features_alone():
+    fid = np.array([5, -7, 5], np.int64)
+    rows = semantic.test_rows(fid, 6, 42)
+    assert (rows[0] == rows[2]).all() and (rows[0] != rows[1]).all() and np.abs(rows).max() <= 1
+    many = semantic.test_rows(np.arange(20000), 3, 1)
+    assert np.abs(many.mean(0)).max() < 0.02 and np.abs(np.corrcoef(many.T) - np.eye(3)).max() < 0.03
 
 
-@pytest.mark.parametrize("tile", [1 << 20, 300])
-def test_vector_search_against_all_pairs(spark, monkeypatch, tile):
-    monkeypatch.setattr(semantic, "TILE", tile)
+@pytest.mark.parametrize(("near", "shard", "block"), [(64, 8192, 2048), (4, 16, 3)])
+def test_vector_search_against_all_pairs(spark, monkeypatch, near, shard, block):
+    for name, value in (("NEAR", near), ("SHARD", shard), ("BLOCK", block)):
+        monkeypatch.setattr(vectors, name, value)
     r = np.random.default_rng(3)
-    items = [(f"i{k:03d}", [float(x) for x in r.integers(-2, 3, 5)]) for k in range(150)] + [("short", [1.0]), ("none", None), ("nan", [float("nan")] * 5)]
+    items = [(f"i{k:03d}", [float(x) for x in r.integers(-2, 3, 5)]) for k in range(150)] + [("short", [1.0]), ("none", None), ("nan", [float("nan")] * 5), ("hole", [1.0, None, 0.0, 0.0, 0.0])]
     asked = [(k, [float(x) for x in r.integers(-2, 3, 5)]) for k in range(20)]
-    found = semantic.vector_search(spark.createDataFrame(asked, "query_id long, q array<double>"), spark.createDataFrame(items, "item_id string, vector array<double>").repartition(3), 7, 6)
+    rows = spark.createDataFrame(items, "item_id string, vector array<double>").repartition(3)
+    found = vectors.vector_search(spark.createDataFrame(asked, "query_id long, q array<double>"), rows, 7, 6)
     got = {(x["query_id"], x["rank"]): (x["item_id"], x["score"]) for x in found.collect()}
     for q, v in asked:
         want = sorted((-float(np.dot(v, w)), i) for i, w in items[:150])[:7]
         assert [got.pop((q, k + 1)) for k in range(7)] == [(i, -s) for s, i in want]
     assert not got
-    assert semantic.vector_search(spark.createDataFrame([], "query_id long, q array<double>"), spark.createDataFrame(items, "item_id string, vector array<double>"), 7).isEmpty()
+    few = vectors.vector_search(spark.createDataFrame(asked[:1], "query_id long, q array<double>"), rows.limit(3), 7)
+    assert few.count() == 3
+    assert vectors.vector_search(spark.createDataFrame([], "query_id long, q array<double>"), rows, 7).isEmpty()
+    assert vectors.vector_search(spark.createDataFrame(asked, "query_id long, q array<double>"), rows.limit(0), 7).isEmpty()
+
+
+def test_vector_search_leaves_far_shards_shut(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "NEAR", 4)
+    r = np.random.default_rng(5)
+    centres = np.eye(8) * 10
+    items = [(k, (centres[k % 8] + r.normal(0, 0.1, 8)).tolist()) for k in range(400)]
+    rows = spark.createDataFrame(items, "item_id long, vector array<double>")
+    asked = spark.createDataFrame([(k, centres[k].tolist()) for k in range(8)], "query_id long, q array<double>")
+    index = vectors.PivotIndex.build(rows, 8)
+    found, opened = index.rounds(asked, 5)
+    assert opened.count() < 0.5 * 8 * len(index.pivots)
+    best = {}
+    for q, i, s in sorted(map(tuple, found.collect()), key=lambda x: (x[0], -x[2], x[1])):
+        best.setdefault(q, []).append(i)
+    for q in range(8):
+        want = sorted((-float(np.dot(centres[q], w)), i) for i, w in items)[:5]
+        assert best[q][:5] == [i for _, i in want]
 
 
 def test_jdbc_round_trip(spark, tmp_path):
