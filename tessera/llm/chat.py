@@ -23,7 +23,7 @@ from itertools import chain, combinations
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
@@ -234,23 +234,32 @@ def canonical(records: DataFrame, column: str = "record", mappings: tuple[Mappin
     return _with(records, [("layout", pa.string(), "string"), ("turns", _TURNS, TURNS)], make)
 
 
+def _turn_columns(rule: One | Each, columns: list[str]) -> Column | None:
+    """A rule's turns as a column; None if the table has none of its fields."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    none = F.array().cast(TURNS)
+    if isinstance(rule, Each):
+
+        def turn(x: Column) -> Column:
+            role = text(x[rule.role])
+            renamed = F.coalesce(*(F.when(role == a, F.lit(b)) for a, b in rule.roles.items()), role)
+            return F.struct(renamed.alias("role"), text(x[rule.text]).alias("text"))
+
+        return F.coalesce(F.transform(rule.items, turn), none)
+    given = [f for f in rule.fields if f in columns]
+    if not given:
+        return None
+    parts = [F.nullif(F.col(f).cast("string"), F.lit("")) if f in rule.optional else text(F.col(f)) for f in given]
+    one = F.array(F.struct(F.lit(rule.role).alias("role"), F.concat_ws("\n\n", *parts).alias("text")))
+    return F.when(F.coalesce(*parts).isNotNull(), one).otherwise(none)  # all optional and empty: no turn
+
+
 def canonical_table(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """df with layout and turns; its layout is told by its schema."""
     found = Layouts(mappings).of(schema_paths(df.schema))
     if found is None:
         return df.withColumns({"layout": F.lit(None).cast("string"), "turns": F.lit(None).cast(TURNS)})
-    parts = []
-    for r in found.rules:
-        if isinstance(r, Each):
-            role = lambda x, r=r: F.coalesce(x[r.role].cast("string"), F.lit(""))
-            renamed = lambda x, r=r: F.coalesce(*(F.when(role(x, r) == a, F.lit(b)) for a, b in r.roles.items()), role(x, r))
-            parts.append(F.coalesce(F.transform(r.items, lambda x, r=r: F.struct(renamed(x, r).alias("role"), F.coalesce(x[r.text].cast("string"), F.lit("")).alias("text"))), F.array().cast(TURNS)))
-        elif set(r.fields) & set(df.columns):
-            given = [f for f in r.fields if f in df.columns]
-            text = lambda f, r=r: F.when(F.col(f).cast("string") != "", F.col(f).cast("string")) if f in r.optional else F.coalesce(F.col(f).cast("string"), F.lit(""))
-            turn = F.array(F.struct(F.lit(r.role).alias("role"), F.concat_ws("\n\n", *map(text, given)).alias("text")))
-            wanted = F.lit(True) if set(r.fields) - set(r.optional) else F.coalesce(*map(text, given)).isNotNull()
-            parts.append(F.when(wanted, turn).otherwise(F.array().cast(TURNS)))
+    parts = [c for c in (_turn_columns(r, df.columns) for r in found.rules) if c is not None]
     return df.withColumns({"layout": F.lit(found.name), "turns": F.concat(*parts)})
 
 
