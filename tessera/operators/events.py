@@ -95,10 +95,10 @@ def refusal(columns: list[str]) -> Column:
     return F.coalesce(*(F.when(bad, F.lit(name)) for name, bad in rules.items())) if rules else F.lit(None).cast("string")
 
 
-def capture(log: DataFrame, new: DataFrame, checked: bool = False) -> tuple[DataFrame, DataFrame]:
+def capture(log: DataFrame, new: DataFrame, checked: bool = True) -> tuple[DataFrame, DataFrame]:
     """(events to append, event to answer for each new one): a client_event_id that is in the log, or earlier in new, names the event already there.
 
-    Blank query ids and texts become null; events without client_event_id are always appended. checked leaves out what refusal() names.
+    Blank query ids and texts become null; events without client_event_id are always appended. What refusal() names is left out unless checked is False.
     """
     new = new.filter(refusal(new.columns).isNull()) if checked else new
     blank = lambda c: F.when(F.trim(c) == "", None).otherwise(F.col(c)).alias(c)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..operators.rerank import rerank
 from ..schema import TABLES, raw
 from ..sources import importer, readers, validate
 from ..storage import read_text, shared_dir, write_csv, write_text
+from ..streaming.stores import EventLog, ProfileStore
 from . import search as S
 from . import views as V
 from .catalog import _GRADES, _POPULAR, _behaviour, _metrics_sql, _name, _profiles, _shop, _shop_hits, KS, WORDS, query
@@ -348,6 +350,51 @@ def index_segments_terms(spark, d):
     return _grown(spark, d).bm25().terms.select("term", "df")
 
 
+# ---- streams' stores, fed by batches that come out of order and again
+
+_MIDDLE, _END = datetime(2024, 1, 11), datetime(2024, 1, 21)
+
+
+def _batches(events: DataFrame) -> list[tuple[DataFrame, int]]:
+    """The middle of the events first, then the oldest, the same batch again, and the latest."""
+    t = F.col("timestamp")
+    old, middle, late = events.filter(t < _MIDDLE), events.filter((t >= _MIDDLE) & (t < _END)), events.filter(t >= _END)
+    return [(middle, 0), (old, 1), (old, 1), (late, 2)]
+
+
+@query("""SELECT event_type, count(*) FILTER (n = 1) AS appended, count(*) FILTER (n > 1) AS answered FROM (
+  SELECT event_type, row_number() OVER (PARTITION BY user_id, item_id ORDER BY CASE WHEN timestamp < TIMESTAMP '2024-01-11' THEN 1 WHEN timestamp < TIMESTAMP '2024-01-21' THEN 0 ELSE 2 END, timestamp, event_id) AS n
+  FROM ev WHERE event_type <> 'error') GROUP BY event_type""", "ev")
+def capture_log_batches(spark, d):
+    """Events of a user and item are one client's: the first that came is appended and answers the others, in whichever batch they come."""
+    log = EventLog(spark, shared_dir(spark, "log"))
+    e = V.events(spark, d).withColumn("client_event_id", F.concat_ws(":", "user_id", "item_id")).withColumn("query_text", F.lit(" "))
+    for batch, number in _batches(e):
+        log.append(batch, number)
+    answers = log.answers().filter("answered_by <> event_id").join(e.select("event_id", "event_type"), "event_id")
+    kinds = log.events().select("event_type", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(answers.select("event_type", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return kinds.groupBy("event_type").agg(F.sum("a").alias("appended"), F.sum("b").alias("answered"))
+
+
+def _followed(spark: SparkSession, d: str, half_life: float) -> tuple[DataFrame, DataFrame]:
+    store = ProfileStore(spark, shared_dir(spark, "profiles"), half_life=half_life)
+    for batch, number in _batches(V.events(spark, d)):
+        store.add(batch, V.items(spark, d), number)
+    return store.profiles(V.users(spark, d))
+
+
+@query("SELECT user_id, dim, key, round(weight, 6) AS weight FROM affd", "affd")
+def profile_state_batches(spark, d):
+    """Affinities kept as mergeable sums; the same as of all events at once."""
+    return _followed(spark, d, 30.0)[0].select("user_id", "dim", "key", F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT s.user_id, s.is_cold_start, s.train_event_count, s.positive_event_count, s.train_session_count, s.profile_status, round(d.mean_log_price, 6) AS mean_log_price FROM sum s JOIN sumd d ON d.user_id = s.user_id", "sum", "sumd")
+def profile_state_summaries(spark, d):
+    summary = _followed(spark, d, 30.0)[1]
+    return summary.select("user_id", "is_cold_start", *(F.col(c).cast("long").alias(c) for c in ("train_event_count", "positive_event_count", "train_session_count")), "profile_status", F.round("mean_log_price", 6).alias("mean_log_price"))
+
+
 @query("SELECT name, CAST(value AS DOUBLE) AS value FROM (VALUES ('k1', 1.2), ('b', 0.75), ('svd_components', 32.0), ('rrf_k', 10.0), ('half_life_days', 7.0), ('refused', 4.0)) t(name, value)")
 def config_sources(spark, d):
     """Settings from a JSON file each; unknown names are left out, values out of bounds refused."""

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import PersonalizationConfig
 from ..operators.events import refusal
-from ..operators.profiles import refresh
+from .stores import EventLog, ProfileStore
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -24,11 +23,16 @@ def windowed_counts(stream: DataFrame, width: str = "1 hour", delay: str = "1 ho
     return stream.withWatermark("timestamp", delay).groupBy(F.window("timestamp", width), "event_type").agg(F.count("*").alias("count"))
 
 
-def keep_profiles(stream: DataFrame, log: Callable[[], DataFrame], users: DataFrame, items: DataFrame, current: Callable[[], tuple[DataFrame, DataFrame]], publish: Callable[[tuple[DataFrame, DataFrame], int], None], checkpoint: str, config: PersonalizationConfig | None = None) -> StreamingQuery:
-    """Refreshes the profiles of the users each batch touches, from their events in the log, and publishes the next generation."""
+def _each(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
-    def each(batch: DataFrame, number: int) -> None:
-        touched = batch.select("user_id").distinct()
-        publish(refresh(users, touched, log(), items, current(), config), number)
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+def captured(stream: DataFrame, log: EventLog, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """A stream of events into a log, each once: batches that are replayed add nothing, and an id is answered by its first event however late it comes again."""
+    return _each(stream, log.append, checkpoint, trigger)
+
+
+def keep_profiles(stream: DataFrame, store: ProfileStore, items: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Profiles that follow a stream of events, from new events alone; late ones add in."""
+    return _each(stream, lambda batch, number: store.add(batch, items, number), checkpoint, trigger)

@@ -1,20 +1,33 @@
 import math
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import BM25Config, FusionConfig, PersonalizationConfig, SemanticConfig
+from tessera.functions.text import STOP_WORDS
 from tessera.operators import events, fusion, metrics, profiles
 from tessera.operators.bm25 import BM25Index
 from tessera.operators.rerank import rerank
 from tessera.operators.semantic import SemanticIndex
 from tessera.plans import search as S
 
-FIVE = [("i1", "laptop computer electronics portable"), ("i2", "gaming laptop powerful graphics"), ("i3", "desktop computer office workstation"), ("i4", "wireless mouse ergonomic electronics"), ("i5", "mechanical keyboard gaming rgb")]
+TEAS = [("t1", "green tea leaves from kyoto"), ("t2", "black tea with bergamot, black tin"), ("t3", "oolong, half green half black"), ("t4", "porcelain pot"), ("t5", "tin scoop for tea, tea, tea"), ("t6", "")]
 
 
-def _docs(spark, rows=FIVE):
+def _plain_bm25(rows, query, k1=1.5, b=0.75):
+    cut = {i: [w for w in re.findall("[a-z0-9]+", t.lower()) if w not in STOP_WORDS] for i, t in rows}
+    mean, out = sum(map(len, cut.values())) / len(cut), {}
+    for term in [w for w in re.findall("[a-z0-9]+", query.lower()) if w not in STOP_WORDS]:
+        df = sum(term in ws for ws in cut.values())
+        for i, ws in cut.items():
+            if tf := ws.count(term):
+                out[i] = out.get(i, 0) + math.log(1 + (len(cut) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ws) / mean))
+    return sorted(out.items(), key=lambda x: (-round(x[1], 9), x[0]))
+
+
+def _docs(spark, rows=TEAS):
     return spark.createDataFrame(rows, "item_id string, text string")
 
 
@@ -23,13 +36,14 @@ def _queries(spark, *texts):
 
 
 def test_bm25_order_and_scores(spark):
-    index = BM25Index.build(_docs(spark))
-    hits = index.search(_queries(spark, "laptop gaming", "", "the and of"), 5).orderBy("rank").collect()
-    assert [h["item_id"] for h in hits] == ["i2", "i1", "i5"]
-    assert [round(h["score"], 6) for h in hits] == [1.750937, 0.875469, 0.875469]
-    assert index.stats.first()["avgdl"] == 4.0 and index.terms.count() == 16
-    twice = index.search(_queries(spark, "laptop laptop"), 5).orderBy("rank").first()
-    assert round(twice["score"], 6) == 1.750937
+    index, asked = BM25Index.build(_docs(spark)), ["green tea", "", "with the of", "tea tea black tin", "Kyoto"]
+    hits = index.search(_queries(spark, *asked), 4).collect()
+    for k, text in enumerate(asked):
+        want = _plain_bm25(TEAS, text)[:4]
+        got = sorted((h["rank"], h["item_id"], h["score"]) for h in hits if h["query_id"] == f"q{k}")
+        assert [g[1] for g in got] == [i for i, _ in want] and [g[0] for g in got] == list(range(1, len(want) + 1))
+        assert all(abs(g[2] - s) < 1e-9 for g, (_, s) in zip(got, want, strict=True))
+    assert index.stats.first()["n"] == 6 and index.terms.filter("term = 'tea'").first()["df"] == 3
 
 
 def test_bm25_refuses_bad_settings(spark):
@@ -41,9 +55,9 @@ def test_bm25_refuses_bad_settings(spark):
 
 
 def test_semantic_invariants(spark):
-    rows = [(f"item_{k}", t) for k, t in enumerate(["gaming laptop", "office laptop computer", "wireless gaming mouse", "mechanical keyboard", "laptop sleeve case", "desktop computer tower", "gaming chair", "usb cable"])]
+    rows = [(f"item_{k}", t) for k, t in enumerate(["river boat", "old river barge", "paper boat race", "canvas sail", "river boat cover", "steam barge engine", "race car", "rope"])]
     index = SemanticIndex.build(_docs(spark, rows), SemanticConfig(svd_components=4))
-    hits = index.search(_queries(spark, "gaming laptop", "zzzz"), 5).orderBy("rank").collect()
+    hits = index.search(_queries(spark, "river boat", "zzzz"), 5).orderBy("rank").collect()
     assert [h["rank"] for h in hits] == [1, 2, 3, 4, 5] and hits[0]["item_id"] == "item_0"
     scores = [h["score"] for h in hits]
     assert scores == sorted(scores, reverse=True) and all(-1.000001 <= s <= 1.000001 for s in scores)
@@ -68,43 +82,49 @@ def test_fusion(spark):
 
 
 def _world(spark):
-    items = spark.createDataFrame([("i1", "Electronics", "Laptops", "TechPro", 1000.0), ("i2", "Electronics", "Phones", "SmartWave", 800.0), ("i3", "Books", "Fiction", "ReadWell", 20.0)], "item_id string, category string, subcategory string, brand string, price double")
-    users = spark.createDataFrame([("u_warm", False), ("u_cold", True), ("u_empty", False)], "user_id string, is_cold_start boolean")
-    rows = [("e1", "u_warm", "click", "i1", datetime(2026, 3, 15, 10), "s1"), ("e2", "u_warm", "purchase", "i2", datetime(2026, 3, 20, 10), "s2"), ("e3", "u_cold", "impression", "i3", datetime(2026, 3, 10, 10), "s3"), ("e4", "u_new", "purchase", "nowhere", datetime(2026, 3, 11), "s4")]
+    items = spark.createDataFrame([("p1", "Garden", "Spades", "Fern", 40.0), ("p2", "Garden", "Hoses", "Brook", 90.0), ("p3", "Kitchen", "Pans", "Fern", 25.0), ("p4", "Kitchen", None, "", 0.0)], "item_id string, category string, subcategory string, brand string, price double")
+    users = spark.createDataFrame([("ann", False), ("bo", True), ("cy", False)], "user_id string, is_cold_start boolean")
+    rows = [("e1", "ann", "favorite", "p1", datetime(2025, 6, 1), "m"), ("e2", "ann", "add_to_cart", "p2", datetime(2025, 6, 21), "m"), ("e3", "ann", "click", "p4", datetime(2025, 7, 1), "n"), ("e4", "bo", "impression", "p3", datetime(2025, 7, 1), "o"), ("e5", "dee", "click", "gone", datetime(2025, 6, 11), "q")]
     return items, users, spark.createDataFrame(rows, "event_id string, user_id string, event_type string, item_id string, timestamp timestamp, session_id string")
 
 
 def test_profiles(spark):
     items, users, log = _world(spark)
-    affinity, summary = profiles.build_profiles(log, items, users, half_life=30)
-    state = {r["user_id"]: (r["profile_status"], r["train_event_count"], r["positive_event_count"]) for r in summary.collect()}
-    assert state == {"u_warm": ("warm", 2, 2), "u_cold": ("cold_start", 1, 0), "u_empty": ("no_history", 0, 0), "u_new": ("no_positive", 1, 0)}
-    brand = {r["key"]: round(r["weight"], 6) for r in affinity.filter("dim = 'brand'").collect()}
-    assert brand == {"TechPro": 0.151233, "SmartWave": 0.848767}
-    assert round(summary.filter("user_id = 'u_warm'").first()["mean_log_price"], 6) == 6.718358
-    shares = affinity.groupBy("user_id", "dim").agg(F.sum("weight").alias("s")).collect()
-    assert all(abs(r["s"] - 1) < 1e-9 for r in shares)
+    affinity, summary = profiles.build_profiles(log, items, users, half_life=20)
+    state = {r["user_id"]: (r["profile_status"], r["train_event_count"], r["positive_event_count"], r["train_session_count"]) for r in summary.collect()}
+    assert state == {"ann": ("warm", 3, 3, 2), "bo": ("cold_start", 1, 0, 1), "cy": ("no_history", 0, 0, 0), "dee": ("no_positive", 1, 0, 1)}
+    w = PersonalizationConfig().event_weights
+    spade, hose, other = w["favorite"] * 0.5**1.5, w["add_to_cart"] * 0.5**0.5, w["click"]  # 30, 10 and 0 days before the latest event
+    got = {(r["dim"], r["key"]): r["weight"] for r in affinity.filter("user_id = 'ann'").collect()}
+    want = {("brand", "Fern"): spade / (spade + hose), ("brand", "Brook"): hose / (spade + hose), ("subcategory", "Spades"): spade / (spade + hose), ("subcategory", "Hoses"): hose / (spade + hose), ("category", "Garden"): (spade + hose) / (spade + hose + other), ("category", "Kitchen"): other / (spade + hose + other)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    mean = (spade * math.log(40) + hose * math.log(90)) / (spade + hose)
+    assert abs(summary.filter("user_id = 'ann'").first()["mean_log_price"] - mean) < 1e-12
 
 
 def test_refresh_blends_only_the_wanted(spark):
     items, users, log = _world(spark)
     current = profiles.build_profiles(log, items, users, half_life=0)
-    affinity, summary = profiles.refresh(users, users.filter("user_id = 'u_warm'"), log, items, current)
+    affinity, summary = profiles.refresh(users, users.filter("user_id = 'ann'"), log, items, current)
     got = {r["user_id"]: (r["source"], r["positive_event_count"]) for r in summary.collect()}
-    assert got["u_warm"] == ("combined", 4) and got["u_empty"][0] == "base"
+    assert got["ann"] == ("combined", 6) and got["cy"][0] == "base"
     assert affinity.filter("dim = 'subcategory'").isEmpty()
 
 
 def test_rerank_warm_and_fallback(spark):
-    items = spark.createDataFrame([("a", "Electronics", "Laptops", "TechPro", 1000.0), ("b", "Clothing", "Shoes", "UrbanWear", 100.0), ("c", "Electronics", "Phones", "SmartWave", 800.0)], "item_id string, category string, subcategory string, brand string, price double")
-    hits = spark.createDataFrame([("q", u, i, r, s) for u in ("w", "x", "n") for i, r, s in (("a", 1, 0.95), ("b", 2, 0.80), ("c", 3, 0.70))], "query_id string, user_id string, item_id string, rank long, fusion_score double")
-    affinity = spark.createDataFrame([("w", "category", "Electronics", 10 / 11), ("w", "category", "Clothing", 1 / 11), ("w", "brand", "TechPro", 1.0)], "user_id string, dim string, key string, weight double")
-    summary = spark.createDataFrame([("w", "warm", False, 6.9), ("x", "no_positive", False, None)], "user_id string, profile_status string, is_cold_start boolean, mean_log_price double")
+    items, _, _ = _world(spark)
+    hits = spark.createDataFrame([("q", u, i, r, s) for u in ("warm", "idle", "new") for i, r, s in (("p1", 1, 3.0), ("p3", 2, 2.5), ("p2", 3, 1.0), ("lost", 4, 0.5))], "query_id string, user_id string, item_id string, rank long, fusion_score double")
+    shares = {"category": {"Garden": 0.25, "Kitchen": 0.75}, "subcategory": {"Pans": 1.0}, "brand": {"Brook": 0.6, "Fern": 0.4}}
+    affinity = spark.createDataFrame([("warm", d, k, v) for d, s in shares.items() for k, v in s.items()], "user_id string, dim string, key string, weight double")
+    summary = spark.createDataFrame([("warm", "warm", False, 3.2), ("idle", "no_positive", False, None)], "user_id string, profile_status string, is_cold_start boolean, mean_log_price double")
     out = rerank(hits, (affinity, summary), items).orderBy("user_id", "rank").collect()
-    warm = {r["item_id"]: round(r["personalized_score"], 6) for r in out if r["user_id"] == "w"}
-    assert warm == {"a": 0.928167, "b": 0.291518, "c": 0.148091}
-    assert [r["item_id"] for r in out if r["user_id"] == "x"] == ["a", "b", "c"]
-    assert {r["user_id"]: r["fallback_reason"] for r in out} == {"w": "none", "x": "no_profile", "n": "unknown_user"}
+    wr, wc, ws, wb, wp = PersonalizationConfig().weights
+    near = lambda price: math.exp(-abs(math.log(price) - 3.2) / 0.5)
+    want = {"p1": wr + 0.25 * wc + 0.4 * wb + wp * near(40), "p3": 0.8 * wr + 0.75 * wc + ws + 0.4 * wb + wp * near(25), "p2": 0.2 * wr + 0.25 * wc + 0.6 * wb + wp * near(90), "lost": 0.0}
+    warm = [(r["item_id"], r["personalized_score"]) for r in out if r["user_id"] == "warm"]
+    assert [i for i, _ in warm] == sorted(want, key=lambda i: -want[i]) and all(abs(s - want[i]) < 1e-12 for i, s in warm)
+    assert [r["item_id"] for r in out if r["user_id"] == "idle"] == ["p1", "p3", "p2", "lost"]
+    assert {r["user_id"]: r["fallback_reason"] for r in out} == {"warm": "none", "idle": "no_profile", "new": "unknown_user"}
 
 
 def test_metrics(spark):
@@ -156,11 +176,11 @@ def test_search_plan(spark):
     items, users, log = _world(spark)
     items = items.withColumn("title", F.concat_ws(" ", "brand", "subcategory")).withColumn("description", F.lit(""))
     snapshot = S.Snapshot.build(items)
-    asked = spark.createDataFrame([("q1", "smartwave phones", "u_warm"), ("q2", "  ", "u_cold")], "query_id string, query_text string, user_id string")
+    asked = spark.createDataFrame([("q1", "brook hoses", "ann"), ("q2", "  ", "bo")], "query_id string, query_text string, user_id string")
     for mode in S.MODES:
         hits = S.search(snapshot, asked, mode, 2).orderBy("rank").collect()
-        assert "i2" in {h["item_id"] for h in hits} and {h["query_id"] for h in hits} == {"q1"}
-        assert mode != "bm25" or hits[0]["item_id"] == "i2"
+        assert "p2" in {h["item_id"] for h in hits} and {h["query_id"] for h in hits} == {"q1"}
+        assert mode != "bm25" or hits[0]["item_id"] == "p2"
     mine = S.search(snapshot, asked, "linear", 2, profiles.build_profiles(log, items, users), True).collect()
     assert {h["applied"] for h in mine} == {True}
     assert {h["fallback_reason"] for h in S.search(snapshot, asked, "linear", 2, None, True).collect()} == {"profiles_not_ready"}
