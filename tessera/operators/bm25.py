@@ -13,7 +13,7 @@ from ..functions.text import tokenize
 
 @dataclass
 class BM25Index:
-    """postings (term, item_id, tf, dl), terms (term, df), stats (n, avgdl; one row)."""
+    """postings (term, item_id, tf, dl), terms (term, df), stats (n, avgdl; one row). stop_words drops such from texts and queries."""
 
     postings: DataFrame
     terms: DataFrame
@@ -21,17 +21,18 @@ class BM25Index:
     k1: float = 1.5
     b: float = 0.75
     normalise: bool = True
+    stop_words: bool = True
 
     @classmethod
-    def build(cls, docs: DataFrame, k1: float = 1.5, b: float = 0.75, normalise: bool = True) -> BM25Index:
+    def build(cls, docs: DataFrame, k1: float = 1.5, b: float = 0.75, normalise: bool = True, stop_words: bool = True) -> BM25Index:
         """From (item_id, text), or (item_id, tokens) of texts cut already. Empty documents count in the mean length."""
         if k1 <= 0 or not 0 <= b <= 1:
             raise ValueError("k1 must be above 0, and b in 0 to 1")
-        tokens = F.coalesce(F.col("tokens"), F.array().cast("array<string>")) if "tokens" in docs.columns else tokenize(F.col("text"), normalise=normalise)
+        tokens = F.coalesce(F.col("tokens"), F.array().cast("array<string>")) if "tokens" in docs.columns else tokenize(F.col("text"), stop_words, normalise)
         cut = docs.select("item_id", tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
         postings = cut.select("item_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "item_id", "dl").agg(F.count("*").alias("tf"))
         terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-        return cls(postings, terms, cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), k1, b, normalise)
+        return cls(postings, terms, cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), k1, b, normalise, stop_words)
 
     def search(self, queries: DataFrame, top_k: int = 10, digits: int | None = None) -> DataFrame:
         """(query_id, item_id, score, rank) of (query_id, query_text). A query's repeated terms count each time.
@@ -40,7 +41,7 @@ class BM25Index:
         """
         if top_k <= 0:
             raise ValueError("top_k must be above 0")
-        asked = queries.select("query_id", F.explode(tokenize(F.col("query_text"), normalise=self.normalise)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        asked = queries.select("query_id", F.explode(tokenize(F.col("query_text"), self.stop_words, self.normalise)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         known = asked.join(self.terms, "term").crossJoin(F.broadcast(self.stats))  # one row
         hits = known.join(self.postings, "term")
         term = bm25(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("dl"), F.col("avgdl"), self.k1, self.b)

@@ -169,12 +169,12 @@ class SemanticIndex:
         out = rows.groupBy("block").cogroup(_sent(rows, self.components).groupBy("block2")).applyInArrow(run, f"item_id {kind}, vector array<double>, energy double")
         return out if energy else out.drop("energy")
 
-    def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
-        """(query_id, item_id, score, rank) of (query_id, query_text): the top_k of all items, negative cosines too."""
+    def search(self, queries: DataFrame, top_k: int = 10, digits: int | None = None) -> DataFrame:
+        """(query_id, item_id, score, rank) of (query_id, query_text): the top_k of all items, negative cosines too. digits rounds scores before they rank."""
         if top_k <= 0:
             raise ValueError("top_k must be above 0")
         q = self.project(queries.select(F.col("query_id").alias("item_id"), F.col("query_text").alias("text"))).toDF("query_id", "q")
-        return vector_search(stored(q, "queries"), self.vectors, top_k)
+        return vector_search(stored(q, "queries"), self.vectors, top_k, digits)
 
 
 def _gram(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:

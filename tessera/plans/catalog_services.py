@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import BM25Config, FusionConfig, PersonalizationConfig, SemanticConfig
 from ..functions.text import tokenize
 from ..operators import events as E
-from ..operators import lookups, metrics
+from ..operators import fusion, lookups, metrics
 from ..operators.rerank import rerank
 from ..schema import TABLES, raw
 from ..sources import importer, readers, validate
@@ -19,7 +19,7 @@ from ..storage import read_text, shared_dir, write_csv, write_text
 from ..streaming.stores import EventLog, ProfileStore
 from . import search as S
 from . import views as V
-from .catalog import _GRADES, _POPULAR, _behaviour, _metrics_sql, _name, _profiles, _shop, _shop_hits, KS, WORDS, query
+from .catalog import _GRADES, _POPULAR, _behaviour, _metrics_sql, _name, _profiles, _shop, _shop_docs, _shop_hits, KS, WORDS, query
 from .indices import Generation, IndexConfig, IndexStore
 
 # ---- the canonical tables as CSV files, written from the test tables and read back
@@ -264,7 +264,7 @@ def _evaluated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The evaluation service over all queries and one that is unknown, whose text is its id."""
     asked = V.shop_queries(spark, d)
     ids = asked.select("query_id").unionByName(spark.range(-1, 0).withColumnRenamed("id", "query_id"))
-    return S.evaluate_queries(_snapshot(spark, d), ids, asked, V.shop_qrels(spark, d), tuple(KS), mode="bm25", digits=6)
+    return S.evaluate_queries(_snapshot(spark, d), ids, asked, V.shop_qrels(spark, d), mode="bm25", digits=6)
 
 
 @query(_SERVICE, "sxbm", "qrs", "shopx")
@@ -350,6 +350,52 @@ def index_segments_terms(spark, d):
     return _grown(spark, d).bm25().terms.select("term", "df")
 
 
+# ---- the services in their usual mode, with word TF-IDF as the semantic channel, which SQL can express
+
+
+def _linear_snapshot(spark: SparkSession, d: str) -> S.Snapshot:
+    g = _shop_docs(spark, d)
+    return S.Snapshot(V.items(spark, d), g.bm25(), g.tfidf(), g.n_items, g.number)
+
+
+@query("SELECT l.query_id, l.item_id, i.title, l.fusion_score AS score, l.rank, 'linear' AS source, least(50, (SELECT count(*) FROM items)) AS pool_size FROM shlin l JOIN items i ON i.item_id = l.item_id WHERE l.rank <= 10", "shlin", "items")
+def search_service_linear(spark, d):
+    """The search service in its usual mode."""
+    hits = S.search(_linear_snapshot(spark, d), V.shop_queries(spark, d), "linear", 10, digits=6)
+    return hits.select("query_id", "item_id", "title", F.col("fusion_score").alias("score"), "rank", "source", F.col("pool_size").cast("long").alias("pool_size"))
+
+
+@query(_metrics_sql("sxlin", "qrs", "shopx", 100), "sxlin", "qrs", "shopx")
+def evaluation_service_linear(spark, d):
+    """The evaluation service in its usual mode: 100 candidates of each channel, all queries and one that is unknown."""
+    asked = V.shop_queries(spark, d)
+    ids = asked.select("query_id").unionByName(spark.range(-1, 0).withColumnRenamed("id", "query_id"))
+    found = S.evaluate_queries(_linear_snapshot(spark, d), ids, asked, V.shop_qrels(spark, d), digits=6)[0]
+    return found.select("query_id", "k", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")))
+
+
+@query(f"""SELECT count(*) AS eligible_positive_request_count, count(*) FILTER (known AND covered > 0) AS covered_positive_request_count, count(*) FILTER (known AND covered = 0) AS uncovered_positive_request_count,
+  round(count(*) FILTER (known AND covered > 0) / count(*), 6) AS request_level_candidate_positive_coverage,
+  coalesce(sum(wanted) FILTER (known), 0)::BIGINT AS total_positive_item_count, coalesce(sum(covered) FILTER (known), 0)::BIGINT AS covered_positive_item_count,
+  coalesce(sum(wanted - covered) FILTER (known), 0)::BIGINT AS uncovered_positive_item_count,
+  round(coalesce(sum(covered) FILTER (known) / nullif(sum(wanted) FILTER (known), 0), 0), 6) AS item_level_candidate_positive_recall,
+  round(coalesce(count(*) FILTER (known AND covered > 0 AND status = 'warm') / nullif(count(*) FILTER (known AND coalesce(status, '') = 'warm'), 0), 0), 6) AS warm_request_coverage,
+  round(coalesce(count(*) FILTER (known AND covered > 0 AND coalesce(status, '') <> 'warm') / nullif(count(*) FILTER (known AND coalesce(status, '') <> 'warm'), 0), 0), 6) AS fallback_request_coverage
+FROM (SELECT a.query_id AS request_id, s.user_id IS NOT NULL AS known, p.profile_status AS status, count(g.item_id) AS wanted, count(c.item_id) AS covered
+  FROM shopx a LEFT JOIN shop s ON s.query_id = a.query_id LEFT JOIN sum p ON p.user_id = s.user_id
+  LEFT JOIN (SELECT * FROM ({_GRADES}) WHERE grade > 0) g ON g.request_id = s.user_id LEFT JOIN sxc c ON c.query_id = a.query_id AND c.item_id = g.item_id GROUP BY ALL) per""", "shopx", "shop", "sum", "ev", "sxc")
+def candidate_coverage_pools(spark, d):
+    """What the pools of the hybrid search, 100 candidates of each channel, hold of what each query's user chose; a request that is unknown counts below."""
+    shop, snapshot = V.shop_queries(spark, d), _linear_snapshot(spark, d)
+    unknown = spark.range(-1, 0).select(F.col("id").alias("query_id"), F.lit("-1").alias("query_text"))
+    asked = shop.select("query_id", "query_text").unionByName(unknown)
+    pools = fusion.candidates(snapshot.bm25.search(asked, 100, 6), snapshot.semantic.search(asked, 100, 6))
+    grades = metrics.behaviour_grades(V.events(spark, d).filter("event_type <> 'error'").drop("request_id").withColumnRenamed("user_id", "request_id")).withColumnRenamed("request_id", "user_id")
+    requests = shop.join(_profiles(spark, d)[1].select("user_id", "profile_status"), "user_id", "left").select(F.col("query_id").alias("request_id"), "query_id", "profile_status")
+    positives = shop.select(F.col("query_id").alias("request_id"), "user_id").join(grades, "user_id").select("request_id", "item_id", "grade")
+    return metrics.coverage(asked.select(F.col("query_id").alias("request_id")), requests, positives, pools)
+
+
 # ---- streams' stores, fed by batches that come out of order and again
 
 _MIDDLE, _END = datetime(2024, 1, 11), datetime(2024, 1, 21)

@@ -83,6 +83,7 @@ class IndexConfig:
 
     bm25: bool = True
     normalise: bool = True
+    stop_words: bool = True
     pattern: str | None = None
     semantic: SemanticConfig | None = None
 
@@ -128,7 +129,7 @@ class Generation:
             raise ValueError("k1 must be above 0, and b in 0 to 1")
         m = self.manifest
         stats = self.spark.range(1).select(F.lit(m["items"]).cast("long").alias("n"), F.lit(m["tokens"] / m["items"]).cast("double").alias("avgdl"))
-        return BM25Index(self.live("postings").drop("segment"), self.table(m["terms"]), stats, k1, b, self.config.normalise)
+        return BM25Index(self.live("postings").drop("segment"), self.table(m["terms"]), stats, k1, b, self.config.normalise, self.config.stop_words)
 
     def tfidf(self) -> TfidfIndex:
         m = self.manifest
@@ -212,7 +213,7 @@ class Collection:
     def _segment(self, docs: DataFrame) -> dict:
         """A segment of (item_id, text, print)."""
         tables = {}
-        tokens = tokenize(F.col("text"), normalise=self.config.normalise)
+        tokens = tokenize(F.col("text"), self.config.stop_words, self.config.normalise)
         if self.config.bm25:
             cut = docs.select("item_id", "print", tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
             tables["documents"] = self._write(cut.select("item_id", "print", "dl"), "documents")

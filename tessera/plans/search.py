@@ -14,6 +14,7 @@ from ..operators.fusion import candidates, fuse_linear, fuse_rrf
 from ..operators.metrics import evaluate, macro_average, overlap, rank_shifts
 from ..operators.rerank import rerank
 from ..operators.semantic import SemanticIndex
+from ..operators.tfidf import TfidfIndex
 from .indices import IndexConfig, IndexStore
 
 MODES = ("bm25", "semantic", "rrf", "linear")
@@ -30,7 +31,7 @@ class Snapshot:
 
     items: DataFrame
     bm25: BM25Index
-    semantic: SemanticIndex
+    semantic: SemanticIndex | TfidfIndex
     n_items: int
     generation: int = 1
 
@@ -40,13 +41,13 @@ class Snapshot:
         bm25, semantic = (bm25 or BM25Config()).validate(), (semantic or SemanticConfig()).validate()
         docs = items.select("item_id", item_text(bm25.field_weights).alias("text"))
         if store:
-            g = store.open(name, docs, IndexConfig(semantic=semantic))
+            g = store.open(name, docs, IndexConfig(stop_words=bm25.use_stopwords, semantic=semantic))
             return cls(items, g.bm25(bm25.k1, bm25.b), g.semantic(), g.n_items, g.number)
         docs = docs.cache()
         n = docs.count()
         if not n:
             raise ValueError("no items")
-        return cls(items, BM25Index.build(docs, bm25.k1, bm25.b), SemanticIndex.build(docs, semantic), n)
+        return cls(items, BM25Index.build(docs, bm25.k1, bm25.b, stop_words=bm25.use_stopwords), SemanticIndex.build(docs, semantic), n)
 
     def rebuilt(self, items: DataFrame, **configs) -> Snapshot:
         """The next generation; if building fails this one is untouched."""
@@ -64,16 +65,16 @@ def check_request(top_k: int, mode: str, personalize: bool, columns: list[str])
 
 
 def fused(snapshot: Snapshot, queries: DataFrame, mode: str, pool: int, top_k: int, config: FusionConfig | None = None, digits: int | None = None) -> DataFrame:
-    """(query_id, item_id, rank, fusion_score and what the mode knows). digits rounds BM25 scores before they rank."""
+    """(query_id, item_id, rank, fusion_score and what the mode knows). digits rounds scores before they rank."""
     config = (config or FusionConfig()).validate()
     if mode == "bm25":
         return snapshot.bm25.search(queries, pool, digits).withColumnRenamed("score", "fusion_score")
     if mode == "semantic":
-        return snapshot.semantic.search(queries, pool).withColumnRenamed("score", "fusion_score")
-    both = candidates(snapshot.bm25.search(queries, pool, digits), snapshot.semantic.search(queries, pool))
+        return snapshot.semantic.search(queries, pool, digits).withColumnRenamed("score", "fusion_score")
+    both = candidates(snapshot.bm25.search(queries, pool, digits), snapshot.semantic.search(queries, pool, digits))
     if mode == "rrf":
-        return fuse_rrf(both, config.rrf_k, top_k)
-    return fuse_linear(both, config.bm25_weight, config.semantic_weight, top_k)
+        return fuse_rrf(both, config.rrf_k, top_k, digits)
+    return fuse_linear(both, config.bm25_weight, config.semantic_weight, top_k, digits)
 
 
 def search(snapshot: Snapshot, queries: DataFrame, mode: str = "linear", top_k: int = 10, profiles: tuple[DataFrame, DataFrame] | None = None, personalize: bool = False, config: PersonalizationConfig | None = None, rerank_pool: bool = False, digits: int | None = None) -> DataFrame:
@@ -95,12 +96,16 @@ def search(snapshot: Snapshot, queries: DataFrame, mode: str = "linear", top_k:
     return hits.withColumn("original_rank", original).join(snapshot.items, "item_id", "left")
 
 
-def evaluate_queries(snapshot: Snapshot, query_ids: DataFrame, queries: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (5, 10, 20), pool: int = 100, mode: str = "linear", digits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(metrics by query and k, macro averages) of a mode's search; an unknown query's text is its id."""
+def evaluate_queries(snapshot: Snapshot, query_ids: DataFrame, queries: DataFrame, qrels: DataFrame, config: FusionConfig | None = None, mode: str = "linear", digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(metrics by query and k, macro averages) of a mode's search; an unknown query's text is its id.
+
+    The settings say at which k, from which grade, and how many candidates each channel gives.
+    """
+    config = (config or FusionConfig()).validate()
     asked = query_ids.select("query_id").distinct().join(queries.select("query_id", "query_text"), "query_id", "left")
     asked = asked.withColumn("query_text", F.coalesce("query_text", F.col("query_id").cast("string")))
-    results = fused(snapshot, asked, mode, pool, pool, digits=digits)
-    metrics = evaluate(results, qrels.withColumnRenamed("relevance_grade", "grade"), asked, list(ks))
+    results = fused(snapshot, asked, mode, config.candidate_k, config.candidate_k, config, digits)
+    metrics = evaluate(results, qrels.withColumnRenamed("relevance_grade", "grade"), asked, list(config.top_k_values), config.relevance_threshold)
     return metrics, macro_average(metrics)
 
 

@@ -120,7 +120,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     **_bm25("", "docs", "passages"), **_tfidf("", "docs", "passages"), **_fused("", 100),
     "qrs": (("items", "shop"), "SELECT s.query_id, i.item_id, CAST(1 + i.item_id % 3 AS BIGINT) AS grade FROM items i JOIN shop s ON s.query_text = i.title"),
     "shopx": (("shop",), "SELECT query_id, query_text FROM shop UNION ALL SELECT -1, '-1'"),
-    **_bm25("sx", "itemtext", "shopx"),
+    **_bm25("sx", "itemtext", "shopx"), **_tfidf("sx", "itemtext", "shopx"), **_fused("sx", 100),
     **_bm25("sh", "itemtext", "shop"), **_tfidf("sh", "itemtext", "shop"), **_fused("sh", 50),
     # profiles: half-life H is put in as text
     **{
