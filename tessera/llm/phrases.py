@@ -7,8 +7,8 @@ the counts of its first k words and of the rest for every cut k, is scored in De
 ranked within its language, first within parts of the language's phrases and then over the parts' best.
 
 All n-grams of a corpus are many times its size, nearly all of them rare. A phrase occurs at most as often as its words and its pairs of neighbours, so
-words are counted first, then the hashes of pairs of frequent words, and then the phrases all of whose pairs are frequent. What is frequent is known by bitmaps of a
-fixed size (BITS), which like the hashes say yes too often and never no too often, so counts are exact at any fill; a full bitmap costs rows alone.
+words are counted first, then the hashes of pairs of frequent words, those of longer n-grams all of whose pairs are frequent, and at last the phrases that came through. What is frequent is
+known by bitmaps of a fixed size (BITS), which like the hashes say yes too often and never no too often, so counts are exact at any fill; a full bitmap costs rows alone.
 
 Defined results: a null text is empty and adds nothing; a null language is UND, together with rows that say so; repeated rows count each; scores tie by occurrences and then
 by the phrase's bytes; languages without candidates and empty tables give no rows; other columns are ignored. A piece has to fit in a worker; texts are
@@ -41,9 +41,9 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[*PIECE_END]] = 2
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(bytes, offsets, first row): the texts, those above STEP in parts that end with a piece."""
-    big = np.flatnonzero(np.diff(offsets) > STEP)
+def _cut(data: np.ndarray, offsets: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets, first row): the texts, those above step bytes in parts that end with a piece."""
+    big = np.flatnonzero(np.diff(offsets) > step)
     at = 0
     for k in [*big.tolist(), len(offsets) - 1]:
         if at < k:
@@ -52,13 +52,13 @@ def _cut(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np
             text = data[offsets[k] : offsets[k + 1]]
             begin = 0
             while begin < len(text):
-                end = min(begin + STEP, len(text))
+                end = min(begin + step, len(text))
                 while end < len(text):
                     last = np.flatnonzero(_KIND[text[begin:end]] == 2)
                     if len(last):
                         end = begin + int(last[-1]) + 1
                         break
-                    end = min(end + STEP, len(text))
+                    end = min(end + step, len(text))
                 yield text[begin:end], np.array([0, end - begin]), k
                 begin = end
         at = k + 1
@@ -88,12 +88,13 @@ def _key(hashes: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (key & U64(BITS - 1)).astype(np.int64), ((key >> U64(32)) & U64(BITS - 1)).astype(np.int64)
+def _bits(key: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last = U64(len(bitmap) * 8 - 1)
+    return (key & last).astype(np.int64), ((key >> U64(32)) & last).astype(np.int64)
 
 
 def _in(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    a, b = _bits(key)
+    a, b = _bits(key, bitmap)
     return ((bitmap[a >> 3] >> (a & 7)) & (bitmap[b >> 3] >> (b & 7)) & 1).astype(bool)
 
 
@@ -112,11 +113,12 @@ def word_keys(words: DataFrame) -> DataFrame:
 
 def bitmap_of(keys: DataFrame) -> np.ndarray:
     """A bitmap of (key); as large for any number of rows."""
+    size = BITS
 
     def set_(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(BITS >> 3, np.uint8)
+        bitmap = np.zeros(size >> 3, np.uint8)
         for b in it:
-            for bits in _bits(b.column("key").to_numpy().view(U64)):
+            for bits in _bits(b.column("key").to_numpy().view(U64), bitmap):
                 np.bitwise_or.at(bitmap, bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
         cells = bitmap.view(np.int64)
         at = np.flatnonzero(cells)
@@ -125,7 +127,7 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], ["cell", "bits"])
 
     cells = mapped(keys, set_, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITS >> 6, np.int64)
+    out = np.zeros(size >> 6, np.int64)
     out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
     return out.view(np.uint8)
 
@@ -154,12 +156,25 @@ class _Texts:
         h, at = self.hashes(), np.flatnonzero(self.with_next)
         self.with_next[at] = _in(pairs, _key([h[at], h[at + 1]], self.seed[at]))
 
-    def grams(self, size: int) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
-        """(codes of languages, phrases with a space after them) of the n-grams of a size."""
+    def whole(self, size: int) -> np.ndarray:
+        """Whether an n-gram of a size begins at each word."""
         ok = np.ones(self.n, bool)
         for k in range(size - 1):  # words k and k + 1 after the first go together
             ok[: max(self.n - 1 - k, 0)] &= self.with_next[k:]
             ok[max(self.n - 1 - k, 0) :] = False
+        return ok
+
+    def keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, keys) of the n-grams of a size."""
+        h, at = self.hashes(), np.flatnonzero(self.whole(size))
+        return at, _key([h[at + k] for k in range(size)], self.seed[at])
+
+    def grams(self, size: int, longer: np.ndarray | None = None) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
+        """(codes of languages, phrases with a space after them) of the n-grams of a size; those of three words or more have to be in a map, if one is given."""
+        ok = self.whole(size)
+        if size > 2 and longer is not None:
+            at, key = self.keys(size)
+            ok[at] = _in(longer, key)
         buffer, ends = pa.py_buffer(np.ascontiguousarray(self.flat)), self.starts.astype(np.int32)
         phrases, codes = [], []
         for phase in range(min(size, self.n)):  # n-grams that begin at every size-th word lie end to end in the buffer
@@ -172,13 +187,13 @@ class _Texts:
         return pa.chunked_array(codes, pa.int32()), pa.chunked_array(phrases, pa.string())
 
 
-def _parsed(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, _Texts]]:
+def _parsed(it: Iterator[pa.RecordBatch], step: int) -> Iterator[tuple[pa.Array, _Texts]]:
     """(languages by code, texts) of batches of (lang, text), cut to bounded bytes."""
-    for b in batches_by_bytes(it, "text", STEP):
+    for b in batches_by_bytes(it, "text", step):
         langs = b.column("lang").dictionary_encode()
         names, codes = langs.dictionary, langs.indices.to_numpy().astype(np.int32)
         seeds = np.array([_seed(x) for x in names.to_pylist()], U64)
-        for data, offsets, first in _cut(*text_buffers(b.column("text"))):
+        for data, offsets, first in _cut(*text_buffers(b.column("text")), step):
             yield names, _Texts(data, offsets, codes[first:], seeds)
 
 
@@ -186,17 +201,18 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def ngram_counts(docs: DataFrame, sizes: tuple[int, ...], pairs: Broadcast | None = None) -> DataFrame:
-    """(lang, phrase, f): occurrences of the n-grams of these sizes of (lang, text); with the map pairs, of those alone whose neighbours are in it."""
+def ngram_counts(docs: DataFrame, sizes: tuple[int, ...], pairs: Broadcast | None = None, longer: Broadcast | None = None) -> DataFrame:
+    """(lang, phrase, f): occurrences of the n-grams of these sizes of (lang, text); with the map pairs, of those alone whose neighbours are in it, and with longer of those of three words or more that are in it."""
+    step = STEP
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, t in _parsed(it):
+        for names, t in _parsed(it, step):
             if pairs is not None and t.n > 1:
                 t.join_pairs(pairs.value)
             for size in sizes:
                 if t.n < size:
                     continue
-                codes, phrases = t.grams(size)
+                codes, phrases = t.grams(size, longer.value if longer is not None else None)
                 found = pa.table({"lang": codes, "phrase": phrases}).group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
                 if found.num_rows:
                     phrase = pc.utf8_slice_codeunits(found.column("phrase"), 0, -1)  # without the last space
@@ -206,13 +222,18 @@ def ngram_counts(docs: DataFrame, sizes: tuple[int, ...], pairs: Broadcast | Non
     return mapped(_rows(docs), run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def frequent_pairs(docs: DataFrame, words: Broadcast, least: int) -> DataFrame:
-    """(key) of the pairs of neighbours, their words in the map, whose keys occur least times: all frequent pairs, and such whose keys are the same."""
+def frequent_keys(docs: DataFrame, sizes: tuple[int, ...], least: int, words: Broadcast | None = None, pairs: Broadcast | None = None) -> DataFrame:
+    """(key) of the n-grams of these sizes whose words, or neighbours, are in a map and whose keys occur least times: all frequent ones, and such whose keys are the same."""
+    step = STEP
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _parsed(it):
-            key, n = np.unique(t.pair_keys(words.value), return_counts=True) if t.n > 1 else (np.zeros(0, U64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+        for _, t in _parsed(it, step):
+            if pairs is not None and t.n > 1:
+                t.join_pairs(pairs.value)
+            for size in sizes:
+                if t.n >= size:
+                    key, n = np.unique(t.pair_keys(words.value) if words is not None else t.keys(size)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     return mapped(_rows(docs), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
 
@@ -226,12 +247,15 @@ def frequent(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tuple[D
     parts = [stored(enough(every, F.lit(1)), "frequent")]
     discard(every)
     if max_n >= 2:
-        words = spark.sparkContext.broadcast(bitmap_of(word_keys(parts[0])))
-        pairs = spark.sparkContext.broadcast(bitmap_of(frequent_pairs(docs, words, least)))
+        send = lambda keys: spark.sparkContext.broadcast(bitmap_of(keys))
+        words = send(word_keys(parts[0]))
+        pairs = send(frequent_keys(docs, (2,), least, words))
+        longer = send(frequent_keys(docs, tuple(range(3, max_n + 1)), least, None, pairs)) if max_n > 2 else None
         size = F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1
-        parts.append(stored(enough(ngram_counts(docs, tuple(range(2, max_n + 1)), pairs), size), "frequent"))
-        words.unpersist()
-        pairs.unpersist()
+        parts.append(stored(enough(ngram_counts(docs, tuple(range(2, max_n + 1)), pairs, longer), size), "frequent"))
+        for b in (words, pairs, longer):
+            if b is not None:
+                b.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
