@@ -14,8 +14,8 @@ from ..operators import events as E
 from ..operators import fusion, lookups, metrics
 from ..operators.rerank import rerank
 from ..schema import TABLES, raw
-from ..sources import importer, readers, validate
-from ..storage import read_text, shared_dir, write_csv, write_text
+from ..sources import filetree, importer, readers, validate
+from ..storage import read_text, shared_dir, write_csv, write_csv_file, write_text
 from ..streaming.stores import EventLog, ProfileStore
 from . import search as S
 from . import views as V
@@ -38,45 +38,61 @@ def _text_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def _written(spark: SparkSession, d: str, *names: str) -> str:
+    """A folder of the tables as CSV, in parts by key."""
     folder = shared_dir(spark, "csv")
     for name, table in _text_tables(spark, d).items():
         if not names or name in names:
-            write_csv(table.select(*raw(name).names).orderBy(*(F.col(c).cast("long") for c in raw(name).names[: 2 if name == "qrels" else 1])), f"{folder}/{name}.csv")
+            keys = raw(name).names[: 2 if name == "qrels" else 1]
+            write_csv(table.select(*raw(name).names), f"{folder}/{name}.csv", [F.col(c).cast("long") for c in keys])
     return folder
 
 
-def _local(folder: str) -> str:
-    return folder.removeprefix("file://")
-
-
 @query("SELECT CAST(item_id AS VARCHAR) AS item_id, title, category, subcategory, brand, CAST(price AS DOUBLE) AS price, (item_id % 11) / 10.0 AS quality_score, item_id % 2 = 0 AS is_cold_start, '' AS description FROM items", "items")
 def csv_items_round_trip(spark, d):
-    """Items written as CSV, read with a strict header and typed."""
-    found = readers.typed(readers.read_raw(spark, _written(spark, d, "items"), "items"), "items")
+    """Items written as CSV in parts, read in splits with a strict header and typed."""
+    found = readers.typed(readers.read_raw(spark, _written(spark, d, "items"), "items", breaks=False), "items")
     return found.select("item_id", "title", "category", "subcategory", "brand", F.col("price").cast("double").alias("price"), "quality_score", "is_cold_start", "description")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS user_id, 'c' || user_id || '|x, y' AS categories, 0 AS brands, is_cold_start FROM us", "us")
 def csv_users_round_trip(spark, d):
-    """Users with lists, written as CSV and typed; the file is read in parts, as no value holds a line break."""
+    """Users with lists, written as CSV in parts, read in splits and typed."""
     found = readers.typed(readers.read_raw(spark, _written(spark, d, "users"), "users", breaks=False), "users")
     return found.select("user_id", F.array_join("preferred_categories", "|").alias("categories"), F.size("preferred_brands").cast("int").alias("brands"), "is_cold_start")
 
 
 @query("SELECT event_id, event_type, user_id, item_id, CAST(position AS INT) AS position, timestamp, CASE WHEN event_type = 'add_to_cart' THEN 2 END AS add_to_cart_quantity FROM (SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, position, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp FROM ev WHERE event_type <> 'error' AND item_id > 0)", "ev")
 def csv_events_round_trip(spark, d):
-    """Events written as CSV and typed: optional numbers, times in ISO-8601."""
-    found = readers.typed(readers.read_raw(spark, _written(spark, d, "events"), "events"), "events")
+    """Events written as CSV in parts, read in splits and typed: optional numbers, times in ISO-8601."""
+    found = readers.typed(readers.read_raw(spark, _written(spark, d, "events"), "events", breaks=False), "events")
     return found.select("event_id", "event_type", "user_id", "item_id", "position", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "add_to_cart_quantity")
 
 
 @query("SELECT 'qrels.csv' AS file, sha256('query_id,item_id,relevance_grade' || chr(10) || string_agg(query_id || ',' || item_id || ',' || grade || chr(10), '' ORDER BY query_id, item_id)) AS sha256 FROM qrs", "qrs")
 def csv_file_hash(spark, d):
-    """SHA-256 of the judgements' file, the smallest of the five."""
-    found = importer.file_hashes(spark, _written(spark, d))
+    """SHA-256 of the judgements' file, the smallest of the five; a file is what is hashed, so each is written as one."""
+    folder = shared_dir(spark, "csv")
+    for name, text in _text_tables(spark, d).items():
+        keys = raw(name).names[: 2 if name == "qrels" else 1]
+        write_csv_file(text.select(*raw(name).names).orderBy(*(F.col(c).cast("long") for c in keys)), f"{folder}/{name}.csv")
+    found = importer.file_hashes(spark, folder)
     return spark.createDataFrame([("qrels.csv", found["qrels.csv"])], "file string, sha256 string")
 
 
+_LINES = "SELECT query_id || ',' || item_id || ',' || grade AS line, query_id, item_id FROM qrs"
+
+
+@query(f"""SELECT "range", count(*) AS lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY query_id, item_id)) AS digest
+FROM (SELECT *, CAST((sum(strlen(line) + 1) OVER (ORDER BY query_id, item_id) - strlen(line) - 1) // 4096 AS BIGINT) AS "range" FROM ({_LINES})) GROUP BY "range" """, "qrs")
+def csv_hash_tree(spark, d):
+    """The leaves of the judgements' lines, in ranges of 4,096 bytes: one file, hashed in splits."""
+    folder = shared_dir(spark, "lines")
+    text = _text_tables(spark, d)["qrels"].select(F.concat_ws(",", "query_id", "item_id", "relevance_grade").alias("value"), F.col("query_id").cast("long").alias("q"), F.col("item_id").cast("long").alias("i"))
+    text.coalesce(1).sortWithinPartitions("q", "i").select("value").write.text(f"{folder}/qrels.csv")  # one file is what is to be hashed
+    found = filetree.leaves(spark, filetree.listed(spark, folder, ["qrels.csv"]), 4096)
+    return found.select("range", "lines", "bytes", "digest")
+
+
 _COUNTS = "SELECT 'items' AS \"table\", count(*) AS rows FROM items UNION ALL SELECT 'users', count(*) FROM us UNION ALL SELECT 'queries', count(*) FROM shop UNION ALL SELECT 'events', count(*) FROM ev WHERE event_type <> 'error' AND item_id > 0 UNION ALL SELECT 'qrels', count(*) FROM qrs"
 
 
@@ -84,19 +100,19 @@ _COUNTS = "SELECT 'items' AS \"table\", count(*) AS rows FROM items UNION ALL SE
 def import_store_tables(spark, d):
     """All five files checked, imported and counted in the store's tables in use."""
     store = importer.Store(spark, shared_dir(spark, "store"))
-    importer.import_dataset(store, _local(_written(spark, d)))
+    importer.import_dataset(store, _written(spark, d))
     return lookups.table_counts({name: store.table(name) for name in TABLES})
 
 
 def _lifecycle(spark: SparkSession, d: str) -> tuple[importer.Store, list[tuple[str, str, bool]], importer.ImportResult]:
     """A dry run, an import, the same again, other data, and the other data in place of the first."""
-    store, folder, rows = importer.Store(spark, shared_dir(spark, "store")), _local(_written(spark, d)), []
+    store, folder, rows = importer.Store(spark, shared_dir(spark, "store")), _written(spark, d), []
     add = lambda step, result: rows.append((step, result.status, store.has_data()))
     add("dry run", importer.import_dataset(store, folder, dry_run=True))
     first = importer.import_dataset(store, folder)
     add("import", first)
     add("again", importer.import_dataset(store, folder))
-    write_csv(_text_tables(spark, d)["qrels"].withColumn("relevance_grade", F.lit("1")), f"{folder}/qrels.csv")
+    write_csv(_text_tables(spark, d)["qrels"].withColumn("relevance_grade", F.lit("1")).select(*raw("qrels").names), f"{folder}/qrels.csv")
     add("other data", importer.import_dataset(store, folder))
     add("replace", importer.import_dataset(store, folder, replace=True))
     return store, rows, first
@@ -118,7 +134,7 @@ def import_audit(spark, d):
 def import_report(spark, d):
     """The JSON report of an import, read back."""
     store, path = importer.Store(spark, shared_dir(spark, "store")), f"{shared_dir(spark, 'report')}.json"
-    importer.write_report(importer.import_dataset(store, _local(_written(spark, d))), path, spark)
+    importer.write_report(importer.import_dataset(store, _written(spark, d)), path, spark)
     report = spark.read.option("multiLine", True).json(path)
     return report.select("status", F.explode(F.from_json(F.to_json("counts"), "map<string,long>")).alias("table", "rows"))
 

@@ -6,18 +6,17 @@ reader sees the old set or the new. Each import adds a record to the audit.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TABLES
 from ..storage import hadoop, read_text, write_text
+from . import filetree
 from .readers import read_raw, read_table, typed
 from .validate import require_valid
 
@@ -47,15 +46,9 @@ def file_hashes(spark: SparkSession, folder: str) -> dict[str, str]:
     return {w: found[w] for w in wanted}
 
 
-def fingerprint(folder: str) -> str:
-    """SHA-256 over the sorted files' names and bytes."""
-    total = hashlib.sha256()
-    for path in sorted(Path(folder.removeprefix("file://")) / f"{t}.csv" for t in TABLES):
-        total.update(path.name.encode())
-        with open(path, "rb") as f:
-            while part := f.read(1 << 20):
-                total.update(part)
-    return total.hexdigest()
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """A digest of the tables' CSV files, each one file or a folder of parts, read by executors (sources/filetree.py)."""
+    return filetree.fingerprint(spark, folder, [f"{t}.csv" for t in TABLES])
 
 
 class Store:
@@ -103,7 +96,7 @@ class Store:
 def import_dataset(store: Store, folder: str, replace: bool = False, dry_run: bool = False, name: str = "dataset") -> ImportResult:
     """Checks all files and publishes them. Violations raise; other failures are recorded and returned, and leave the set in use as it was."""
     spark, started = store.spark, datetime.now(UTC).isoformat()
-    mark = fingerprint(folder)
+    mark = fingerprint(spark, folder)
     text = {t: read_raw(spark, folder, t) for t in TABLES}
     for t in CHECKED:
         require_valid(t, text[t], text)

@@ -10,7 +10,7 @@ from ..schema import TABLES, raw
 
 
 def read_raw(spark: SparkSession, folder: str, name: str, breaks: bool = True) -> DataFrame:
-    """folder/name.csv as text columns; the header must hold exactly the table's columns in order (checked as the file is read).
+    """folder/name.csv, a file or a folder of parts, as text columns; the header must hold exactly the table's columns in order (checked as the file is read).
 
     breaks: quoted values may hold line breaks, so a file is read by one task; without, large files are split.
     """

@@ -96,8 +96,15 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
             return
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """df as one CSV file with a header, in df's order; for the exchange formats, whose tables are one file each."""
+def write_csv(df: DataFrame, path: str, order: list | None = None) -> None:
+    """df as CSV with a header: a folder of parts of that name, by ranges of order if given, each written by its own task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order) if order else df
+    rows.write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
+
+
+def write_csv_file(df: DataFrame, path: str) -> None:
+    """df as one CSV file with a header, in df's order, by one task: for exchange with what reads files alone."""
     spark, step = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
     df.coalesce(1).write.options(header=True, escape='"', emptyValue="").csv(step)
     fs, folder = hadoop(spark, step)

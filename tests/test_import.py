@@ -1,5 +1,8 @@
+import hashlib
+
 import pytest
 
+from tessera.sources import filetree
 from tessera.sources.importer import Store, file_hashes, fingerprint, import_dataset
 from tessera.sources.validate import ValidationError, violations
 
@@ -33,7 +36,7 @@ def test_import_is_atomic_and_audited(spark, tmp_path):
     assert import_dataset(store, folder, replace=True).status == "completed" and store.current != held
     assert [r["status"] for r in store.runs().collect()].count("failed") == 1
     assert store.latest_completed().first()["qrel_count"] == 1
-    assert set(file_hashes(spark, folder)) == {f"{n}.csv" for n in FILES} and len(fingerprint(folder)) == 64
+    assert set(file_hashes(spark, folder)) == {f"{n}.csv" for n in FILES} and len(fingerprint(spark, folder)) == 64
 
 
 def test_bad_rows_and_headers(spark, tmp_path):
@@ -58,3 +61,40 @@ def test_item_rules(spark):
     names = FILES["items"][0].split(",")
     got = {(r["key"], r["rule"]) for r in violations("items", spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))).collect()}
     assert got == {("i1", k) for k in ("price", "quality_score", "popularity_score", "is_cold_start", "created_at")} | {("", "item_id")}
+
+
+def _tree(spark, folder, size=64):
+    files = filetree.listed(spark, str(folder), ["a.csv", "b.csv"])
+    return filetree.leaves(spark, files, size)
+
+
+def test_a_hash_tree_names_what_changed(spark, tmp_path):
+    lines = [f"{k},{'é' * (k % 7)}\r" for k in range(60)]
+    (tmp_path / "b.csv").mkdir()
+    for part in (0, 1):
+        (tmp_path / "b.csv" / f"part-{part}").write_bytes(b"x\n" * 3)
+    content = "\n".join(lines).encode() + b"\n"
+    (tmp_path / "a.csv").write_bytes(content)
+    want, at = {}, 0
+    for line in [x + b"\n" for x in content.split(b"\n")[:-1]]:
+        want.setdefault(at // 64, []).append(line)
+        at += len(line)
+    got = {r["range"]: r for r in _tree(spark, tmp_path).filter("file = 'a.csv'").collect()}
+    assert {k: (len(v), sum(map(len, v)), hashlib.sha256(b"".join(v)).hexdigest()) for k, v in want.items()} == {k: (r["lines"], r["bytes"], r["digest"]) for k, r in got.items()}
+    old = spark.createDataFrame(_tree(spark, tmp_path).collect(), "file string, range long, lines long, bytes long, digest string")
+    mark = filetree.fingerprint(spark, str(tmp_path), ["a.csv", "b.csv"])
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50")  # other splits, the same leaves
+    try:
+        assert filetree.changed(old, _tree(spark, tmp_path)).isEmpty()
+        assert filetree.fingerprint(spark, str(tmp_path), ["b.csv", "a.csv"]) == mark
+        (tmp_path / "a.csv").write_bytes(content.replace(b"\n30,", b"\n3O,"))
+        assert [tuple(r) for r in filetree.changed(old, _tree(spark, tmp_path)).collect()] == [("a.csv", (content.index(b"\n30,") + 1) // 64, "changed")]
+        assert filetree.fingerprint(spark, str(tmp_path), ["a.csv", "b.csv"]) != mark
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    (tmp_path / "a.csv").write_bytes(content[:-1])  # the last line's end
+    assert filetree.fingerprint(spark, str(tmp_path), ["a.csv", "b.csv"]) != mark
+    assert filetree.roots(_tree(spark, tmp_path), 3).count() == 3
+    with pytest.raises(FileNotFoundError):
+        filetree.listed(spark, str(tmp_path), ["a.csv", "c.csv"])
