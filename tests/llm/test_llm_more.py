@@ -239,3 +239,23 @@ def test_conversations_come_back_whole(spark, monkeypatch, tmp_path):
     layouts = {r["layout"] for r in chat.canonical(chat.records(table)).collect()}
     assert None not in layouts and len(layouts) >= 3
     assert chat.read_back(chat.formatted(chat.canonical(chat.records(table.limit(0))))).isEmpty()
+
+
+# ---- the language model
+
+
+def test_language_model_does_not_depend_on_how_the_input_is_split(spark, monkeypatch):
+    from tessera.llm import lmscore
+
+    monkeypatch.setattr("tessera.llm.attention.STEPS", 5)
+    monkeypatch.setattr(lmscore, "EVERY", 1)
+    monkeypatch.setattr(lmscore, "SHARE", 8)  # several parts in a round
+    r = np.random.default_rng(8)
+    rows = [(k, " ".join(r.choice(["red", "fox", "ran", "über", "x-1", "the", "hill"], 80))) for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for n in (1, 5):
+        model = lmscore.fit(docs.repartition(n))
+        scores.append({x["doc_id"]: x["score"] for x in lmscore.score(docs.repartition(n).withColumn("held_out", F.lit(False)), model).collect()})
+        assert model.followed > 40
+    assert all(abs(scores[0][k] - scores[1][k]) < 1e-5 * abs(scores[0][k]) for k in scores[0])
