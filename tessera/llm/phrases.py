@@ -82,15 +82,16 @@ def _seed(lang: str) -> int:
 
 
 def _key(hashes: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
+    """Keys of 40 bits: what they save in the shuffle is more than the rows cost that come through by equal keys."""
     out = seeds
     for h in hashes:
         out = mix(out * U64(0x9E3779B97F4A7C15) + h)
-    return out
+    return out & U64((1 << 40) - 1)
 
 
 def _bits(key: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last = U64(len(bitmap) * 8 - 1)
-    return (key & last).astype(np.int64), ((key >> U64(32)) & last).astype(np.int64)
+    return (key & last).astype(np.int64), ((mix(key) >> U64(9)) & last).astype(np.int64)
 
 
 def _in(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
