@@ -23,7 +23,7 @@ from .tfidf import counts, vocabulary
 from .vectors import vector_search
 
 #: Rounds after the first, vectors besides the components, non-zeros in a block (about).
-ROUNDS, SPARE, BLOCK = 5, 16, 250_000
+ROUNDS, SPARE, BLOCK = 5, 48, 250_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
