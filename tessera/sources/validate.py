@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EVENT_TYPES, KEYS
 from .readers import blank, flag, moment
 
+#: Rows of a repeated key that one task makes; parts of the rows of an unknown id.
+BLOCK, SALT = 10_000, 32
+
 
 class ValidationError(ValueError):
-    """A table with violations; some of them are in errors."""
+    """A table with violations: how many by rule, and some of them by name in errors."""
 
-    def __init__(self, table: str, errors: list[str]):
-        super().__init__(f"{table}: at least {len(errors)} violations, first: {'; '.join(errors[:5])}")
-        self.errors = errors
+    def __init__(self, table: str, errors: list[str], counts: dict[str, int]):
+        super().__init__(f"{table}: {sum(counts.values())} violations, first: {'; '.join(errors[:5])}")
+        self.errors, self.counts = errors, counts
 
 
 def bad_number(c: Column, lo: float | None = 0, hi: float | None = None, optional: bool = False, kind: str = "double") -> Column:
@@ -56,32 +59,60 @@ def checks(name: str) -> dict[str, tuple[str, Column]]:
 REFERENCES = {"qrels": (("query_id", "queries", False), ("item_id", "items", False)), "events": (("user_id", "users", False), ("item_id", "items", False), ("query_id", "queries", True))}
 
 
+def first_rows(text: DataFrame, key: Column) -> DataFrame:
+    """(_key, _n, the columns of text): one row of each key, that of the smallest hash, and how many rows have the key.
+
+    Partial aggregates: of a key that most rows share, each task sends one row.
+    """
+    row = F.struct(F.xxhash64(*text.columns).alias("_hash"), *text.columns)
+    found = text.select(key.alias("_key"), row.alias("_row")).groupBy("_key").agg(F.count("*").alias("_n"), F.min("_row").alias("_row"))
+    return found.select("_key", "_n", *(F.col("_row").getField(c).alias(c) for c in text.columns))
+
+
+def repeats(firsts: DataFrame) -> DataFrame:
+    """(_key): each key once for every row of it besides the first; blocks of BLOCK rows are dealt over the tasks before they are made."""
+    blocks = firsts.filter("_n > 1").select("_key", "_n", F.explode(F.expr(f"sequence(0L, (_n - 2) div {BLOCK})")).alias("_block"))
+    blocks = blocks.repartition("_key", "_block")
+    return blocks.select("_key", F.explode(F.expr(f"sequence(1L, least({BLOCK}L, _n - 1 - _block * {BLOCK}))"))).select("_key")
+
+
+def unknown(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """Rows whose trimmed column is none of known's (_id); null is unknown.
+
+    Ids are made distinct where the rows are, so it is distinct ids that meet known. The unknown ones lead back to their rows in SALT
+    parts, so an unknown or blank id that most rows share is spread.
+    """
+    ids = rows.select(F.trim(column).alias("_id")).distinct()
+    bad = ids.join(known, "_id", "left_anti").select(F.col("_id"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part"))
+    own = rows.withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(SALT)).cast("int"))
+    return own.join(bad, F.trim(column).eqNullSafe(bad["_id"]) & (own["_part"] == bad["_part"]), "left_semi")
+
+
 def violations(name: str, text: DataFrame, others: dict[str, DataFrame] | None = None) -> DataFrame:
     """(table, key, rule, value) of text rows. Repeated keys and unknown event types give one row and no other."""
-    keys = KEYS[name]
-    key = F.concat_ws("/", *(F.coalesce(F.trim(k), F.lit("")) for k in keys))
-    rows = text.withColumn("_key", key)
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(*(F.xxhash64(*text.columns),))))
+    key = F.concat_ws("/", *(F.coalesce(F.trim(k), F.lit("")) for k in KEYS[name]))
+    firsts = first_rows(text, key)
     flags = F.array(*(F.when(bad, F.struct(F.lit(rule).alias("rule"), F.col(column).cast("string").alias("value"))) for rule, (column, bad) in checks(name).items()))
-    alone = F.when(F.col("_nth") > 1, F.array(F.struct(F.lit("duplicate").alias("rule"), F.col("_key").alias("value"))))
+    found, rows = F.array_compact(flags), firsts
     if name == "events":
         type_bad = checks(name)["event_type"][1]
-        alone = alone.when(type_bad, F.array(F.struct(F.lit("event_type").alias("rule"), F.col("event_type").alias("value"))))
-    rows = rows.withColumn("_single", alone.isNotNull()).withColumn("_found", F.coalesce(alone, F.array_compact(flags)))
-    out = rows.select("_key", F.explode("_found").alias("v")).select(F.lit(name).alias("table"), F.col("_key").alias("key"), "v.rule", "v.value")
+        found = F.when(type_bad, F.array(F.struct(F.lit("event_type").alias("rule"), F.col("event_type").alias("value")))).otherwise(found)
+        rows = firsts.filter(~type_bad)
+    row = lambda rule, value: (F.lit(name).alias("table"), F.col("_key").alias("key"), rule.alias("rule"), value.alias("value"))
+    out = firsts.select("_key", F.explode(found).alias("v")).select(*row(F.col("v.rule"), F.col("v.value")))
+    out = out.unionByName(repeats(firsts).select(*row(F.lit("duplicate"), F.col("_key"))))
     for column, other, nullable in REFERENCES.get(name, ()):
         if not others or other not in others:
             continue
         known = others[other].select(F.trim(KEYS[other][0]).alias("_id")).distinct()
-        missing = rows.filter(~F.col("_single")).withColumn("_id", F.trim(column))
-        missing = missing.filter(blank(F.col(column)).isNotNull()) if nullable else missing
-        missing = missing.join(known, "_id", "left_anti")
-        out = out.unionByName(missing.select(F.lit(name).alias("table"), F.col("_key").alias("key"), F.lit(f"unknown_{column}").alias("rule"), F.col(column).cast("string").alias("value")))
+        asked = rows.filter(blank(F.col(column)).isNotNull()) if nullable else rows
+        out = out.unionByName(unknown(asked, column, known).select(*row(F.lit(f"unknown_{column}"), F.col(column).cast("string"))))
     return out
 
 
 def require_valid(name: str, text: DataFrame, others: dict[str, DataFrame] | None = None, most: int = 1000) -> None:
-    """Raises with the table's violations (most of them named) if there are any."""
-    found = violations(name, text, others).limit(most).collect()
-    if found:
-        raise ValidationError(name, [f"{r['key']}: {r['rule']} ({r['value']})" for r in found])
+    """Raises if the table has violations, with the number of each rule's and most of them named."""
+    bad = violations(name, text, others)
+    if found := bad.limit(most).collect():
+        counts = {r["rule"]: r["count"] for r in bad.groupBy("rule").count().collect()}
+        raise ValidationError(name, [f"{r['key']}: {r['rule']} ({r['value']})" for r in found], counts)

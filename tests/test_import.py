@@ -1,8 +1,9 @@
 import hashlib
+from collections import Counter
 
 import pytest
 
-from tessera.sources import filetree
+from tessera.sources import filetree, validate
 from tessera.sources.importer import Store, file_hashes, fingerprint, import_dataset
 from tessera.sources.validate import ValidationError, violations
 
@@ -63,6 +64,46 @@ def test_item_rules(spark):
     assert got == {("i1", k) for k in ("price", "quality_score", "popularity_score", "is_cold_start", "created_at")} | {("", "item_id")}
 
 
+def _hot_events():
+    """Events under few ids, blank, repeated and unknown ones among them; most share one."""
+    rows = []
+    for k in range(400):
+        event = "hot" if k % 10 < 7 else [" ", None, f"e{k}", "e1"][k % 4]
+        user = ["u1", " u1 ", None, "", "nobody"][k % 5] if k % 3 else "ghost"
+        rows.append((event, ["click", "jump", None][min(k % 17, 2)] if k % 4 == 0 else "click", "r", "s", user, [None, "", "q1", "q9"][k % 4], "", "i1" if k % 2 else "i9", str(k % 3), "2026-01-03T00:00:00", "", "", ""))
+    return rows + rows[:40]
+
+
+@pytest.mark.parametrize("block", [3, 10_000])
+def test_hot_keys_are_checked_without_meeting(spark, monkeypatch, block):
+    monkeypatch.setattr(validate, "BLOCK", block)
+    names = FILES["events"][0].split(",")
+    text = spark.createDataFrame(_hot_events(), ", ".join(f"{n} string" for n in names)).repartition(5)
+    others = {"users": spark.createDataFrame([("u1",), ("u2",)], "user_id string"), "items": spark.createDataFrame([("i1 ",)], "item_id string"), "queries": spark.createDataFrame([("q1",)], "query_id string")}
+    hashed = {}
+    for r in text.selectExpr("*", "xxhash64(*) AS h").collect():
+        hashed.setdefault((r["event_id"] or "").strip(), []).append((r["h"], r))
+    want = Counter()
+    for key, rows in hashed.items():
+        first = min(rows, key=lambda x: x[0])[1]
+        want[key, "duplicate", key] += len(rows) - 1
+        if first["event_type"] != "click":
+            want[key, "event_type", first["event_type"]] += 1
+            continue
+        want[key, "event_id", first["event_id"]] += not key
+        want[key, "position", first["position"]] += first["position"] == "0"
+        want[key, "unknown_user_id", first["user_id"]] += (first["user_id"] or "").strip() not in ("u1", "u2")
+        want[key, "unknown_item_id", first["item_id"]] += first["item_id"] != "i1"
+        want[key, "unknown_query_id", first["query_id"]] += first["query_id"] == "q9"
+    bad = violations("events", text, others)
+    assert Counter((r["key"], r["rule"], r["value"]) for r in bad.collect()) == +want
+    assert "Window" not in bad._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValidationError) as found:
+        validate.require_valid("events", text, others, most=2)
+    assert sum(found.value.counts.values()) == sum(want.values()) and len(found.value.errors) == 2
+    assert violations("events", text.limit(0), others).isEmpty()
+
+
 def _tree(spark, folder, size=64):
     files = filetree.listed(spark, str(folder), ["a.csv", "b.csv"])
     return filetree.leaves(spark, files, size)
