@@ -39,10 +39,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df written as a table in the shared folder and read back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=compression)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back
