@@ -6,6 +6,9 @@ above. An edit finds its leaves by the sums, splits again only the text it touch
 before it, until a boundary falls on an old one, encodes what is new and updates the sums on the way to the root: a pre-token depends
 on nothing before its start and on two characters after its end.
 
+Trees are rows of a table (TREE): a batch of edits loads those of the documents it touches, as they are, and writes them a version on
+(TreeStore). Counts of all others are read from their roots.
+
 Defined results: null and empty texts have no tokens; edits beyond the text's end are cut to it; special tokens' strings are ordinary
 text; repeated rows are documents of their own; other columns are ignored.
 """
@@ -13,7 +16,9 @@ text; repeated rows are documents of their own; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import unicodedata
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +32,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, batches_by_bytes, powers, strong, table
+from ..storage import ROW_GROUP, read_text, write_text
+from .common import U64, batches_by_bytes, mapped, powers, stored, strong, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens in a leaf when a tree is built and at most; characters read again before an edit; remembered pre-tokens at most.
@@ -142,12 +148,38 @@ class Tree:
             level = level[0::2] + level[1::2]
             levels.append(level)
         self.sums = np.concatenate([np.zeros((1, 3), np.int64), *levels[::-1]])
+        self._hold(lengths, counts)
+
+    def _hold(self, lengths: np.ndarray, counts: np.ndarray) -> None:
         self._lengths, self._counts, self._changed = lengths, counts, {}
+        self._starts = np.concatenate([[0], np.cumsum(self.sums[self.leaves :, 1])])
+
+    @classmethod
+    def load(cls, text: str, lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, counter: Counter) -> Tree:
+        """A tree as state() gave it; nothing is encoded or summed again."""
+        tree = cls.__new__(cls)
+        tree.text, tree.counter = text, counter
+        tree.sums = np.array(sums, np.int64).reshape(-1, 3)
+        tree.leaves = len(tree.sums) // 2
+        tree._hold(lengths, counts)
+        return tree
+
+    def state(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths and counts of all pre-tokens, and the sums, whose leaves say how many pre-tokens each has."""
+        if self._changed:
+            sizes, counts, at = [], [], 0
+            for k in sorted(self._changed):
+                a, b = self._starts[k : k + 2].tolist()
+                sizes += [self._lengths[at:a], np.array(self._changed[k][0], np.int64)]
+                counts += [self._counts[at:a], np.array(self._changed[k][1], np.int64)]
+                at = b
+            self._hold(np.concatenate([*sizes, self._lengths[at:]]), np.concatenate([*counts, self._counts[at:]]))
+        return self._lengths, self._counts, self.sums
 
     def bucket(self, k: int) -> tuple[list[int], list[int]]:
         """Lengths and counts of bucket k's pre-tokens."""
         if k not in self._changed:
-            a = slice(k * BUCKET, (k + 1) * BUCKET)
+            a = slice(*self._starts[k : k + 2].tolist())
             return self._lengths[a].tolist(), self._counts[a].tolist()
         return self._changed[k]
 
@@ -221,8 +253,7 @@ class Tree:
         return len(made)
 
     def _rebuild(self) -> None:
-        parts = [self.bucket(k) for k in range(self.leaves)]
-        self._build(np.array([n for p in parts for n in p[0]], np.int64), np.array([n for p in parts for n in p[1]], np.int64))
+        self._build(*self.state()[:2])
 
 
 _counters: dict[int, Counter] = {}
@@ -241,37 +272,141 @@ def standard_edits(n: int) -> list[tuple[int, int, str]]:
     return [(n // 3, n // 3, " edit's"), (n // 2, n // 2 + 8, ""), (3 * n // 4, 3 * n // 4 + 5, "12  ab ")]
 
 
-def count_with_edits(docs: DataFrame, edits: DataFrame | None = None, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, n_tokens, n_pretokens, edited_tokens, edited_pretokens, n_encoded): before and after the edits, in order.
+#: A kept tree: the document's version and counts, its text, and what Tree.state gives.
+TREE = "doc_id long, version long, n_tokens long, n_pretokens long, text string, lengths array<int>, counts array<int>, sums array<int>"
+_KEPT = ("lengths", "counts", "sums")
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int32()))
 
-    edits: (doc_id, edits array<struct<start,end,text>>), characters of the text as the edits before left it, one row a document; without,
-    standard_edits of each text.
-    """
-    raw = docs.sparkSession.sparkContext.broadcast(open(ranks, "rb").read())  # the vocabulary file, a fixed size
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = edits is not None
-    if own:
-        rows = rows.join(edits.select(F.col("doc_id").cast("long").alias("doc_id"), "edits"), "doc_id", "left")
+
+def _columns(trees: list[Tree]) -> list[pa.Array]:
+    """n_tokens, n_pretokens, text, lengths, counts and sums of trees."""
+    states = [t.state() for t in trees]
+    numbers = [pa.array([getattr(t, k) for t in trees], pa.int64()) for k in ("tokens", "pretokens")]
+    return [*numbers, pa.array([t.text for t in trees], pa.string()), *(_lists([s[k].ravel() for s in states]) for k in range(3))]
+
+
+def _vocabulary(df: DataFrame, ranks: str):
+    return df.sparkSession.sparkContext.broadcast(open(ranks, "rb").read())  # the vocabulary file, a fixed size
+
+
+def trees(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """TREE rows of documents, version 0: a table to be kept, which edited() takes up."""
+    raw = _vocabulary(docs, ranks)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(raw.value)
         for batch in batches_by_bytes(it, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             lengths, counts, offsets = counter.count(texts)
+            made = [Tree(t or "", lengths[a:b], counts[a:b], counter) for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.zeros(len(made), np.int64)), *_columns(made)], names)
+
+    names = [x.split()[0] for x in TREE.split(", ")]
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, TREE)
+
+
+def edited(kept: DataFrame, edits: DataFrame | None = None, ranks: str = RANKS) -> DataFrame:
+    """TREE rows of the touched documents alone, a version on, with before_tokens, before_pretokens and n_encoded.
+
+    kept: TREE rows. edits: (doc_id, edits array<struct<start,end,text>>), characters of the text as the edits before left it, one row a
+    document (more are an error; of repeated documents each is edited); without, standard_edits of every document.
+    """
+    raw, own = _vocabulary(kept, ranks), edits is not None
+    if own:
+        once = F.when(F.count("*") == 1, F.first("edits")).otherwise(F.raise_error(F.lit("a document has several rows of edits")))
+        kept = kept.join(edits.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(once.alias("edits")), "doc_id")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_of(raw.value)
+        for batch in batches_by_bytes(it, "text", 1 << 20):
             given = batch.column("edits").to_pylist() if own else None
-            out = []
-            for i, (text, a, b) in enumerate(zip(texts, offsets[:-1], offsets[1:], strict=True)):
-                tree = Tree(text or "", lengths[a:b], counts[a:b], counter)
-                before = (tree.tokens, tree.pretokens)
-                todo = standard_edits(len(text or "")) if given is None else [(e["start"], e["end"], e["text"]) for e in given[i] or []]
-                done = sum(tree.edit(*e) for e in todo)
-                out.append((*before, tree.tokens, tree.pretokens, done))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names)
+            states = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in map(batch.column, _KEPT)]
+            made, before, done = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                tree = Tree.load(text, *(v[o[i] : o[i + 1]] for v, o in states), counter)
+                before.append((tree.tokens, tree.pretokens))
+                todo = standard_edits(len(text)) if given is None else [(e["start"], e["end"], e["text"]) for e in given[i] or []]
+                done.append(sum(tree.edit(*e) for e in todo))
+                made.append(tree)
+            version = pa.array(batch.column("version").to_numpy() + 1)
+            was = [pa.array(c, pa.int64()) for c in zip(*before, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), version, *_columns(made), *was, pa.array(done, pa.int64())], names)
+
+    schema = f"{TREE}, before_tokens long, before_pretokens long, n_encoded long"
+    names = [x.split()[0] for x in schema.split(", ")]
+    needed = ["doc_id", "version", "text", *_KEPT] + ["edits"] * own
+    return mapped(kept.select(*needed), run, schema)
+
+
+class TreeStore:
+    """Trees of documents in a folder: a table of all, and for each batch of edits a table of the documents that it touched.
+
+    A manifest names the tables in use and their batches; it is replaced in one step, so a batch that is replayed or fails adds nothing.
+    Batches come one after another, from one writer.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, ranks: str = RANKS):
+        self.spark, self.root, self.ranks = spark, root.rstrip("/"), ranks
+
+    def _manifest(self) -> list[list[str]]:
+        return json.loads(read_text(self.spark, f"{self.root}/MANIFEST") or "[]")
+
+    def _add(self, before: list[list[str]], batch: str, rows: DataFrame) -> None:
+        name = uuid.uuid4().hex
+        rows.write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.root}/{name}", compression="zstd")
+        write_text(self.spark, f"{self.root}/MANIFEST", json.dumps([*before, [batch, name]]))
+
+    def build(self, docs: DataFrame) -> None:
+        """Trees of docs, instead of what there was."""
+        self._add([], "", trees(docs, self.ranks))
+
+    def current(self, ids: DataFrame | None = None) -> DataFrame:
+        """TREE rows of the latest versions, of ids (doc_id) alone if given: only these are looked up in the tables."""
+        names = [name for _, name in self._manifest()]
+        if not names:
+            raise LookupError("no trees are kept")
+        every = self.spark.read.schema(TREE).parquet(*(f"{self.root}/{n}" for n in names))
+        if ids is not None:
+            every = every.join(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        if len(names) == 1:
+            return every
+        last = every.groupBy(F.col("doc_id").alias("_id")).agg(F.max("version").alias("_last"))
+        return every.join(last, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_last")), "left_semi")
+
+    def apply(self, batch: str, edits: DataFrame) -> bool:
+        """Edits (as edited takes them) of a batch; False, and nothing done, if it was applied before. Ids without a tree are left out."""
+        before = self._manifest()
+        if batch in [b for b, _ in before]:
+            return False
+        rows = edited(self.current(edits), edits, self.ranks)
+        self._add(before, batch, rows.select(*(x.split()[0] for x in TREE.split(", "))))
+        return True
+
+    def counts(self) -> DataFrame:
+        """(doc_id, version, n_tokens, n_pretokens): read from the trees' roots, no text is opened."""
+        return self.current().select("doc_id", "version", "n_tokens", "n_pretokens")
+
 
-    names = ["doc_id", "n_tokens", "n_pretokens", "edited_tokens", "edited_pretokens", "n_encoded"]
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+def count_with_edits(docs: DataFrame, edits: DataFrame | None = None, ranks: str = RANKS) -> DataFrame:
+    """(doc_id, n_tokens, n_pretokens, edited_tokens, edited_pretokens, n_encoded) of all documents, before and after the edits, in order.
+
+    The trees are kept as a table first; edits are those of edited(), and documents without any stay as they are.
+    """
+    kept = stored(trees(docs, ranks), "trees", "zstd")
+    new = edited(kept, edits, ranks)
+    renamed = {"before_tokens": "n_tokens", "before_pretokens": "n_pretokens", "n_tokens": "edited_tokens", "n_pretokens": "edited_pretokens"}
+    out = new.select("doc_id", *(F.col(a).alias(b) for a, b in renamed.items()), "n_encoded")
+    if edits is None:
+        return out
+    rest = kept.join(edits.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti")
+    same = rest.select("doc_id", "n_tokens", "n_pretokens", F.col("n_tokens").alias("edited_tokens"), F.col("n_pretokens").alias("edited_pretokens"), F.lit(0).cast("long").alias("n_encoded"))
+    return out.unionByName(same)
 
 
 def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents, before and after three edits of each."""
+    """Token counts of all documents, before and after three edits of each, from kept trees."""
     return count_with_edits(table(spark, sf_dir, "documents"))

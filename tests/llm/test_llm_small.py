@@ -488,6 +488,51 @@ def test_random_edits():
             a = min(a, len(text))
             text = text[:a] + new + text[min(a + n, len(text)) :]
             assert tree.text == text and tree.tokens == len(counter.encoding.encode_ordinary(text)) and tree.sums[1, 0] == len(text)
+            if n % 2:  # kept and taken up again
+                kept = tree.state()
+                assert tree.sums[tree.leaves :, 1].sum() == len(kept[0]) and kept[0].sum() == len(text) and kept[1].sum() == tree.tokens
+                tree = tokencount.Tree.load(text, *(k.astype(np.int32) for k in (kept[0], kept[1], kept[2].ravel())), counter)
+
+
+def test_kept_trees(spark):
+    """Batches of edits on kept trees, against counting whole texts again."""
+    counter = tokencount.Counter(tokencount.RANKS)
+    full = lambda t: len(counter.encoding.encode_ordinary(t))
+    r = np.random.default_rng(4)
+    texts = {k: " ".join(r.choice(["ab", "it's", "42", "über", "🙂", "\n"], int(r.integers(0, 900)))) for k in range(30)} | {30: "x y " * 60_000, 31: ""}
+    rows = [(k, t, 1, "c") for k, t in texts.items()] + [(3, texts[3], 1, "c"), (None, "one two", 1, "c"), (32, None, 1, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version int, counts string").repartition(3)
+    store = tokencount.TreeStore(spark, common.shared_dir(spark, "trees"))
+    with pytest.raises(LookupError):
+        store.counts()
+    store.build(docs)
+    versions = dict.fromkeys(texts, 0)
+    edit = "doc_id long, edits array<struct<start:int,end:int,text:string>>"
+    for batch in range(3):
+        asked = [(k, [(int(r.integers(0, 300)), int(r.integers(0, 400)), str(r.choice(["", "'s", " new word", "q" * 50]))) for _ in range(2)]) for k in [batch, 3, 30, 99 + batch]]
+        for k, edits in asked:
+            if k in texts:
+                for a, b, new in edits:
+                    n = len(texts[k])
+                    a = min(a, n)
+                    texts[k] = texts[k][:a] + new + texts[k][min(max(b, a), n) :]
+                versions[k] += 1
+        given = spark.createDataFrame(asked, edit)
+        assert store.apply(f"b{batch}", given) and not store.apply(f"b{batch}", given)
+        written = spark.read.parquet(f"{store.root}/{store._manifest()[-1][1]}")
+        assert sorted(x["doc_id"] for x in written.collect()) == [*sorted([batch, 3, 3]), 30]  # the touched documents alone
+        got = [tuple(x) for x in store.counts().collect()]
+        want = [(k, versions[k], full(t)) for k, t in texts.items()]
+        assert sorted(x[:3] for x in got if x[0] is not None) == sorted([*want, want[3], (32, 0, 0)])
+        assert [x[1:3] for x in got if x[0] is None] == [(0, full("one two"))]
+    assert {x["doc_id"]: x["text"] for x in store.current(spark.createDataFrame([(30,), (5,), (77,)], "doc_id long")).collect()} == {30: texts[30], 5: texts[5]}
+    with pytest.raises(Exception, match="several rows of edits"):
+        store.apply("twice", given.union(given))
+    assert [x for x, _ in store._manifest()] == ["", "b0", "b1", "b2"]
+    store.build(docs.limit(0))
+    assert store.counts().isEmpty() and tokencount.edited(store.current()).isEmpty()
+    again = tokencount.count_with_edits(docs, given.filter("doc_id = 3")).collect()
+    assert len(again) == len(rows) and sum(x["n_encoded"] > 0 for x in again) == 2
 
 
 def test_language_id(docs):
