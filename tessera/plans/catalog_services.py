@@ -17,8 +17,10 @@ from ..schema import TABLES, raw
 from ..sources import filetree, importer, readers, validate
 from ..storage import read_text, shared_dir, write_csv, write_csv_file, write_text
 from ..streaming.stores import EventLog, ProfileStore
+from . import requests as R
 from . import search as S
 from . import views as V
+from .adapters import Inputs
 from .catalog import _GRADES, _POPULAR, _behaviour, _metrics_sql, _name, _profiles, _shop, _shop_docs, _shop_hits, KS, WORDS, query
 from .indices import Generation, IndexConfig, IndexStore
 
@@ -139,6 +141,20 @@ def import_report(spark, d):
     return report.select("status", F.explode(F.from_json(F.to_json("counts"), "map<string,long>")).alias("table", "rows"))
 
 
+@query("""SELECT user_id, dim, key, round(score, 6) AS score, round(score / sum(score) OVER (PARTITION BY user_id, dim), 6) AS weight FROM (
+  SELECT user_id, dim, key, sum(w) AS score FROM (
+    SELECT CAST(e.user_id AS VARCHAR) AS user_id, unnest(['category', 'subcategory', 'brand']) AS dim, unnest([category, subcategory, brand]) AS key,
+           CASE event_type WHEN 'click' THEN 1.0 WHEN 'favorite' THEN 2.0 WHEN 'add_to_cart' THEN 3.0 WHEN 'purchase' THEN 5.0 END AS w
+    FROM ev e JOIN items i ON i.item_id = e.item_id WHERE event_type NOT IN ('error', 'impression') AND e.item_id > 0)
+  WHERE key <> '' GROUP BY ALL)""", "ev", "items")
+def imported_profiles(spark, d):
+    """Affinities of users from the tables of an imported set."""
+    store = importer.Store(spark, shared_dir(spark, "store"))
+    importer.import_dataset(store, _written(spark, d))
+    affinity, _ = Inputs.of(store).profiles(half_life=0.0)
+    return affinity.select("user_id", "dim", "key", F.round("score", 6).alias("score"), F.round("weight", 6).alias("weight"))
+
+
 # ---- rows and requests
 
 
@@ -226,16 +242,56 @@ def _accepted(f, *args) -> bool:
     return True
 
 
-@query("SELECT mode, top_k, personalize, has_user, mode <> 'other' AND top_k BETWEEN 1 AND 100 AND (NOT personalize OR has_user) AS accepted FROM (SELECT unnest(['bm25', 'semantic', 'rrf', 'linear', 'other']) AS mode), (SELECT unnest([0, 1, 100, 101]) AS top_k), (SELECT unnest([true, false]) AS personalize), (SELECT unnest([true, false]) AS has_user)")
+# ---- limits of requests: tables of requests made from the events
+
+
+@query("""SELECT coalesce(refused, 'none') AS refused, count(*) AS requests FROM (
+  SELECT CASE WHEN event_id % 5 = 4 THEN 'mode' WHEN event_id % 103 NOT BETWEEN 1 AND 100 THEN 'top_k' WHEN user_id % 2 = 0 AND event_id % 3 = 0 THEN 'user_id' END AS refused FROM events) GROUP BY 1""")
 def search_request_checks(spark, d):
-    rows = [(m, k, p, u, _accepted(S.check_request, k, m, p, ["user_id"] if u else [])) for m in (*S.MODES, "other") for k in (0, 1, 100, 101) for p in (True, False) for u in (True, False)]
-    return spark.createDataFrame(rows, "mode string, top_k int, personalize boolean, has_user boolean, accepted boolean")
+    """Requests for searches by the first rule they break: an unknown mode, a top_k beyond the limits, a personalised search without a user."""
+    e = F.col("event_id")
+    mode = F.element_at(F.array(*map(F.lit, (*S.MODES, "other"))), (e % 5 + 1).cast("int"))
+    refused = R.search_refusal(mode, e % 103, F.col("user_id") % 2 == 0, F.when(e % 3 != 0, F.col("user_id")))
+    return V.table(spark, d, "events").groupBy(F.coalesce(refused, F.lit("none")).alias("refused")).agg(F.count("*").alias("requests"))
+
+
+def _runs(spark, d, block: int, least: int) -> DataFrame:
+    """The events in runs of ids (block, run): in each block of ids all runs are of one length, least in the first, one more in the next."""
+    e = F.col("event_id")
+    return V.table(spark, d, "events").withColumn("block", F.expr(f"event_id div {block}")).withColumn("run", F.expr(f"event_id % {block} div ({least} + block % 40)")).withColumn("odd", (e * 7919) % 50021)
+
+
+def _runs_sql(block: int, least: int) -> str:
+    return f"(SELECT *, event_id % {block} // ({least} + block % 40) AS run FROM (SELECT *, event_id // {block} AS block, (event_id * 7919) % 50021 AS odd FROM events))"
 
 
-@query("SELECT n, k, n BETWEEN 1 AND 10 AND (n = 0 OR k BETWEEN 1 AND 100) AS accepted FROM (SELECT unnest([0, 1, 10, 11]) AS n), (SELECT unnest([0, 1, 100, 101]) AS k)")
+@query(f"""SELECT coalesce(refused, 'none') AS refused, count(*) AS requests, CAST(sum(n) AS BIGINT) AS ks FROM (
+  SELECT count(*) AS n, CASE WHEN count(*) > 10 THEN 'ks' WHEN min(odd % 110) < 1 OR max(odd % 110) > 100 THEN 'k' END AS refused FROM {_runs_sql(500, 2)} GROUP BY block, run) GROUP BY 1""")
 def k_list_checks(spark, d):
-    rows = [(n, k, _accepted(metrics.check_ks, [k] * n)) for n in (0, 1, 10, 11) for k in (0, 1, 100, 101)]
-    return spark.createDataFrame(rows, "n int, k int, accepted boolean")
+    """Lists of k by the first rule they break: over ten, or one beyond 1 to 100."""
+    lists = _runs(spark, d, 500, 2).groupBy("block", "run").agg(F.collect_list(F.col("odd") % 110).alias("ks"))
+    return lists.groupBy(F.coalesce(R.ks_refusal(F.col("ks")), F.lit("none")).alias("refused")).agg(F.count("*").alias("requests"), F.sum(F.size("ks")).cast("long").alias("ks"))
+
+
+@query(f"""SELECT coalesce(refused, 'none') AS refused, count(*) AS requests, CAST(sum(n) AS BIGINT) AS queries FROM (
+  SELECT count(*) AS n, CASE WHEN count(*) > 100 THEN 'queries' WHEN min(odd) < 150 THEN 'query_id' WHEN max(odd) > 49870 THEN 'query_text' END AS refused FROM {_runs_sql(1000, 70)} GROUP BY block, run) GROUP BY 1""")
+def evaluation_request_checks(spark, d):
+    """Requests for evaluations by the first rule they break: over 100 queries, an id or a text that is too long."""
+    odd = F.col("odd")
+    asked = F.struct(F.when(odd < 150, F.repeat(F.lit("q"), F.lit(65))).otherwise(F.col("event_id").cast("string")).alias("query_id"), F.when(odd > 49870, F.repeat(F.lit("t"), F.lit(513))).otherwise(F.col("props")).alias("query_text"))
+    made = _runs(spark, d, 1000, 70).groupBy("block", "run").agg(F.collect_list(asked).alias("queries"))
+    refused = R.evaluation_refusal(F.col("queries"), F.array(F.lit(5), F.lit(10)))
+    return made.groupBy(F.coalesce(refused, F.lit("none")).alias("refused")).agg(F.count("*").alias("requests"), F.sum(F.size("queries")).cast("long").alias("queries"))
+
+
+@query(f"""SELECT coalesce(refused, 'none') AS refused, count(*) AS requests, CAST(sum(n) AS BIGINT) AS covered FROM (
+  SELECT count(*) AS n, CASE WHEN count(*) > 500 THEN 'requests' WHEN min(odd) < 60 THEN 'request_id' WHEN max(odd) > 49960 THEN 'candidate_item_ids' END AS refused FROM {_runs_sql(600, 480)} GROUP BY block, run) GROUP BY 1""")
+def coverage_request_checks(spark, d):
+    """Requests for coverage by the first rule they break: over 500 of them, an id that is too long, over 200 candidates."""
+    odd = F.col("odd")
+    asked = F.struct(F.when(odd < 60, F.repeat(F.lit("r"), F.lit(65))).otherwise(F.col("event_id").cast("string")).alias("request_id"), F.lit("").alias("query_id"), F.array_repeat(F.col("event_type"), F.when(odd > 49960, 201).otherwise(F.col("event_id") % 3).cast("int")).alias("candidate_item_ids"))
+    made = _runs(spark, d, 600, 480).groupBy("block", "run").agg(F.collect_list(asked).alias("requests"))
+    return made.groupBy(F.coalesce(R.coverage_refusal(F.col("requests")), F.lit("none")).alias("refused")).agg(F.count("*").alias("requests"), F.sum(F.size("requests")).cast("long").alias("covered"))
 
 
 @query("SELECT top_k, least(greatest(5 * top_k, 50), (SELECT count(*) FROM items)) AS pool FROM (SELECT unnest([1, 9, 10, 11, 100]) AS top_k)", "items")

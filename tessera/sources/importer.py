@@ -61,11 +61,16 @@ class Store:
     def current(self) -> str | None:
         return (read_text(self.spark, f"{self.root}/CURRENT") or "").strip() or None
 
+    def tables(self, *names: str) -> dict[str, DataFrame]:
+        """Tables (all by default) of the set in use when asked; readers keep that set, and all tables are of one."""
+        held = self.current
+        if not held:
+            raise LookupError("nothing is imported")
+        return {name: read_table(self.spark, f"{self.root}/{held}", name) for name in names or TABLES}
+
     def table(self, name: str) -> DataFrame:
         """A table of the set in use; readers keep the set they began with."""
-        if not self.current:
-            raise LookupError("nothing is imported")
-        return read_table(self.spark, f"{self.root}/{self.current}", name)
+        return self.tables(name)[name]
 
     def has_data(self) -> bool:
         return self.current is not None and any(not self.table(t).isEmpty() for t in TABLES)
