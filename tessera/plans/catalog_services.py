@@ -274,23 +274,23 @@ def k_list_checks(spark, d):
 
 
 @query(f"""SELECT coalesce(refused, 'none') AS refused, count(*) AS requests, CAST(sum(n) AS BIGINT) AS queries FROM (
-  SELECT count(*) AS n, CASE WHEN count(*) > 100 THEN 'queries' WHEN min(odd) < 150 THEN 'query_id' WHEN max(odd) > 49870 THEN 'query_text' END AS refused FROM {_runs_sql(1000, 70)} GROUP BY block, run) GROUP BY 1""")
+  SELECT count(*) AS n, CASE WHEN count(*) > 100 THEN 'queries' WHEN min(odd) < 150 THEN 'query_id' WHEN max(odd) > 49870 THEN 'query_text' END AS refused FROM {_runs_sql(1000, 95)} GROUP BY block, run) GROUP BY 1""")
 def evaluation_request_checks(spark, d):
     """Requests for evaluations by the first rule they break: over 100 queries, an id or a text that is too long."""
     odd = F.col("odd")
     asked = F.struct(F.when(odd < 150, F.repeat(F.lit("q"), F.lit(65))).otherwise(F.col("event_id").cast("string")).alias("query_id"), F.when(odd > 49870, F.repeat(F.lit("t"), F.lit(513))).otherwise(F.col("props")).alias("query_text"))
-    made = _runs(spark, d, 1000, 70).groupBy("block", "run").agg(F.collect_list(asked).alias("queries"))
+    made = _runs(spark, d, 1000, 95).groupBy("block", "run").agg(F.collect_list(asked).alias("queries"))
     refused = R.evaluation_refusal(F.col("queries"), F.array(F.lit(5), F.lit(10)))
     return made.groupBy(F.coalesce(refused, F.lit("none")).alias("refused")).agg(F.count("*").alias("requests"), F.sum(F.size("queries")).cast("long").alias("queries"))
 
 
 @query(f"""SELECT coalesce(refused, 'none') AS refused, count(*) AS requests, CAST(sum(n) AS BIGINT) AS covered FROM (
-  SELECT count(*) AS n, CASE WHEN count(*) > 500 THEN 'requests' WHEN min(odd) < 60 THEN 'request_id' WHEN max(odd) > 49960 THEN 'candidate_item_ids' END AS refused FROM {_runs_sql(600, 480)} GROUP BY block, run) GROUP BY 1""")
+  SELECT count(*) AS n, CASE WHEN count(*) > 500 THEN 'requests' WHEN min(odd) < 60 THEN 'request_id' WHEN max(odd) > 49960 THEN 'candidate_item_ids' END AS refused FROM {_runs_sql(600, 490)} GROUP BY block, run) GROUP BY 1""")
 def coverage_request_checks(spark, d):
     """Requests for coverage by the first rule they break: over 500 of them, an id that is too long, over 200 candidates."""
     odd = F.col("odd")
     asked = F.struct(F.when(odd < 60, F.repeat(F.lit("r"), F.lit(65))).otherwise(F.col("event_id").cast("string")).alias("request_id"), F.lit("").alias("query_id"), F.array_repeat(F.col("event_type"), F.when(odd > 49960, 201).otherwise(F.col("event_id") % 3).cast("int")).alias("candidate_item_ids"))
-    made = _runs(spark, d, 600, 480).groupBy("block", "run").agg(F.collect_list(asked).alias("requests"))
+    made = _runs(spark, d, 600, 490).groupBy("block", "run").agg(F.collect_list(asked).alias("requests"))
     return made.groupBy(F.coalesce(R.coverage_refusal(F.col("requests")), F.lit("none")).alias("refused")).agg(F.count("*").alias("requests"), F.sum(F.size("requests")).cast("long").alias("covered"))
 
 
