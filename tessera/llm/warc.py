@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import mapped, stored, table
 
 #: Payload bytes from which equal payloads are revisits; bytes in an archive before the next begins; gzip level; parts of a hot digest.
 LEAST, ARCHIVE, LEVEL, SALT = 100, 4 << 20, 5, 16
@@ -81,7 +81,8 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 def with_duplicates(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, digest, refers_to); refers_to is null for responses.
 
-    Digests that occur once never meet another row; the few that repeat are joined by digest and salt.
+    Digests are counted by partial aggregates; those that repeat, and no others, are what rows are joined with, by digest and salt. Where
+    they are too many to be broadcast, rows are dealt with their payloads for it.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
@@ -114,7 +115,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return pages.mapInArrow(pack, "archive string, content binary")
+    return mapped(pages, pack, "archive string, content binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return archives.mapInArrow(read, schema)
+    return mapped(archives, read, schema)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
