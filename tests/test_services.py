@@ -134,3 +134,38 @@ def test_event_requests(spark):
     assert events.time_range(None, "") == (None, None)
     with pytest.raises(ValueError, match="invalid_time_range"):
         events.time_range("2026-01-02", "2026-01-01")
+
+
+def test_lsa_of_repeated_texts_is_worked_once_a_text(spark, monkeypatch):
+    """20 copies of each text: rows, vocabulary and components are those of all items, the work that of the different texts."""
+    seen, plain = [], semantic.in_blocks
+    monkeypatch.setattr(semantic, "in_blocks", lambda x, blocks: seen.append(x.select("item_id").distinct().count()) or plain(x, blocks))
+    rows, config = [(k * 100 + c, t) for k, t in _docs(spark) for c in range(20)], SemanticConfig(svd_components=4, char_weight=0.0, min_df=2)
+    docs = spark.createDataFrame(rows, "item_id long, text string")
+    index = semantic.SemanticIndex.fit(docs, config)
+    different = len({t for _, t in rows})
+    assert seen == [different] and different <= len(rows) / 20
+    x = _matrix(spark, docs, index, config)
+    assert len(x) == len(rows)
+    v = np.linalg.svd(x.to_numpy(), full_matrices=False)[2]
+    mine = {r["fid"]: r["vector"] for r in index.components.collect()}
+    cosines = np.linalg.svd(np.array([mine[f] for f in x.columns]).T @ v[:4].T, compute_uv=False)
+    assert np.arccos(np.clip(cosines, -1, 1)).max() < 1e-3
+
+
+def test_lsa_search_over_shared_vectors_is_that_over_all(spark):
+    config = SemanticConfig(svd_components=6)
+    rows = [(k + 1000 * c, t) for k, t in _docs(spark) for c in range(1 + k % 5)]
+    docs = spark.createDataFrame(rows, "item_id long, text string")
+    asked = spark.createDataFrame([(k, t) for k, t in rows[:6]], "query_id long, query_text string")
+    index = IndexStore(spark, shared_dir(spark, "indices")).semantic("docs", docs, config)
+    assert index.shared.count() == len({t for _, t in rows}) < len(rows) == index.vectors.count()
+    few = index.search(asked, 7, 6).collect()
+    index.shared = None
+    assert sorted(few) == sorted(index.search(asked, 7, 6).collect())
+
+
+def test_vector_search_joins_homes_with_few_queries(monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    assert vectors.joined(np.array([3, 0, 4, 3, 1, 25, 2])).tolist() == [0, 0, 0, 0, 4, 5, 6]
+    assert vectors.joined(np.zeros(0, int)).tolist() == []
