@@ -158,3 +158,33 @@ def test_new_items_are_folded_into_the_fit_until_one_is_due(spark, tmp_path, sto
     assert [e["kind"] for e in third.manifest["semantic"]["energy"]] == ["fitted"]
     assert refit_due({"items": 10, "total": 10.0, "kept": 8.0}, {"items": 2, "total": 10.0, "kept": 7.0}) and not refit_due({"items": 10, "total": 10.0, "kept": 8.0}, {"items": 2, "total": 10.0, "kept": 7.9})
     assert refit_due({"items": 10, "total": 1.0, "kept": 1.0}, {"items": 11, "total": 1.0, "kept": 1.0})
+
+
+def test_postings_are_counted_where_their_text_is(spark):
+    """One exchange, of texts, whose parts follow the bytes of text; shuffle partitions play no part."""
+    from tessera.functions.text import tokenize
+    from tessera.operators import bm25, tfidf
+
+    docs = spark.createDataFrame([(k, f"red boat b{k % 7} red") for k in range(50)], "item_id long, text string")
+    rows = bm25.term_counts(docs, tokenize(F.col("text"), True, False))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {tuple(r) for r in rows.filter("item_id = 8").collect()} == {("red", 8, 4, 2), ("boat", 8, 4, 1), ("b1", 8, 4, 1)}
+    assert tfidf.dealt(docs.withColumn("text", F.repeat(F.lit("x"), F.lit(tfidf.PART // 2)))).rdd.getNumPartitions() == 25
+
+
+def test_queries_make_only_the_channels_that_they_read(spark, tmp_path, monkeypatch):
+    """BM25 queries count no n-grams, and the services' word mode fits no decomposition."""
+    from tessera.operators.semantic import SemanticIndex
+    from tessera.plans import catalog, catalog_services
+
+    def never(*_, **__):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(indices, "counts", never)
+    monkeypatch.setattr(SemanticIndex, "fit", never)
+    d = "/root/testdata/sf0.001"
+    assert catalog._index(spark, d).stats.first()["n"] > 0
+    found = catalog_services._snapshot(spark, d)
+    assert found.semantic is None and found.n_items > 0
+    with pytest.raises(ValueError):
+        catalog_services.S.fused(found, None, "linear", 10, 10)
