@@ -50,3 +50,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_settings_and_pools_come_from_the_events(spark):
+    """As many settings and requests as the table has events; none is made up."""
+    from tessera.plans import catalog
+    from tessera.plans.search import pool_size
+
+    d = "/root/testdata/sf0.001"
+    n, items = (spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("events", "part"))
+    pools = catalog.QUERIES["pool_sizes"](spark, d).collect()
+    assert sum(r["requests"] for r in pools) == n and all(r["pool"] == pool_size(r["top_k"], items) for r in pools)
+    read = {r["kind"]: r for r in catalog.QUERIES["config_sources"](spark, d).collect()}
+    assert sum(r["given"] for r in read.values()) == n and set(read) == {"bm25", "semantic", "fusion", "personal"}
+    assert all(r["accepted"] > 0 and r["refused"] > 0 and r["accepted"] + r["refused"] == r["given"] for r in read.values())
