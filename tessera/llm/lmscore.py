@@ -2,8 +2,8 @@
 
 Words are those of the contract, A-Z lower-cased. Subwords are byte-level BPE ids by the first MERGES ranks of a public
 vocabulary; a word is encoded with a space before it and ends at most every 64 characters. The model (attention.py) begins in numpy on the
-driver with START windows at most, from anywhere in about SAMPLE training documents. Then it follows one window in EVERY of all
-training documents, so what it learns from grows with the input: in each of ROUNDS, parts of the windows go on from the same weights, and the mean of the parts' weights by their
+driver with START windows at most, from anywhere in about SAMPLE training documents. Then it follows all windows (one in EVERY, which is 1) of all
+training documents, each once: in each of ROUNDS, parts of the windows go on from the same weights, and the mean of the parts' weights by their
 windows is where the next round begins. Parts are made by the windows' hashes, so scores don't depend on how the input is split.
 
 A text is a row of words and one end. Under the attention model, given that a word or the end is to begin, a word has the probability of its subwords and of a
@@ -43,7 +43,7 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Ranks used, remembered words at most, bytes of text in a block, words in a part.
 MERGES, SLOTS, BLOCK, PART = 8099, 400_000, 2 << 20, 400_000
 #: Training documents and windows at most that training begins with; of the windows of all training documents, one in EVERY is followed.
-SAMPLE, START, EVERY = 1500, 150_000, 32
+SAMPLE, START, EVERY = 1500, 150_000, 1
 #: Rounds of following, windows of a part in a round at most (about).
 ROUNDS, SHARE = 3, 5000
 #: Weight of the words' shares.

@@ -259,3 +259,13 @@ def test_language_model_does_not_depend_on_how_the_input_is_split(spark, monkeyp
         scores.append({x["doc_id"]: x["score"] for x in lmscore.score(docs.repartition(n).withColumn("held_out", F.lit(False)), model).collect()})
         assert model.followed > 40
     assert all(abs(scores[0][k] - scores[1][k]) < 1e-5 * abs(scores[0][k]) for k in scores[0])
+
+
+def test_lmscore_learns_from_every_training_window(spark):
+    from tessera.llm import lmscore
+
+    r = np.random.default_rng(3)
+    rows = [(k, " ".join(r.choice(["red", "boat", "harbour", "evening", "signal"], 60))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = lmscore.followed_windows(lmscore.untrained(lmscore.RANKS), docs, lmscore.RANKS, 1).count()
+    assert lmscore.fit(docs).followed == every > 40
