@@ -188,3 +188,38 @@ def test_queries_make_only_the_channels_that_they_read(spark, tmp_path, monkeypa
     assert found.semantic is None and found.n_items > 0
     with pytest.raises(ValueError):
         catalog_services.S.fused(found, None, "linear", 10, 10)
+
+
+def test_word_features_are_counted_in_blocks_and_never_kept(spark, tmp_path, store, monkeypatch):
+    """Weights and scores over many blocks and parts against brute force, with an id that repeats, empty and null texts; tables have no row a feature."""
+    import math
+    import re
+    from collections import Counter
+
+    from tessera.operators import tfidf
+
+    monkeypatch.setattr(tfidf, "BLOCK", 25)
+    monkeypatch.setattr(tfidf, "RANGE", 60)
+    rows = [(k, f"Red boat b{k % 7} red boat b{k % 5} o{k}") for k in range(60)] + [(7, "boat red zulu"), (7, "red"), (100, ""), (101, None), (102, "x y")]
+    docs = spark.createDataFrame(rows, "item_id long, text string")
+    tf = {}
+    for k, text in rows:
+        w = re.findall(WORDS, (text or "").lower())
+        tf.setdefault(k, Counter()).update([*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))])
+    df = Counter(f for c in tf.values() for f in c)
+    weights = {(k, f): (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[f])) + 1) for k, c in tf.items() for f, n in c.items()}
+    found = {(r["item_id"], r["feature"]): r["weight"] for r in tfidf.word_weights(docs, WORDS).collect()}
+    assert found.keys() == weights.keys() and all(abs(found[x] - w) < 1e-9 for x, w in weights.items())
+    index = TfidfIndex.build(docs, WORDS)
+    assert index.blocks.count() > 5 and tfidf.frequencies(index.blocks).select("part").distinct().count() > 3
+    length = {k: math.sqrt(sum(w * w for (i, _), w in weights.items() if i == k)) for k in tf}
+    got = {r["item_id"]: r["length"] for r in index.lengths.collect()}
+    assert got.keys() == {k for k, x in length.items() if x} and all(abs(x - length[k]) < 1e-9 for k, x in got.items())
+    hits = index.search(spark.createDataFrame([(1, "zulu boat")], "query_id long, query_text string"), 1).first()
+    q = {f: math.log((1 + len(rows)) / (1 + df[f])) + 1 for f in ("zulu", "boat")}
+    assert hits["item_id"] == 7 and abs(hits["score"] - sum(w * weights[7, f] for f, w in q.items()) / length[7] / math.sqrt(sum(w * w for w in q.values()))) < 1e-9
+    path = str(tmp_path / "docs")
+    docs.filter("item_id < 50").write.parquet(path)
+    kept = store.open("docs", spark.read.parquet(path), IndexConfig(bm25=False, pattern=WORDS))
+    assert set(kept.manifest["segments"][0]["tables"]) == {"documents", "words"} and "lengths" not in kept.manifest
+    assert kept.table(kept.manifest["segments"][0]["tables"]["words"]).count() < 50
