@@ -223,3 +223,14 @@ def test_word_features_are_counted_in_blocks_and_never_kept(spark, tmp_path, sto
     kept = store.open("docs", spark.read.parquet(path), IndexConfig(bm25=False, pattern=WORDS))
     assert set(kept.manifest["segments"][0]["tables"]) == {"documents", "words"} and "lengths" not in kept.manifest
     assert kept.table(kept.manifest["segments"][0]["tables"]["words"]).count() < 50
+
+
+def test_segments_of_terms_make_no_word_features(spark, monkeypatch):
+    """index_segments_terms reads BM25's frequencies alone, so its generations hold no words for TF-IDF."""
+    from tessera.plans import catalog_services
+
+    def never(*_, **__):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(indices, "counts", never)
+    assert catalog_services.index_segments_terms(spark, "/root/testdata/sf0.001").filter("df > 0").count() > 0
