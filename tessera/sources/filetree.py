@@ -73,8 +73,18 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("file", "range", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("change"))
 
 
-def fingerprint(spark: SparkSession, folder: str, names: list[str]) -> str:
-    """SHA-256 over names, sizes and roots of the files of these names; the driver reads a row a file."""
+def marks(spark: SparkSession, folder: str, names: list[str]) -> list[tuple[str, int, str]]:
+    """(file, size, root) of the files of these names, in order; the driver reads a row a file."""
     files = listed(spark, folder, names)
     found = {r["file"]: r["digest"] for r in roots(leaves(spark, files)).collect()}
-    return hashlib.sha256("".join(f"{n}\0{size}\0{found.get(n, '')}\n" for n, _, size in sorted(files)).encode()).hexdigest()
+    return [(n, size, found.get(n, "")) for n, _, size in sorted(files)]
+
+
+def digest(held: list[tuple[str, int, str]]) -> str:
+    """SHA-256 over names, sizes and roots."""
+    return hashlib.sha256("".join(f"{n}\0{size}\0{root}\n" for n, size, root in held).encode()).hexdigest()
+
+
+def fingerprint(spark: SparkSession, folder: str, names: list[str]) -> str:
+    """SHA-256 over names, sizes and roots of the files of these names."""
+    return digest(marks(spark, folder, names))

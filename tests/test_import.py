@@ -139,3 +139,21 @@ def test_a_hash_tree_names_what_changed(spark, tmp_path):
     assert filetree.roots(_tree(spark, tmp_path), 3).count() == 3
     with pytest.raises(FileNotFoundError):
         filetree.listed(spark, str(tmp_path), ["a.csv", "c.csv"])
+
+
+def test_the_same_bytes_are_checked_once(spark, tmp_path, monkeypatch):
+    """Five steps over two data sets that differ by the judgements: each table's bytes are checked once, and again if what they refer to changes."""
+    from tessera.sources import importer
+
+    (tmp_path / "in").mkdir()
+    folder, store, asked, check = _write(tmp_path / "in"), Store(spark, str(tmp_path / "store")), [], importer.require_valid
+    monkeypatch.setattr(importer, "require_valid", lambda name, *rest: (asked.append(name), check(name, *rest)))
+    assert [import_dataset(store, folder, dry_run=True).status, import_dataset(store, folder).status, import_dataset(store, folder).status] == ["skipped", "completed", "already_imported"]
+    folder = _write(tmp_path / "in", qrels=["query_id,item_id,relevance_grade", "q1,i2,1"])
+    assert [import_dataset(store, folder).status, import_dataset(store, folder, replace=True).status] == ["failed", "completed"]
+    assert Counter(asked) == {"items": 1, "users": 1, "queries": 1, "events": 1, "qrels": 2}
+    folder = _write(tmp_path / "in", qrels=["query_id,item_id,relevance_grade", "q1,i2,1"], items=FILES["items"][:2])  # an item that is referred to goes
+    with pytest.raises(ValidationError):
+        import_dataset(store, folder, replace=True)
+    with pytest.raises(ValidationError):  # what was found bad is checked again
+        import_dataset(store, folder, replace=True)
