@@ -4,7 +4,8 @@ Words are those of the contract, A-Z lower-cased. Subwords are byte-level BPE id
 vocabulary; a word is encoded with a space before it and ends at most every 64 characters. The model (attention.py) begins in numpy on the
 driver with START windows at most, from anywhere in about SAMPLE training documents. Then it follows all windows (one in EVERY, which is 1) of all
 training documents, each once: in each of ROUNDS, parts of the windows go on from the same weights, and the mean of the parts' weights by their
-windows is where the next round begins. Parts are made by the windows' hashes, so scores don't depend on how the input is split.
+windows is where the next round begins. Windows overlap by half and more, so what is kept and shuffled are runs of them, as the ids alone. Parts are
+made by the runs' hashes, so scores don't depend on how the input is split; a task sends one set of weights for all parts that it followed.
 
 A text is a row of words and one end. Under the attention model, given that a word or the end is to begin, a word has the probability of its subwords and of a
 next begin after them, so the words and the end are disjoint and sum to 1; their shares of all training tokens sum to 1 too, and
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import copy
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -44,8 +46,10 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MERGES, SLOTS, BLOCK, PART = 8099, 400_000, 2 << 20, 400_000
 #: Training documents and windows at most that training begins with; of the windows of all training documents, one in EVERY is followed.
 SAMPLE, START, EVERY = 1500, 150_000, 1
-#: Rounds of following, windows of a part in a round at most (about).
-ROUNDS, SHARE = 3, 5000
+#: Rounds of following, windows of a part in a round at most (about); windows of a run at most.
+ROUNDS, SHARE, RUN = 3, 5000, 32
+#: Groups of parts whose weights go through the shuffle in a round, unless a group had more parts than MOST.
+GROUPS, MOST = 16, 64
 #: Weight of the words' shares.
 MIX = 0.3
 #: Bytes of a stretch that training draws, and of the text before it that fills its first windows; id of the end.
@@ -221,31 +225,74 @@ def begin(training: DataFrame, ranks: str = RANKS) -> Model:
     return Model(shaped, key, ranks)
 
 
-def followed_windows(attention: Attention, training: DataFrame, ranks: str, every: int) -> DataFrame:
-    """(key, x, valid, target): one window in every of all training documents, a row each. Stored."""
+def runs(attention: Attention, training: DataFrame, ranks: str, every: int) -> DataFrame:
+    """(key, head, n, ids): n consecutive windows (RUN at most) of a text as one row, one run in every of all training documents. Stored.
+
+    The ids are those that the windows see and score, each once, compressed; head of them stand before the first scored one: all, or as many as a window sees. The key is made of the document's id, the place and the ids.
+    """
     given = training.sparkSession.sparkContext.broadcast((attention, open(ranks, "rb").read()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, words, size = zstandard.ZstdCompressor(3), subwords_of(given.value[1]), RUN * STRIDE
         for batch in batches_by_bytes(it, "text", BLOCK):
-            x, valid, target, key = drawn(given.value[0], subwords_of(given.value[1]), batch, 1 / every)
-            held = [x.astype(np.int16), valid, target.astype(np.int16)]
-            packed = [pa.Array.from_buffers(pa.binary(z.shape[1] * z.itemsize), len(z), [None, pa.py_buffer(np.ascontiguousarray(z))]).cast(pa.binary()) for z in held]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *packed], ["key", "x", "valid", "target"])
+            ids, ends, *_ = words.texts(batch.column("text"))
+            begin, docs = np.concatenate([[0], ends[:-1]]).astype(np.int64), batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+            count = -(-(ends - begin) // size)
+            text = np.repeat(np.arange(len(ends)), count)
+            nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            phase = (mix(docs + U64(5)) >> U64(11)) / 2.0**53
+            chosen = (phase[text] + nth / every) % 1.0 < 1 / every  # evenly over a text, from a place of its own
+            text, nth = text[chosen], nth[chosen]
+            at = begin[text] + nth * size
+            to, head = np.minimum(at + size, ends[text]), np.minimum(at - begin[text], STRIDE + 1)
+            raw = [ids[x:y].astype(np.int16).tobytes() for x, y in zip((at - head).tolist(), to.tolist(), strict=True)]
+            marks = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest()) for x in raw], U64)
+            key = mix(mix(mix(docs[text] + U64(9)) + nth.astype(U64)) ^ marks)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(head, pa.int32()), pa.array(-(-(to - at) // STRIDE), pa.int32()), pa.array([pack.compress(x) for x in raw], pa.binary())], ["key", "head", "n", "ids"])
+
+    return stored(mapped(training.select("doc_id", "text"), run, "key long, head int, n int, ids binary"), "runs")
+
+
+def in_windows(attention: Attention, key: np.ndarray, head: np.ndarray, n: np.ndarray, packed: Sequence[bytes]) -> tuple[np.ndarray, ...]:
+    """(inputs, valid, target, key) of the windows of runs, in the order of their keys."""
+    unpack = zstandard.ZstdDecompressor()
+    raw = [unpack.decompress(x) for x in packed]
+    ids, ends = np.frombuffer(b"".join(raw), np.int16).astype(np.int64), np.cumsum([len(x) // 2 for x in raw])
+    run = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    at, own = (np.concatenate([[0], ends[:-1]]) + head)[run] + STRIDE * nth, mix(key.view(U64)[run] + nth.astype(U64))
+    order = np.argsort(own, kind="stable")
+    at, run = at[order], run[order]
+    return *attention.windows(ids, ends, at, run), attention.targets(ids, at), own[order]
+
+
+def followed_windows(attention: Attention, training: DataFrame, ranks: str, every: int) -> DataFrame:
+    """(key, x, valid, target): the windows of runs(), a row each."""
+    given = training.sparkSession.sparkContext.broadcast(attention)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                x, valid, target, key = in_windows(given.value, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "head", "n", "ids")))
+                rows = ([z.tobytes() for z in many] for many in (x.astype(np.int16), valid, target.astype(np.int16)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(z, pa.binary()) for z in rows)], ["key", "x", "valid", "target"])
 
-    return stored(mapped(training.select("doc_id", "text"), run, "key long, x binary, valid binary, target binary"), "windows")
+    return mapped(runs(attention, training, ranks, every), run, "key long, x binary, valid binary, target binary")
 
 
 def follow(model: Model, training: DataFrame, ranks: str = RANKS) -> None:
-    """Rounds over one window in EVERY of all training documents: each part of a round goes on from the same weights, and their mean by windows is where the next round begins.
+    """Rounds over one run of windows in EVERY of all training documents: each part of a round goes on from the same weights, and their mean by windows is where the next round begins.
 
-    Parts are ranges of the windows' hashes and as many as the windows fill, and a part takes its windows in the hashes' order, so the weights don't depend on how the input is split.
+    Parts are made by the runs' hashes and as many as the windows fill, and a part takes its windows in the hashes' order, so the weights don't depend on how the input is split.
+    A task follows the parts of a group one after the other and sends their mean alone.
     """
-    held = followed_windows(model.attention, training, ranks, EVERY)
-    parts = max(1, -(-held.count() // (ROUNDS * SHARE)))
+    held = runs(model.attention, training, ranks, EVERY)
+    parts = max(1, -(-(held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // (ROUNDS * SHARE)))
+    groups = max(min(parts, GROUPS), -(-parts // MOST))
     spot = F.pmod(F.xxhash64("key"), F.lit(ROUNDS * parts))
-    windows = held.withColumns({"round": (spot % ROUNDS).cast("int"), "part": F.floor(spot / ROUNDS).cast("int")})
+    windows = held.withColumns({"round": (spot % ROUNDS).cast("int"), "part": F.floor(spot / ROUNDS).cast("int")}).withColumn("group", F.col("part") % groups)
     names = sorted(model.attention.w)
-    schema, pack = "part int, n long, w binary", lambda w: np.concatenate([w[k].ravel() for k in names]).astype(np.float32).tobytes()
+    schema, pack = "part int, n long, w binary", lambda w: np.concatenate([w[k].ravel() for k in names]).astype(np.float32)
 
     def mean(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("part")
@@ -255,18 +302,21 @@ def follow(model: Model, training: DataFrame, ranks: str = RANKS) -> None:
 
     def taught(given: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def run(group: pd.DataFrame) -> pd.DataFrame:
-            m, group = copy.deepcopy(given.value), group.sort_values(["key", "x"], kind="stable")
-            x, valid, target = (np.frombuffer(b"".join(group[c]), kind).reshape(len(group), -1) for c, kind in (("x", np.int16), ("valid", bool), ("target", np.int16)))
-            n = m.follow(iter([(x.astype(np.int64), valid, target.astype(np.int64))]))
-            return pd.DataFrame({"part": [int(group["part"].iloc[0])], "n": [n], "w": [pack(m.w)]})
+            total, n = 0.0, 0
+            for _, part in group.groupby("part"):  # ascending
+                m = copy.deepcopy(given.value)
+                x, valid, target, _ = in_windows(m, *(part[c].to_numpy() for c in ("key", "head", "n", "ids")))
+                k = m.follow(iter([(x, valid, target)]))
+                total, n = total + pack(m.w).astype(np.float64) * k, n + k
+            return pd.DataFrame({"part": [int(group["group"].iloc[0])], "n": [n], "w": [(total / n).astype(np.float32).tobytes()]})
 
         return run
 
     for number in range(ROUNDS):
         given = training.sparkSession.sparkContext.broadcast(model.attention)
-        rows = windows.filter(F.col("round") == number).groupBy("part").applyInPandas(taught(given), schema)
-        for groups in (64, 4):  # however many parts there are, the driver gets four rows
-            rows = rows.groupBy(F.pmod("part", F.lit(groups)).alias("group")).applyInPandas(mean, schema)
+        rows = windows.filter(F.col("round") == number).drop("round").groupBy("group").applyInPandas(taught(given), schema)
+        for few in (64, 4) if groups > 64 else (4,):  # however many groups there are, the driver gets four rows
+            rows = rows.groupBy(F.pmod("part", F.lit(few)).alias("few")).applyInPandas(mean, schema)
         means = pd.DataFrame(list(map(tuple, rows.toLocalIterator())), columns=["part", "n", "w"])
         given.unpersist()
         if len(means):

@@ -269,3 +269,41 @@ def test_lmscore_learns_from_every_training_window(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     every = lmscore.followed_windows(lmscore.untrained(lmscore.RANKS), docs, lmscore.RANKS, 1).count()
     assert lmscore.fit(docs).followed == every > 40
+
+
+def test_runs_hold_every_window_of_whole_texts_in_few_bytes(spark):
+    import pyarrow as pa
+
+    from tessera.llm import lmscore
+
+    r = np.random.default_rng(4)
+    texts = ["", "one", *(" ".join(r.choice(["Red", "boat", "harbour", "évening", "signal-7", "of"], n)) for n in (3, 40, 700, 4000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, words = lmscore.untrained(lmscore.RANKS), lmscore.subwords_of(open(lmscore.RANKS, "rb").read())
+    ids, ends, *_ = words.texts(pa.array(texts))
+    at, text = model.starts(ends)
+    x, valid = model.windows(ids, ends, at, text)
+    shown = lambda x, valid, target: (x[valid].tolist(), valid.tolist(), target[valid[len(x) // 2 :]].tolist())
+    rows = lmscore.followed_windows(model, docs, lmscore.RANKS, 1).collect()
+    got = [shown(*(np.frombuffer(z, kind) for z, kind in ((w.x, np.int16), (w.valid, bool), (w.target, np.int16)))) for w in rows]
+    assert sorted(got) == sorted(map(shown, x, valid, model.targets(ids, at)))  # every subword is scored once, and sees what it sees when it is scored
+    assert sum(sum(w[1][32:]) for w in got) == len(ids)
+    held = lmscore.runs(model, docs, lmscore.RANKS, 1).selectExpr("sum(n) AS n", "sum(octet_length(ids)) AS size").first()
+    assert held.n == len(rows) and held.size < 70 * held.n  # 264 a window when each was a row
+
+
+def test_a_round_sends_one_set_of_weights_a_group(spark, monkeypatch):
+    """However many parts there are; their mean is that of all parts."""
+    from tessera.llm import lmscore
+
+    monkeypatch.setattr("tessera.llm.attention.STEPS", 2)
+    monkeypatch.setattr(lmscore, "SHARE", 4)
+    r = np.random.default_rng(5)
+    docs = spark.createDataFrame([(k, " ".join(r.choice(["red", "fox", "ran", "hill"], 90))) for k in range(60)], "doc_id long, text string")
+    weights = []
+    for groups in (1, 3, 1000):
+        monkeypatch.setattr(lmscore, "GROUPS", groups)
+        monkeypatch.setattr(lmscore, "MOST", 10**6)
+        model = lmscore.fit(docs)
+        weights.append(model.attention.w)
+    assert all(np.allclose(weights[0][k], w[k], rtol=1e-4, atol=1e-6) for w in weights[1:] for k in w)
