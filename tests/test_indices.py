@@ -234,3 +234,38 @@ def test_segments_of_terms_make_no_word_features(spark, monkeypatch):
 
     monkeypatch.setattr(indices, "counts", never)
     assert catalog_services.index_segments_terms(spark, "/root/testdata/sf0.001").filter("df > 0").count() > 0
+
+
+def test_terms_of_a_segment_are_counted_in_their_rows(spark, monkeypatch):
+    """No text moves where ids are a key; rows of one id are counted as before."""
+    from tessera.functions.text import tokenize
+    from tessera.operators import bm25
+
+    rows = [(k, f"red boat b{k % 7} red" + " zulu" * (k % 3)) for k in range(50)] + [(60, ""), (61, None), (62, "one")]
+    docs, tokens = spark.createDataFrame(rows, "item_id long, text string"), tokenize(F.col("text"), True, False)
+    got = bm25.term_rows(docs, tokens)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    shown = lambda df: sorted(map(tuple, df.collect()))
+    assert shown(got) == shown(bm25.term_counts(docs, tokens)) and got.schema.simpleString() == bm25.term_counts(docs, tokens).schema.simpleString()
+    twice = docs.union(docs)
+    assert shown(bm25.term_rows(twice, tokens)) == shown(bm25.term_counts(twice, tokens))
+
+
+def test_steps_of_a_grown_store_write_what_changed(spark, monkeypatch):
+    """index_segments_topk: files that stay are not written again, and the documents are all there at the end."""
+    from tessera.plans import catalog_services, views
+
+    seen, folder = [], []
+    first = catalog_services.shared_dir
+    monkeypatch.setattr(catalog_services, "shared_dir", lambda s, n: (folder.append(first(s, n)) or folder[-1]) if n == "source" else first(s, n))
+    opened = indices.IndexStore.open
+
+    def watched(self, name, docs, config):
+        seen.append({f.rsplit("/", 2)[1]: f for f in docs.inputFiles()})
+        return opened(self, name, docs, config)
+
+    monkeypatch.setattr(indices.IndexStore, "open", watched)
+    g = catalog_services._grown(spark, "/root/testdata/sf0.001", catalog_services.BM25_ONLY)
+    assert [set(x) for x in seen] == [{"first", "altered", "strangers"}, {"first", "third"}, {"first", "third", "late"}]
+    assert len({x["first"] for x in seen}) == 1
+    assert g.n_items == views.docs(spark, "/root/testdata/sf0.001").count()
