@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import numpy as np
@@ -166,76 +166,8 @@ class Attention:
 
     def loss(self, x: np.ndarray, valid: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss (nats) of windows' scored tokens and its gradients."""
-        w, d, g = self.w, DIM, {}
-        own, real = x[:, STRIDE:], valid[:, STRIDE:]
-        e = w["e"][x]
-        eq = e[:, STRIDE:]
-        q, k, v = eq @ w["q"], e @ w["k"], e @ w["v"]
-        s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(d)) + self._bias(w["near"]) - np.float32(1e9) * ~valid[:, None, :]
-        s = np.exp(s - s.max(2, keepdims=True))
-        p = s / s.sum(2, keepdims=True)
-        m = p @ v
-        base = (m @ w["o"] + eq)[real]
-        unit = np.maximum(base @ w["a"] + w["ab"], 0)
-        h = base + unit @ w["b"]
-        y, n = target[real], int(real.sum())
-        group, order = y // WIDTH, np.argsort((y // WIDTH).astype(np.uint16), kind="stable")
-
-        def softmax(z: np.ndarray, pick: np.ndarray) -> tuple[float, np.ndarray]:
-            z -= z.max(1, keepdims=True)
-            rows = np.arange(len(z))
-            chosen = float(z[rows, pick].sum())
-            dz = np.exp(z, out=z)
-            total = dz.sum(1, keepdims=True)
-            dz /= total
-            dz[rows, pick] -= 1
-            dz /= n
-            return float(np.log(total).sum()) - chosen, dz
-
-        value, dz = softmax(h @ w["c"].T + w["cb"], group)
-        dh = dz @ w["c"]
-        g["c"], g["cb"] = dz.T @ h, dz.sum(0)
-        g["t"], g["tb"] = np.zeros_like(w["t"]), np.zeros_like(w["tb"])
-        # rows stand by class, so a class takes products alone and the softmax is one for all
-        by, sorted_, back = group[order], h[order], np.empty_like(h)
-        edges = np.searchsorted(by, np.arange(self.classes + 1))
-        there = np.flatnonzero(np.diff(edges))
-        spans = [(c, slice(edges[c], edges[c + 1])) for c in there.tolist()]
-        du = w["tb"][by]
-        for c, rows in spans:
-            du[rows] += sorted_[rows] @ w["t"][c].T
-        more, du = softmax(du, (y % WIDTH)[order])
-        value += more
-        for c, rows in spans:
-            np.matmul(du[rows].T, sorted_[rows], out=g["t"][c])
-            np.matmul(du[rows], w["t"][c], out=back[rows])
-        g["tb"][there] = np.add.reduceat(du, edges[there])
-        dh[order] += back
-        dunit = (dh @ w["b"].T) * (unit > 0)
-        g["b"], g["a"], g["ab"] = unit.T @ dh, base.T @ dunit, dunit.sum(0)
-        dh = dh + dunit @ w["a"].T
-        full = np.zeros(m.shape, np.float32)
-        full[real] = dh
-        g["o"] = m.reshape(-1, d).T @ full.reshape(-1, d)
-        dm = full @ w["o"].T
-        dv = p.transpose(0, 2, 1) @ dm
-        dp = dm @ v.transpose(0, 2, 1)
-        ds = p * (dp - (dp * p).sum(2, keepdims=True))
-        far = STRIDE + np.arange(STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :]
-        g["near"] = np.bincount(np.maximum(far, 0).ravel(), ((far >= 0) * ds.sum(0)).ravel(), 2 * STRIDE).astype(np.float32)
-        ds /= np.float32(np.sqrt(d))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, left, right in (("q", eq, dq), ("k", e, dk), ("v", e, dv)):
-            g[name] = left.reshape(-1, d).T @ right.reshape(-1, d)
-        de = dk @ w["k"].T + dv @ w["v"].T
-        de[:, STRIDE:] += dq @ w["q"].T + full
-        g["e"] = np.zeros_like(w["e"])
-        flat, de = x.ravel(), de.reshape(-1, d)
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
-        flat = flat[order]
-        heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        g["e"][flat[heads]] = np.add.reduceat(de[order], heads)
-        return value / n, g
+        steps = Steps(self.w)
+        return steps.gradients(x, valid, target), steps.plain(steps.g)
 
     def targets(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ids that windows score."""
@@ -248,47 +180,194 @@ class Attention:
 
     def train_windows(self, x: np.ndarray, valid: np.ndarray, target: np.ndarray, steps: int | None = None, seed: int = SEED) -> list[float]:
         """Adam over random windows; the losses."""
-        r, losses, adam, steps = np.random.default_rng(seed), [], Adam(self.w), STEPS if steps is None else steps
+        r, losses, adam, steps = np.random.default_rng(seed), [], Steps(self.w), STEPS if steps is None else steps
         with one_thread():
             for step in range(1, steps + 1):
                 pick = r.integers(0, len(x), WINDOWS)
-                loss, g = self.loss(x[pick], valid[pick], target[pick])
-                losses.append(loss)
-                adam.step(g, RATE * min(1, step / 50) * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 1e-5)
+                losses.append(adam.gradients(x[pick], valid[pick], target[pick]))
+                adam.step(RATE * min(1, step / 50) * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 1e-5)
+        self.w = adam.plain(adam.w)
         return losses
 
     def follow(self, batches: Iterator[tuple[np.ndarray, ...]]) -> int:
         """Adam at a low rate over (inputs, valid, target) of windows as they come, each once; how many they were."""
-        adam, n = Adam(self.w), 0
+        adam, n = Steps(self.w), 0
         for many in batches:
             n += len(many[0])
             with one_thread():
                 for a in range(0, len(many[0]), WINDOWS):
-                    adam.step(self.loss(*(z[a : a + WINDOWS] for z in many))[1], FOLLOW)
+                    adam.gradients(*(z[a : a + WINDOWS] for z in many))
+                    adam.step(FOLLOW)
+        self.w = adam.plain(adam.w)
         return n
 
 
-class Adam:
-    """Steps of weights, in place."""
+class Steps:
+    """Gradients over windows and steps of Adam, in memory that is made once: fresh pages for every product cost as much as the products.
+
+    All weights stand in one array, and likewise their gradients; keys stand beside values and biases beside the weights they are added to.
+    """
 
     def __init__(self, w: dict[str, np.ndarray]):
-        self.w, self.n = w, 0
-        self.a, self.b, self.off = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(3))
+        d, self.kind, self.classes, self.n = DIM, w["e"].dtype, len(w["c"]), 0
+        shapes = {"e": w["e"].shape, "q": (d, d), "kv": (d, 2 * d), "o": (d, d), "near": (2 * STRIDE,), "a": (d + 1, HIDDEN), "b": (HIDDEN, d), "c": (self.classes, d + 1), "t": (self.classes, WIDTH, d + 1)}
+        at = np.cumsum([0, *(int(np.prod(x)) for x in shapes.values())])
+        self.flat, self.grad, self.a, self.b = (np.zeros(at[-1], self.kind) for _ in range(4))
+        self.w, self.g = ({k: z[i:j].reshape(x) for (k, x), i, j in zip(shapes.items(), at, at[1:], strict=False)} for z in (self.flat, self.grad))
+        for k in ("e", "q", "o", "near", "b"):
+            self.w[k][:] = w[k]
+        self.w["kv"][:, :d], self.w["kv"][:, d:] = w["k"], w["v"]
+        self.w["a"][:d], self.w["a"][d] = w["a"], w["ab"]
+        for k in ("c", "t"):
+            self.w[k][..., :d], self.w[k][..., d] = w[k], w[k + "b"]
+        far = STRIDE + np.arange(STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :]
+        self.far, self.past = np.where(far >= 0, far, 2 * STRIDE), far >= 0
+        self.held: dict[str, np.ndarray] = {}
+        self.touched = np.zeros(0, np.int64)
+        self.off = np.empty(1 << 16, self.kind)
+
+    @staticmethod
+    def plain(z: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The weights or gradients by the model's names, copied."""
+        d = DIM
+        parts = {k: z[k] for k in ("e", "q", "o", "near", "b")} | {"k": z["kv"][:, :d], "v": z["kv"][:, d:], "a": z["a"][:d], "ab": z["a"][d]}
+        return {k: x.copy() for k, x in (parts | {k: z[k][..., :d] for k in ("c", "t")} | {k + "b": z[k][..., d] for k in ("c", "t")}).items()}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """Memory for a product of at most as many rows as before; it begins as ones."""
+        held = self.held.get(name)
+        if held is None or len(held) < shape[0]:
+            held = self.held[name] = np.ones(shape, self.kind)
+        return held[: shape[0]]
+
+    @staticmethod
+    def _exp(z: np.ndarray, again: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums by row of exp(z), made in place, and what was taken off before; again makes z anew."""
+        ones = np.ones(z.shape[-1], z.dtype)
+        with np.errstate(over="ignore", invalid="ignore"):
+            total = np.exp(z, out=z) @ ones
+        if 1e-30 < total.min() <= total.max() < 1e30:
+            return total, np.zeros((), z.dtype)
+        most = again().max(1)  # rare: products that need their greatest taken off first
+        z -= most[:, None]
+        return np.exp(z, out=z) @ ones, most
+
+    def gradients(self, x: np.ndarray, valid: np.ndarray, target: np.ndarray) -> float:
+        """Mean loss (nats) of windows' scored tokens; g holds its gradients then."""
+        w, g, room, d, many = self.w, self.g, self._room, DIM, len(x)
+        rows, all_, root = many * STRIDE, 2 * many * STRIDE, self.kind.type(1 / np.sqrt(DIM))
+        real, y = valid[:, STRIDE:].reshape(-1), target.reshape(-1)
+        share = real.astype(self.kind) / self.kind.type(real.sum())  # of the loss, by row
+        # attention
+        e, own = room("e", all_, d), room("own", rows, d)
+        w["e"].take(x.reshape(-1), axis=0, out=e, mode="clip")
+        w["e"].take(x[:, STRIDE:].reshape(-1), axis=0, out=own, mode="clip")
+        q, kv = np.matmul(own, w["q"], out=room("q", rows, d)), np.matmul(e, w["kv"], out=room("kv", all_, 2 * d)).reshape(many, -1, 2 * d)
+        q *= root
+        q, k, v = q.reshape(many, -1, d), kv[..., :d], kv[..., d:]
+        bias, holes = np.append(w["near"], self.kind.type(-1e9))[self.far], np.flatnonzero(~valid.all(1))
+        p = room("p", rows, 2 * STRIDE).reshape(many, STRIDE, -1)
+
+        def seen() -> np.ndarray:
+            np.matmul(q, k.transpose(0, 2, 1), out=p)
+            np.add(p, bias, out=p)
+            if len(holes):
+                p[holes] -= self.kind.type(1e9) * ~valid[holes][:, None, :]
+            return p.reshape(rows, -1)
+
+        once = 1 / self._exp(seen(), seen)[0][:, None]
+        m = np.matmul(p, v, out=room("m", rows, d).reshape(many, -1, d)).reshape(rows, d)
+        m *= once
+        base, h = room("base", rows, d + 1), room("h", rows, d + 1)  # a 1 after each
+        np.matmul(m, w["o"], out=base[:, :d])
+        base[:, :d] += own
+        unit = np.matmul(base, w["a"], out=room("unit", rows, HIDDEN))
+        np.maximum(unit, 0, out=unit)
+        np.matmul(unit, w["b"], out=h[:, :d])
+        h[:, :d] += base[:, :d]
+
+        def softmax(z: np.ndarray, again: Callable[[], np.ndarray], pick: np.ndarray, share: np.ndarray) -> float:
+            spot = np.arange(len(z)) * z.shape[1] + pick
+            chosen = z.reshape(-1)[spot]
+            total, most = self._exp(z, again)
+            z *= (share / total)[:, None]
+            z.reshape(-1)[spot] -= share
+            return float(share @ (np.log(total) + most - chosen))
+
+        # classes, then ids in them: rows stand by class there, so a class takes products alone and the softmax is one for all
+        group = (y // WIDTH).astype(np.uint16)
+        z = room("z", rows, self.classes)
+        value = softmax(np.matmul(h, w["c"].T, out=z), lambda: np.matmul(h, w["c"].T, out=z), group, share)
+        dh = np.matmul(z, w["c"], out=room("dh", rows, d + 1))
+        np.matmul(z.T, h, out=g["c"])
+        order = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
+        by, u, back = h.take(order, axis=0, out=room("by", rows, d + 1), mode="clip"), room("u", rows, WIDTH), room("back", rows, d + 1)
+        spans = [(w["t"][c], g["t"][c], by[a:z], u[a:z], back[a:z]) for c, (a, z) in enumerate(zip(edges, edges[1:], strict=False)) if a < z]
+
+        def inner() -> np.ndarray:
+            for t, _, mine, out, _ in spans:
+                np.dot(mine, t.T, out=out)
+            return u
+
+        value += softmax(inner(), inner, (y % WIDTH)[order], share[order])
+        g["t"][np.diff(edges) == 0] = 0
+        for t, dt, mine, out, to in spans:
+            np.dot(out.T, mine, out=dt)
+            np.dot(out, t, out=to)
+        dh[order] += back
+        dh = dh[:, :d]
+        # back through the hidden units and the attention
+        dunit = np.matmul(dh, w["b"].T, out=room("dunit", rows, HIDDEN))
+        dunit *= np.sign(unit)
+        np.matmul(unit.T, dh, out=g["b"])
+        np.matmul(base.T, dunit, out=g["a"])
+        full = np.matmul(dunit, w["a"][:d].T, out=room("full", rows, d))
+        full += dh
+        np.matmul(m.T, full, out=g["o"])
+        dm = np.matmul(full, w["o"].T, out=room("dm", rows, d))
+        dm *= once
+        dp, dkv = room("dp", rows, 2 * STRIDE).reshape(many, STRIDE, -1), room("dkv", all_, 2 * d).reshape(many, -1, 2 * d)
+        dp_mean = np.einsum("ij,ij->i", dm, m).reshape(many, STRIDE, 1)  # of a row's dp by its weights
+        dm = dm.reshape(many, STRIDE, d)
+        np.matmul(p.transpose(0, 2, 1), dm, out=dkv[..., d:])
+        np.matmul(dm, v.transpose(0, 2, 1), out=dp)
+        dp -= dp_mean
+        dp *= p
+        g["near"][:] = np.bincount(self.far.reshape(-1), dp.reshape(many, -1).sum(0), 2 * STRIDE + 1)[: 2 * STRIDE]
+        dq = np.matmul(dp, k, out=room("dq", rows, d).reshape(many, -1, d)).reshape(rows, d)
+        dq *= root
+        np.matmul(dp.transpose(0, 2, 1), q, out=dkv[..., :d])
+        dkv = dkv.reshape(all_, -1)
+        np.matmul(own.T, dq, out=g["q"])
+        np.matmul(e.T, dkv, out=g["kv"])
+        de = np.matmul(dkv, w["kv"].T, out=room("de", all_, d))
+        full += np.matmul(dq, w["q"].T, out=room("from_q", rows, d))
+        de.reshape(many, -1, d)[:, STRIDE:] += full.reshape(many, -1, d)
+        flat = x.reshape(-1)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        flat = flat[order]
+        heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        g["e"][self.touched] = 0
+        self.touched = flat[heads]
+        g["e"][self.touched] = np.add.reduceat(de.take(order, axis=0, out=room("sorted", all_, d), mode="clip"), heads)
+        return value
 
-    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+    def step(self, rate: float) -> None:
+        """A step of Adam, a stretch of the weights at a time, which the processor's cache holds. a and b are 10 and 100 times the moments."""
         self.n += 1
-        for k, grad in g.items():
-            a, b, off = self.a[k], self.b[k], self.off[k]
-            np.subtract(grad, a, out=off)
-            off *= 0.1
-            a += off
-            np.multiply(grad, grad, out=off)
-            off -= b
-            off *= 0.01
+        late = np.sqrt(1 - 0.99**self.n)
+        rate, least = self.kind.type(rate * late / (1 - 0.9**self.n)), self.kind.type(1e-7 * late)
+        for at in range(0, len(self.flat), len(self.off)):
+            w, g, a, b = (z[at : at + len(self.off)] for z in (self.flat, self.grad, self.a, self.b))
+            off = self.off[: len(w)]
+            a *= self.kind.type(0.9)
+            a += g
+            b *= self.kind.type(0.99)
+            np.multiply(g, g, out=off)
             b += off
-            np.multiply(b, 1 / (1 - 0.99**self.n), out=off)
-            np.sqrt(off, out=off)
-            off += 1e-8
+            np.sqrt(b, out=off)
+            off += least
             np.divide(a, off, out=off)
-            off *= rate / (1 - 0.9**self.n)
-            self.w[k] -= off
+            off *= rate
+            w -= off

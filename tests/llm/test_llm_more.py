@@ -307,3 +307,66 @@ def test_a_round_sends_one_set_of_weights_a_group(spark, monkeypatch):
         model = lmscore.fit(docs)
         weights.append(model.attention.w)
     assert all(np.allclose(weights[0][k], w[k], rtol=1e-4, atol=1e-6) for w in weights[1:] for k in w)
+
+
+def _plain_follow(model, x, valid, target):
+    """Adam's steps over loss()'s gradients, as they are written."""
+    from tessera.llm.attention import FOLLOW, WINDOWS
+
+    a, b = ({k: np.zeros_like(w) for k, w in model.w.items()} for _ in range(2))
+    for n, at in enumerate(range(0, len(x), WINDOWS), 1):
+        for k, g in model.loss(*(z[at : at + WINDOWS] for z in (x, valid, target)))[1].items():
+            a[k] += 0.1 * (g - a[k])
+            b[k] += 0.01 * (g * g - b[k])
+            model.w[k] -= FOLLOW / (1 - 0.9**n) * a[k] / (np.sqrt(b[k] / (1 - 0.99**n)) + 1e-8)
+
+
+def _windows(model, n_texts, size):
+    r = np.random.default_rng(6)
+    ids, ends = r.integers(0, model.n, n_texts * size), size * np.arange(1, n_texts + 1)
+    at, text = model.starts(ends)
+    return *model.windows(ids, ends, at, text), model.targets(ids, at)
+
+
+def test_following_takes_the_steps_of_adam_and_no_fresh_memory():
+    import tracemalloc
+
+    from tessera.llm.attention import WINDOWS, Attention
+
+    one, two = Attention(400, 1), Attention(400, 1)
+    for m in (one, two):
+        m.w = {k: w.astype(float) for k, w in m.w.items()}
+    windows = _windows(one, 20, 240)
+    assert len(windows[0]) % WINDOWS and not windows[1].all()  # a last step of fewer windows, windows that are not full
+    assert one.follow(iter([windows])) == len(windows[0])
+    _plain_follow(two, *windows)
+    assert all(np.allclose(one.w[k], two.w[k], rtol=1e-9, atol=1e-12) for k in two.w)
+
+    model, peaks = Attention(8100, 40), []
+    windows = _windows(model, 4, 32 * WINDOWS)
+
+    def batches():
+        for at in range(0, 4 * WINDOWS, WINDOWS):
+            many = tuple(z[at : at + WINDOWS] for z in windows)
+            tracemalloc.reset_peak()
+            before = tracemalloc.get_traced_memory()[0]
+            yield many
+            peaks.append(tracemalloc.get_traced_memory()[1] - before)
+
+    tracemalloc.start()
+    model.follow(batches())
+    tracemalloc.stop()
+    assert len(peaks) == 4 and max(peaks[1:]) < 2 << 20, peaks  # the first step makes what the others use
+
+
+def test_gradients_where_exponentials_pass_the_range():
+    from tessera.llm.attention import Attention
+
+    m = Attention(200, 1)
+    m.w = {k: {"q": 12, "k": 12, "c": 600, "t": 600}.get(k, 1) * w for k, w in m.w.items()}
+    windows = _windows(m, 2, 150)
+    value, g = m.loss(*windows)
+    m.w = {k: w.astype(float) for k, w in m.w.items()}
+    want, exact = m.loss(*windows)
+    assert np.isfinite(value) and abs(value - want) < 1e-4 * want
+    assert all(np.abs(g[k] - exact[k]).max() < 1e-3 * np.abs(exact[k]).max() for k in exact)
