@@ -169,3 +169,15 @@ def test_vector_search_joins_homes_with_few_queries(monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 10)
     assert vectors.joined(np.array([3, 0, 4, 3, 1, 25, 2])).tolist() == [0, 0, 0, 0, 4, 5, 6]
     assert vectors.joined(np.zeros(0, int)).tolist() == []
+
+
+def test_the_evaluation_service_fuses_both_channels(spark, monkeypatch):
+    """evaluation_service: its hits come out of the linear fusion of both channels, 100 candidates of each; no channel stands alone."""
+    from tessera.plans import catalog, catalog_services  # noqa: F401
+    from tessera.plans import search as S
+
+    seen, fuse = [], S.fuse_linear
+    monkeypatch.setattr(S, "fuse_linear", lambda both, *rest: (seen.append((both.columns, rest)), fuse(both, *rest))[1])
+    catalog.QUERIES["evaluation_service"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and {"bm25_score", "semantic_score"} <= set(seen[0][0]) and seen[0][1][:3] == (0.5, 0.5, 100)
+    assert "fusion_score" not in catalog.SQL["evaluation_flat"] and "fusion_score" in catalog.SQL["evaluation_service"]
