@@ -37,13 +37,12 @@ class ImportResult:
 
 
 def file_hashes(spark: SparkSession, folder: str) -> dict[str, str]:
-    """SHA-256 of each of the tables' CSV files; FileNotFoundError if one is missing."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", F.sha2("content", 256).alias("sha")).collect()
-    found = {r["path"].rsplit("/", 1)[1]: r["sha"] for r in rows}
+    """SHA-256 of each of the tables' CSV files, of any size; FileNotFoundError if one is missing or a folder."""
     wanted = sorted(f"{t}.csv" for t in TABLES)
-    if missing := [w for w in wanted if w not in found]:
+    files = filetree.listed(spark, folder, wanted)
+    if missing := sorted(set(wanted) - {n for n, _, _ in files}):
         raise FileNotFoundError(", ".join(missing))
-    return {w: found[w] for w in wanted}
+    return filetree.whole(spark, files)
 
 
 def fingerprint(spark: SparkSession, folder: str) -> str:

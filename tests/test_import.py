@@ -157,3 +157,50 @@ def test_the_same_bytes_are_checked_once(spark, tmp_path, monkeypatch):
         import_dataset(store, folder, replace=True)
     with pytest.raises(ValidationError):  # what was found bad is checked again
         import_dataset(store, folder, replace=True)
+
+
+def test_files_are_hashed_as_they_are_read(spark, tmp_path):
+    """A file's SHA-256 needs no row that holds it all; marks of byte order, line ends and bytes that are no text count."""
+    contents = {"events": b"e\n" * 70_000 + b"\xff\x00\r\n\n", "items": b"a\n\n\nb", "qrels": b"", "queries": b"\xef\xbb\xbf", "users": b"\xef\xbb\xbfu,v\r\n1,2\r\n"}
+    for name, content in contents.items():
+        (tmp_path / f"{name}.csv").write_bytes(content)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # 2 GB otherwise
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        assert file_hashes(spark, str(tmp_path)) == {f"{n}.csv": hashlib.sha256(c).hexdigest() for n, c in contents.items()}
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "5000"
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    (tmp_path / "users.csv").unlink()
+    (tmp_path / "users.csv").mkdir()
+    with pytest.raises(FileNotFoundError):
+        file_hashes(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("split", ["40", "700", "100000"])
+def test_leaves_are_hashed_where_their_lines_are(spark, tmp_path, split):
+    """Other splits give the same leaves; no line goes through a shuffle but those of leaves that splits share."""
+    content = b"".join(b"%d,%s\n" % (k, b"x" * (k * 7 % 90)) for k in range(300))
+    (tmp_path / "a.csv").write_bytes(content)
+    (tmp_path / "b.csv").write_bytes(content[:5000])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, split if "max" in k else "0")
+    try:
+        tree = _tree(spark, tmp_path, 256)
+        got = {(r["file"], r["range"]): (r["lines"], r["bytes"], r["digest"]) for r in tree.collect()}
+        plan = tree._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {}
+    for name, data in (("a.csv", content), ("b.csv", content[:5000])):
+        at = 0
+        for line in data.splitlines(keepends=True):
+            line = line if line.endswith(b"\n") else line + b"\n"
+            want.setdefault((name, at // 256), []).append(line)
+            at += len(line)
+    assert got == {k: (len(v), sum(map(len, v)), hashlib.sha256(b"".join(v)).hexdigest()) for k, v in want.items()}
+    assert "Window" not in plan and "MapInArrow" in plan
