@@ -96,8 +96,8 @@ def whole(spark: SparkSession, files: list[tuple[str, str, int]]) -> dict[str, s
 _PARTS = "block long, range long, offset long, lines long, bytes long, digest string, raw binary"
 
 
-def _hashed(size: int):
-    """Leaves of lines (block, before, last, line) in order. A leaf that may go on in another split comes as its bytes."""
+def _hashed(size: int, blocks: list[tuple[int, bool]]):
+    """Leaves of lines (block, line) in order; blocks: bytes of their file before them, and whether they are its last. A leaf that may go on in another split comes as its bytes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at, last, leaf = None, 0, False, None
@@ -124,12 +124,13 @@ def _hashed(size: int):
             if not batch.num_rows:
                 continue
             number = batch.column(0).to_numpy(zero_copy_only=False)
-            data, place = _bytes(batch.column(3))
+            data, place = _bytes(batch.column(1))
             cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
             for a, b in zip(cuts, cuts[1:]):
                 if number[a] != block:
                     close(last)
-                    block, at, last = int(number[a]), batch.column(1)[a].as_py(), batch.column(2)[a].as_py()
+                    block = int(number[a])
+                    at, last = blocks[block]
                     begun = at == 0  # the first line of a later split may stand in a leaf that the split before began
                 ranges = (place[a:b] - place[a] + at) // size
                 runs = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), b - a]
@@ -167,9 +168,9 @@ def leaves(spark: SparkSession, files: list[tuple[str, str, int]], size: int = R
         before = before if k and held[k - 1]["path"] == r["path"] else 0
         blocks.append((k, r["path"], r["start"], before, k + 1 == len(held) or held[k + 1]["path"] != r["path"], names[plain(r["path"])]))
         before += r["held"]
-    known = spark.createDataFrame(blocks, "block long, path string, start long, before long, last boolean, file string")
-    lines = text.select(*place, "line").join(F.broadcast(known.drop("file")), ["path", "start"]).select("block", "before", "last", "line")  # lines of a split stand together, in order
-    parts = lines.mapInArrow(_hashed(size), _PARTS).join(F.broadcast(known.select("block", "file")), "block")
+    known = spark.createDataFrame([(k, path, start, file) for k, path, start, _, _, file in blocks], "block long, path string, start long, file string")
+    lines = text.select(*place, "line").join(F.broadcast(known.drop("file")), ["path", "start"]).select("block", "line")  # lines of a split stand together, in order
+    parts = lines.mapInArrow(_hashed(size, [(b[3], b[4]) for b in blocks]), _PARTS).join(F.broadcast(known.select("block", "file")), "block")
     found = parts.groupBy("file", "range").agg(F.array_sort(F.collect_list(F.struct("offset", "raw", "digest"))).alias("l"), F.sum("lines").cast("long").alias("lines"), F.sum("bytes").cast("long").alias("bytes"))
     joined = F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["raw"]))
     return found.select("file", "range", "lines", "bytes", F.when(F.col("l")[0]["digest"].isNull(), F.sha2(joined, 256)).otherwise(F.col("l")[0]["digest"]).alias("digest"))

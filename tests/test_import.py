@@ -204,3 +204,23 @@ def test_leaves_are_hashed_where_their_lines_are(spark, tmp_path, split):
             at += len(line)
     assert got == {k: (len(v), sum(map(len, v)), hashlib.sha256(b"".join(v)).hexdigest()) for k, v in want.items()}
     assert "Window" not in plan and "MapInArrow" in plan
+
+
+def test_valid_rows_are_not_gathered(spark, tmp_path, monkeypatch):
+    """A table without violations is told from its keys, flags and ids; what has any goes through violations() as before."""
+    names = FILES["events"][0].split(",")
+    frame = lambda rows: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    others = {"users": spark.createDataFrame([("u1",)], "user_id string"), "items": spark.createDataFrame([("i1 ",)], "item_id string"), "queries": spark.createDataFrame([("q1",)], "query_id string")}
+    row = {n: "" for n in names} | {"event_type": "click", "user_id": " u1", "item_id": "i1", "timestamp": "2026-01-03T00:00:00"}
+    make = lambda *changes: frame([tuple((row | {"event_id": f"e{k}"} | c)[n] for n in names) for k, c in enumerate(changes)])
+    good = make({}, {"query_id": "q1"}, {"query_id": None, "position": "3"})
+    with monkeypatch.context() as m:
+        m.setattr(validate, "violations", lambda *_: pytest.fail("rows were gathered"))
+        validate.require_valid("events", good, others)
+    for change in ({"event_id": "e0 "}, {"event_id": " "}, {"event_type": None}, {"position": "0"}, {"user_id": None}, {"user_id": "u2"}, {"item_id": ""}, {"query_id": "q9"}, {"timestamp": None}):
+        text = make({}, change)
+        assert not validate.sound("events", text, others) and not violations("events", text, others).isEmpty(), change
+    (tmp_path / "in").mkdir()
+    folder = _write(tmp_path / "in", items=[FILES["items"][0].replace("brand", "maker"), *FILES["items"][1:]])  # a column that no rule reads
+    with pytest.raises(Exception, match="(?i)header|column"):
+        import_dataset(Store(spark, str(tmp_path / "store")), folder)
